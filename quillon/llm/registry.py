@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import quality, rules, toxicity
+from quillon.llm import exact, mixing, quality, rules, toxicity
 from quillon.session import table
 
 
@@ -10,11 +10,13 @@ def queries() -> dict:
     docs = lambda s, d: table(s, d, "documents")
     labels = lambda s, d: table(s, d, "labels")
     return {
+        "op1_mix_sources": lambda s, d: mixing.query(docs(s, d)),
         "op2_quality_classifier": lambda s, d: quality.query(docs(s, d), labels(s, d)),
         "op3_quality_rules": lambda s, d: rules.query(docs(s, d)),
         "op6_toxicity": lambda s, d: toxicity.query(docs(s, d), labels(s, d)),
+        "op7_exact_dedup": lambda s, d: exact.query(docs(s, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": rules.SQL}
+    return {"op3_quality_rules": rules.SQL, "op7_exact_dedup": exact.SQL}
