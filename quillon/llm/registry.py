@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import exact, mixing, quality, rules, toxicity
+from quillon.llm import bpe, exact, mixing, quality, rules, toxicity
 from quillon.session import table
 
 
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op3_quality_rules": lambda s, d: rules.query(docs(s, d)),
         "op6_toxicity": lambda s, d: toxicity.query(docs(s, d), labels(s, d)),
         "op7_exact_dedup": lambda s, d: exact.query(docs(s, d)),
+        "op8_bpe": lambda s, d: bpe.query(docs(s, d)),
     }
 
 
