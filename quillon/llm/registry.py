@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, exact, mixing, quality, rules, toxicity
+from quillon.llm import bpe, exact, mixing, quality, rules, toxicity, warc
 from quillon.session import table
 
 
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op1_mix_sources": lambda s, d: mixing.query(docs(s, d)),
         "op2_quality_classifier": lambda s, d: quality.query(docs(s, d), labels(s, d)),
         "op3_quality_rules": lambda s, d: rules.query(docs(s, d)),
+        "op5_warc": lambda s, d: warc.query(table(s, d, "pages")),
         "op6_toxicity": lambda s, d: toxicity.query(docs(s, d), labels(s, d)),
         "op7_exact_dedup": lambda s, d: exact.query(docs(s, d)),
         "op8_bpe": lambda s, d: bpe.query(docs(s, d)),
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": rules.SQL, "op7_exact_dedup": exact.SQL}
+    return {"op3_quality_rules": rules.SQL, "op5_warc": warc.SQL, "op7_exact_dedup": exact.SQL}
