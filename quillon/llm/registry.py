@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, chat, exact, mixing, quality, rules, toxicity, warc
+from quillon.llm import bpe, chat, exact, minhash, mixing, quality, rules, toxicity, warc
 from quillon.session import table
 
 
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op6_toxicity": lambda s, d: toxicity.query(docs(s, d), labels(s, d)),
         "op7_exact_dedup": lambda s, d: exact.query(docs(s, d)),
         "op8_bpe": lambda s, d: bpe.query(docs(s, d)),
+        "op9_minhash": lambda s, d: minhash.query(docs(s, d)),
         "op10_chat_repair": lambda s, d: chat.query(table(s, d, "conversations")),
     }
 
