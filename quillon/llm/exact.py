@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import discard, stage
+from quillon.llm.shared import stage
 
 FIRST, WIDER = 64, 32
 BLANKS = " \t\n\x0b\x0c\r"
@@ -34,7 +34,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, keep_id, group_size, kept and text_sha256, one row for each row of docs."""
+    """id, keep_id, group_size, kept, text_sha256 and points (the original text's length), one row for each row of docs."""
     rows = _rows(docs, id_col, text_col)
     name = F.min(F.struct("id", "sha"))
     first = rows.groupBy("digit").agg(F.count("*").alias("n"), name.alias("group"))
@@ -62,28 +62,27 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     grouped = reduce(DataFrame.unionByName, groups)
     best = F.max(F.struct("points", (-F.col("id")).alias("negative")))
     kept = grouped.groupBy("group").agg(F.count("*").alias("group_size"), best.alias("best"))
-    grouped = grouped.join(kept, "group").select("id", "sha", "group_size", "group", (-F.col("best.negative")).alias("keep_id"), (F.col("points") == F.col("best.points")).alias("longest"))
+    grouped = grouped.join(kept, "group").select("id", "points", "sha", "group_size", "group", (-F.col("best.negative")).alias("keep_id"), (F.col("points") == F.col("best.points")).alias("longest"))
     won = F.col("longest") & F.col("id").eqNullSafe(F.col("keep_id"))
     turn = F.row_number().over(Window.partitionBy("group").orderBy("sha"))
     winners = grouped.filter(won).withColumn("kept", turn == 1)
     others = grouped.filter(~won).withColumn("kept", F.lit(False))
-    alone = reduce(DataFrame.unionByName, singles).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
+    alone = reduce(DataFrame.unionByName, singles).select("id", "points", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     every = alone.unionByName(winners.unionByName(others).select(alone.columns))
-    return every.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+    return every.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"), "points")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return exact_groups(docs)
+    return exact_groups(docs).drop("points")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, one of each group, with their columns as they are."""
-    groups = exact_groups(docs).filter("kept").select("doc_id", F.col("text_sha256").alias("__sha"))
-    keyed = docs.withColumn("__sha", F.sha2(F.translate(F.coalesce("text", F.lit("")), BLANKS, ""), 256))
-    match = keyed["doc_id"].eqNullSafe(groups["doc_id"]) & (keyed["__sha"] == groups["__sha"])
-    kept = keyed.join(groups, match, "left_semi")
-    turn = F.row_number().over(Window.partitionBy("doc_id", "__sha").orderBy(F.char_length(F.coalesce("text", F.lit(""))).desc(), *(F.col(f"`{c}`") for c in docs.columns)))
-    return kept.withColumn("__turn", turn).filter("__turn = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = lambda sha, points: F.struct(F.col("doc_id").cast("long").alias("id"), sha.alias("sha"), points.alias("points"))
+    kept = exact_groups(docs).filter("kept").select(key(F.col("text_sha256"), F.col("points")).alias("__key"))
+    keyed = docs.withColumn("__key", key(F.sha2(F.translate(text, BLANKS, ""), 256), F.char_length(text)))
+    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 SQL = r"""

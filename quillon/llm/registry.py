@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, chat, exact, minhash, mixing, quality, rules, toxicity, warc
+import corpus_pipeline
+from quillon.llm import bpe, chat, exact, minhash, mixing, quality, rules, suffixes, toxicity, warc
 from quillon.session import table
 
 
@@ -10,9 +11,11 @@ def queries() -> dict:
     docs = lambda s, d: table(s, d, "documents")
     labels = lambda s, d: table(s, d, "labels")
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_mix_sources": lambda s, d: mixing.query(docs(s, d)),
         "op2_quality_classifier": lambda s, d: quality.query(docs(s, d), labels(s, d)),
         "op3_quality_rules": lambda s, d: rules.query(docs(s, d)),
+        "op4_suffix_dedup": lambda s, d: suffixes.query(docs(s, d)),
         "op5_warc": lambda s, d: warc.query(table(s, d, "pages")),
         "op6_toxicity": lambda s, d: toxicity.query(docs(s, d), labels(s, d)),
         "op7_exact_dedup": lambda s, d: exact.query(docs(s, d)),
@@ -23,4 +26,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": rules.SQL, "op5_warc": warc.SQL, "op7_exact_dedup": exact.SQL}
+    pipeline = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return {**pipeline, "op3_quality_rules": rules.SQL, "op5_warc": warc.SQL, "op7_exact_dedup": exact.SQL}

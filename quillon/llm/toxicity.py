@@ -222,6 +222,17 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "
     return got.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score below the threshold, with their columns as they are."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(shared.value.scores(b.column(at)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def find_passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, first and end token, excess and passage text of every significant passage."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
