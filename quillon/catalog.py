@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from quillon.operators import metrics, relational, retrieval
+
+MODULES = (metrics, relational, retrieval)
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for m in MODULES for name, run in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
