@@ -15,6 +15,11 @@ STOP_WORDS = (
 ).split()
 
 
+def ascii_edges(pattern: str) -> str:
+    r"""The pattern with \b between ASCII word characters only, as in engines that don't take accented letters for them."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of a-z, 0-9 and _."""
     return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9_]+", " "), " "), lambda w: w != "")
@@ -146,7 +151,7 @@ SCRUB = [
 
 def scrub(text: Column, rules=SCRUB) -> Column:
     for pattern, put in rules:
-        text = F.regexp_replace(text, pattern, put)
+        text = F.regexp_replace(text, ascii_edges(pattern), put)
     return text
 
 
@@ -158,7 +163,7 @@ def file_paths(text: Column) -> Column:
 
 
 def tickets(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b([A-Z]{2,}-\d+)\b"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(ascii_edges(r"\b([A-Z]{2,}-\d+)\b")), F.lit(1)))
 
 
 # -- branches --------------------------------------------------------------------------------------------------------------
@@ -189,7 +194,7 @@ def branch_role(name: Column) -> Column:
 
 def branch_hint(name: Column) -> Column:
     """A branch's name in words, without kind and tickets."""
-    cut = F.regexp_replace(F.regexp_replace(name, "(?i)^(feature|fix|bugfix|chore|refactor|hotfix|epic)/", ""), r"(?i)\b[A-Z]{2,10}-\d+\b", " ")
+    cut = F.regexp_replace(F.regexp_replace(name, "(?i)^(feature|fix|bugfix|chore|refactor|hotfix|epic)/", ""), ascii_edges(r"(?i)\b[A-Z]{2,10}-\d+\b"), " ")
     hint = F.trim(F.regexp_replace(F.regexp_replace(cut, "[-_/]+", " "), " +", " "))
     return F.when(hint != "", hint).otherwise(F.trim(F.regexp_replace(name, "[-_/]+", " ")))
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import STOP_WORDS, fts_query, words
+from quillon.functions.text import STOP_WORDS, ascii_edges, fts_query, words
 from quillon.operators.relational import cards_of
 from quillon.session import table
 
@@ -35,7 +35,8 @@ def bm25(docs: DataFrame, terms: DataFrame, id_col: str, fields: dict[str, float
 
     idf = ln((N - n + 0.5) / (n + 0.5)), 1e-6 at least; a text's length is the number of its words in all fields.
     """
-    weighted = [F.transform(words(F.coalesce(F.col(f), F.lit(""))), lambda t, w=w: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))) for f, w in fields.items()]
+    entry = lambda weight: lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w"))
+    weighted = [F.transform(words(F.coalesce(F.col(f), F.lit(""))), entry(w)) for f, w in fields.items()]
     rows = docs.select(F.col(id_col).alias("id"), F.concat(*weighted).alias("all")).withColumn("len", F.size("all"))
     # N and the mean length take a scan of their own: a row each, joined as scalars
     total = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
@@ -60,14 +61,14 @@ def like_fallback(docs: DataFrame, terms: DataFrame, id_col: str, fields: list[s
     lists = terms.groupBy("query_id").agg(F.collect_set("term").alias("terms"))
     every = lists.agg(F.collect_list(F.struct("query_id", "terms"))).scalar()  # one value: the queries, thirty terms each
     text = F.lower(F.concat_ws("\n", *fields))
-    hits = F.filter(every, lambda q: F.forall(q["terms"], lambda t: text.contains(t)))
-    return docs.select(F.col(id_col).alias("id"), F.explode(F.transform(hits, lambda q: q["query_id"])).alias("query_id")).select("query_id", "id")
+    hits = F.filter("every", lambda q: F.forall(q["terms"], lambda t: text.contains(t)))
+    return docs.withColumn("every", every).select(F.col(id_col).alias("id"), F.explode(F.transform(hits, lambda q: q["query_id"])).alias("query_id")).select("query_id", "id")
 
 
 def domain_terms(docs: DataFrame, group: str, text: str, most: int = 12) -> DataFrame:
     """The terms of each group by tf-idf: words of four letters count once, compounds twice; tf from 2; idf ln((N + 1) / df)."""
     body, low = F.col(text), F.lower(F.col(text))
-    found = lambda t, pattern, w: F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda x: F.struct(F.lower(x).alias("term"), F.lit(w).alias("w")))
+    found = lambda t, pattern, w: F.transform(F.regexp_extract_all(t, F.lit(ascii_edges(pattern)), F.lit(0)), lambda x: F.struct(F.lower(x).alias("term"), F.lit(w).alias("w")))
     lists = F.concat(
         found(low, r"\b[a-z]{4,}\b", 1), found(low, r"\b[a-z][a-z0-9]*(?:-[a-z][a-z0-9]+)+\b", 2),
         found(low, r"\b[a-z][a-z0-9]*(?:_[a-z][a-z0-9]+)+\b", 2), found(body, r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b", 2),
@@ -111,7 +112,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine")
             d = 1 - np.divide(a @ b.T, norms, out=np.zeros_like(norms), where=norms > 0)
         else:
             d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0))
-        d = np.round(d, 6)
+        d = np.round(d, 6) + 0.0  # no negative zero
         m = min(k, d.shape[1])
         order = np.lexsort((np.broadcast_to(right["id"].to_numpy(), d.shape), d), axis=1)[:, :m]
         rows = np.arange(len(d))[:, None]
@@ -142,8 +143,8 @@ def centroids(vectors: DataFrame, group: str | None = "label", unit: bool = True
 def classify(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """(id, top_repo, similarity, confidence): the nearest centroid and its lead over the next (1 if there is one only)."""
     every = centroids(vectors).agg(F.collect_list(F.struct("label", "centroid"))).scalar()  # a vector for each repository
-    sims = F.array_sort(F.transform(every, lambda c: F.struct((-F.round(cosine(F.col("embedding"), c["centroid"]), 6)).alias("s"), c["label"].alias("label"))))
-    got = queries.select("id", sims.alias("sims"))
+    sims = F.array_sort(F.transform("every", lambda c: F.struct((-F.round(cosine(F.col("embedding"), c["centroid"]), 6)).alias("s"), c["label"].alias("label"))))
+    got = queries.withColumn("every", every).select("id", sims.alias("sims"))
     lead = F.when(F.size("sims") < 2, 1.0).otherwise(F.round(F.try_element_at("sims", F.lit(2))["s"] - F.col("sims")[0]["s"], 6))
     return got.select("id", F.col("sims")[0]["label"].alias("top_repo"), (-F.col("sims")[0]["s"]).alias("similarity"), lead.alias("confidence"))
 
@@ -159,8 +160,8 @@ def specificity(vectors: DataFrame) -> DataFrame:
     """(id, specificity): 0.4 of the distance to the global centroid and 0.6 of that to the own repository's, each min-max scaled."""
     whole = centroids(vectors, None, unit=False).select("centroid").scalar()
     own = centroids(vectors)
-    rows = vectors.join(own, "label", "left").select(
-        "id", (1 - cosine(F.col("embedding"), whole)).alias("g"), F.coalesce(1 - cosine(F.col("embedding"), F.col("centroid")), F.lit(0.5)).alias("r")
+    rows = vectors.join(own, "label", "left").withColumn("whole", whole).select(
+        "id", (1 - cosine(F.col("embedding"), F.col("whole"))).alias("g"), F.coalesce(1 - cosine(F.col("embedding"), F.col("centroid")), F.lit(0.5)).alias("r")
     )
     ends = rows.agg(F.struct(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min("r").alias("r0"), F.max("r").alias("r1"))).scalar()
     scale = lambda c: F.when(ends[c + "1"] == ends[c + "0"], 0.5).otherwise((F.col(c) - ends[c + "0"]) / (ends[c + "1"] - ends[c + "0"]))
@@ -170,9 +171,9 @@ def specificity(vectors: DataFrame) -> DataFrame:
 def semantic_cache(queries: DataFrame, log: DataFrame, recent: int = 50, least: float = 0.92) -> DataFrame:
     """(id, hit_id, similarity): of the most recent logged vectors those more similar than `least`, the newest of them."""
     newest = log.orderBy(F.desc("id")).limit(recent).agg(F.collect_list(F.struct("id", "embedding"))).scalar()  # `recent` vectors
-    sims = F.transform(newest, lambda c: F.struct(c["id"].alias("id"), F.round(cosine(F.col("embedding"), c["embedding"]), 6).alias("s")))
+    sims = F.transform("newest", lambda c: F.struct(c["id"].alias("id"), F.round(cosine(F.col("embedding"), c["embedding"]), 6).alias("s")))
     hit = F.array_max(F.filter(sims, lambda c: c["s"] > least))
-    return queries.select("id", hit["id"].alias("hit_id"), hit["s"].alias("similarity"))
+    return queries.withColumn("newest", newest).select("id", hit["id"].alias("hit_id"), hit["s"].alias("similarity"))
 
 
 def mmr(candidates: DataFrame, k: int = 5, weight: float = 0.7) -> DataFrame:
@@ -275,8 +276,8 @@ def text_affinity(queries: DataFrame, signals: DataFrame, id_col: str, text_col:
     """
     every = signals.groupBy("repo").agg(F.collect_set("signal").alias("signals")).agg(F.collect_list(F.struct("repo", "signals"))).scalar()
     low = F.lower(F.col(text_col))
-    counted = F.transform(every, lambda r: F.struct(r["repo"].alias("repo"), F.size(F.filter(r["signals"], lambda s: low.contains(s))).alias("hits")))
-    return queries.select(F.col(id_col).alias("query_id"), F.explode(F.filter(counted, lambda c: c["hits"] >= least)).alias("c")).select("query_id", "c.repo", F.col("c.hits").cast("long").alias("hits"))
+    counted = F.transform("every", lambda r: F.struct(r["repo"].alias("repo"), F.size(F.filter(r["signals"], lambda s: low.contains(s))).alias("hits")))
+    return queries.withColumn("every", every).select(F.col(id_col).alias("query_id"), F.explode(F.filter(counted, lambda c: c["hits"] >= least)).alias("c")).select("query_id", "c.repo", F.col("c.hits").cast("long").alias("hits"))
 
 
 def multi_query(main: DataFrame, parts: DataFrame, most: int = 8, weight: float = 0.8) -> DataFrame:
@@ -350,7 +351,7 @@ QUERIES = {
     "kmeans_clusters": lambda s, d: kmeans(_vectors(s, d)),
     "rrf": lambda s, d: _fused(s, d).select("query_id", "id", "source", F.round("rrf", 6).alias("rrf")),
     "weighted_rrf": lambda s, d: _fused(s, d).select("query_id", "id", F.round("weighted", 5).alias("weighted")),
-    "fused_score": lambda s, d: fused_score(_fused(s, d), card_facts(table(s, d, "documents")), text_affinity(table(s, d, "benchmark"), _signals(s, d), "item_id", "text")).select("query_id", "id", F.round("score", 5).alias("score")),
+    "fused_score": lambda s, d: fused_score(_fused(s, d), card_facts(table(s, d, "documents")), text_affinity(table(s, d, "benchmark"), _signals(s, d), "item_id", "text")).select("query_id", "id", "score"),
     "type_caps": lambda s, d: type_caps(card_facts(table(s, d, "documents")).withColumn("score", F.round(F.col("usage_count") + F.col("specificity"), 6)).withColumn("query_id", F.col("repo"))).select("query_id", "id", "card_type", "score", "place"),
     "context_multi_query": lambda s, d: multi_query(_keyword(s, d, 10).withColumn("score", -F.col("rank")), _semantic(s, d, 4).withColumn("score", 1 - F.col("distance"))).select("query_id", "id", "score", "place"),
 }
@@ -404,7 +405,7 @@ SQL = {
     "semantic_cache": f"WITH {_V}, n AS (SELECT * FROM v ORDER BY id DESC LIMIT 50), h AS (SELECT v.id, n.id AS hit_id, round(list_cosine_similarity(v.e, n.e), 6) AS similarity FROM v JOIN n ON round(list_cosine_similarity(v.e, n.e), 6) > 0.92 QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY n.id DESC) = 1) SELECT v.id, hit_id, similarity FROM v LEFT JOIN h USING (id)",
     "rrf": f"WITH {_ITEMS}, {_ONE}, {_KW.format(k=20)}, {_V}, {_SEM.format(k=20)}, {_FUSE} SELECT query_id, id, source, round(rrf, 6) AS rrf FROM fw",
     "weighted_rrf": f"WITH {_ITEMS}, {_ONE}, {_KW.format(k=20)}, {_V}, {_SEM.format(k=20)}, {_FUSE} SELECT query_id, id, round(weighted, 5) AS weighted FROM fw",
-    "fused_score": f"WITH {_ITEMS}, {_ONE}, {_KW.format(k=20)}, {_V}, {_SEM.format(k=20)}, {_FUSE}, {_FACTS}, {_DOM.replace("@K", "40")}, {_AFF}, mo AS (SELECT query_id, max(hits) AS most FROM hits GROUP BY 1) SELECT fw.query_id, fw.id, round(round({_SCORE} * CASE WHEN most IS NULL THEN 1 ELSE 0.6::DOUBLE * (0.6::DOUBLE + 0.4::DOUBLE * coalesce(hits, 0) / most) + 0.4::DOUBLE END, 6), 5) AS score FROM fw JOIN facts USING (id) LEFT JOIN hits USING (query_id, repo) LEFT JOIN mo USING (query_id)",
+    "fused_score": f"WITH {_ITEMS}, {_ONE}, {_KW.format(k=20)}, {_V}, {_SEM.format(k=20)}, {_FUSE}, {_FACTS}, {_DOM.replace("@K", "40")}, {_AFF}, mo AS (SELECT query_id, max(hits) AS most FROM hits GROUP BY 1) SELECT fw.query_id, fw.id, round({_SCORE} * CASE WHEN most IS NULL THEN 1 ELSE 0.6::DOUBLE * (0.6::DOUBLE + 0.4::DOUBLE * coalesce(hits, 0) / most) + 0.4::DOUBLE END, 6) AS score FROM fw JOIN facts USING (id) LEFT JOIN hits USING (query_id, repo) LEFT JOIN mo USING (query_id)",
     "type_caps": f"WITH {_FACTS}, scored AS (SELECT *, round(usage_count + specificity, 6) AS score, repo AS query_id FROM facts), {_CAPS} SELECT query_id, id, card_type, score, place FROM out",
     "context_multi_query": f"WITH {_ITEMS}, {_ONE}, {_KW.format(k=10)}, {_V}, {_SEM.format(k=4)}, b AS (SELECT query_id, id, round(max(score), 6) AS score FROM (SELECT query_id, id, -rank AS score FROM kw UNION ALL SELECT query_id, id, (1 - distance) * 0.8::DOUBLE FROM near) GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS place FROM b QUALIFY place < 8",
 }
