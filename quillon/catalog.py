@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.operators import metrics, relational, retrieval
+from quillon.operators import graph, metrics, relational, retrieval
 
-MODULES = (metrics, relational, retrieval)
+MODULES = (metrics, relational, retrieval, graph)
 
 
 def queries() -> dict:
