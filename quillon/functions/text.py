@@ -98,7 +98,7 @@ def trim_sections(text: Column, query: Column) -> Column:
     terms = F.filter(F.split(F.regexp_replace(F.lower(query), "[^a-z0-9 ]", ""), " +"), lambda w: F.length(w) > 2)
     parts = F.split(text, r"(?m)^(?=#{2,4}[ \t])")
     headed = text.rlike(r"^#{2,4}[ \t]")
-    head = F.when(headed, F.lit("")).otherwise(F.trim(F.element_at(parts, 1)))
+    head = F.when(headed, F.lit("")).otherwise(F.regexp_replace(F.element_at(parts, 1), r"^\s+|\s+$", ""))
     sections = F.filter(F.when(headed, parts).otherwise(F.slice(parts, 2, 1_000_000)), lambda s: s != "")
     sections = F.transform(sections, lambda s, i: F.when(i < F.size(sections) - 1, F.regexp_replace(s, r"\n\z", "")).otherwise(s))
     hits = F.filter(sections, lambda s: F.exists(terms, lambda t: F.lower(s).contains(t)))
