@@ -58,7 +58,10 @@ def stack(manifests: DataFrame) -> DataFrame:
     for k, (name, _) in reversed(list(enumerate(MANIFESTS))):
         place = F.when(F.col("file") == name, k).otherwise(place)
     got = manifests.withColumn("k", place).groupBy("repo").agg(F.min("k").alias("k"))
-    return got.select("repo", F.coalesce(F.element_at(F.array(*(F.lit(v) for _, v in MANIFESTS)), F.col("k") + 1), F.lit("unknown")).alias("language"))
+    kind = F.lit("unknown")
+    for k, (_, name) in enumerate(MANIFESTS):
+        kind = F.when(F.col("k") == k, name).otherwise(kind)
+    return got.select("repo", kind.alias("language"))
 
 
 def _all(text: Column, pattern: str, group: int = 1) -> Column:

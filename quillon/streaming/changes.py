@@ -45,9 +45,11 @@ def last_status(changes: DataFrame, quiet: str, late: str = LATE) -> DataFrame:
     return changes.withWatermark("ts", late).groupBy("repo", "path", F.session_window("ts", quiet)).agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts")).select("repo", "path", "status", "ts")
 
 
-def forced(changes: DataFrame, most: int = 500, quiet_ms: int = 1200) -> DataFrame:
+def forced(changes: DataFrame, most: int = 500, quiet_ms: int | None = 1200) -> DataFrame:
     """Batches by size or silence: a repository's pending changes are flushed at `most`, or when none came for `quiet_ms`.
 
+    Silence is measured in processing time, so such a stream runs until it is stopped; without quiet_ms it can end.
+
     State a repository is one number and a time, never the changes themselves.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
@@ -68,11 +70,12 @@ def forced(changes: DataFrame, most: int = 500, quiet_ms: int = 1200) -> DataFra
                     out.append((key[0], number, most, "full"))
                     n, number = n - most, number + 1
             state.update((n, number))
-            state.setTimeoutDuration(quiet_ms)
+            if quiet_ms is not None:
+                state.setTimeoutDuration(quiet_ms)
         yield pd.DataFrame(out, columns=["repo", "batch", "n", "why"])
 
     kind = dict(changes.dtypes)["repo"]
-    return changes.groupBy("repo").applyInPandasWithState(step, f"repo {kind}, batch long, n long, why string", "n long, number long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return changes.groupBy("repo").applyInPandasWithState(step, f"repo {kind}, batch long, n long, why string", "n long, number long", "append", GroupStateTimeout.NoTimeout if quiet_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def running_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
