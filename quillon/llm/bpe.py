@@ -24,9 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillon.llm.grams import Texts, slices
+from quillon.llm.grams import Texts, slices, tidy
 
-SHARE, CACHED, RUN = 0.95, 600_000, 400  # of words that end a chunk; chunks in a worker's cache, and encoded at a time
+SHARE, CACHED, RUN = 0.95, 200_000, 400  # of words that end a chunk; chunks in a worker's cache, and encoded at a time
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -267,9 +267,10 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done[0], pa.int64()), pa.array(done[1], pa.string()), pa.array(done[2], pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done[0], pa.list_(pa.int32())), pa.array(done[1], pa.string())], [id_col, "ids", "decoded"])
+        codec(path).reset()  # the worker lives on, its next task may be another operator's
 
     shape = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {shape}")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, {shape}")
 
 
 def decode(rows: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -281,7 +282,7 @@ def decode(rows: DataFrame, path: str | None = None, id_col: str = "doc_id", ids
             lists = [[i for i in ids or [] if i is not None] for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codec(path).tokenizer.decode_batch(lists, skip_special_tokens=False), pa.string())], [id_col, "decoded"])
 
-    return rows.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, decoded string")
+    return rows.select(id_col, ids_col).mapInArrow(tidy(run), f"`{id_col}` {dict(rows.dtypes)[id_col]}, decoded string")
 
 
 def query(docs: DataFrame) -> DataFrame:

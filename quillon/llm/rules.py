@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.grams import Texts, mix, shingles, slices, table_of
+from quillon.llm.grams import Texts, mix, shingles, slices, table_of, tidy
 
 MEASURES = "n_words n_chars word_chars n_symbols n_upper n_marks n_lines n_dup_lines n_repeat_words".split()
 WINDOW = 5
@@ -94,7 +94,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(got[m]) for m in MEASURES)], [id_col, *MEASURES])
 
     kind = dict(docs.dtypes)[id_col]
-    measured = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
+    measured = docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
     bits = sum((F.when(F.expr(rule), F.lit(BIT[name])).otherwise(0) for name, rule in RULES), F.lit(0)).cast("long")
     return measured.withColumn("bits", bits)
 

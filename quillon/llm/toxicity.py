@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.grams import Texts, mix, slices
+from quillon.llm.grams import Texts, mix, slices, tidy
 from quillon.llm.shared import held_out, labelled_sample
 
 BITS, SAMPLE, PRIOR, Z, DRIFT, FLOOR, PREFIXES = 20, 8000, 0.05, 4.0, 0.25, -2.0, (6, 5, 4)
@@ -174,7 +174,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, label, SAMPLE, FOLDS, FOLD)
-    counts = sample.select("text", "label").mapInArrow(_counts, "bucket long, toxic long, clean long")
+    counts = sample.select("text", "label").mapInArrow(tidy(_counts), "bucket long, toxic long, clean long")
     got = counts.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
     toxic, clean = np.zeros(1 << BITS), np.zeros(1 << BITS)
     at = got["bucket"].to_numpy()
@@ -192,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
             rows = [(0.0, 0) if s is None else (max((x for _, _, x in segments(s)), default=0.0), len(s)) for _, _, s in m.texts(b.column(0))]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([float(r[0]) for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.int64())], ["label", "top", "n"])
 
-    tops = sample.select("text", "label").mapInArrow(best, "label int, top double, n long").toArrow()
+    tops = sample.select("text", "label").mapInArrow(tidy(best), "label int, top double, n long").toArrow()
     y, top, n = (tops[c].to_numpy().astype(float) for c in ("label", "top", "n"))
     with_one = (y == 0) & (top > 0)
     # K by the mean of a Gumbel variable: E[lambda * S - ln n] = ln K + Euler's constant, over clean texts with a segment
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(shared.value.excess(b.column(0)))], ["label", "excess"])
 
-    rows = sample.select("text", "label").mapInArrow(sums, "label int, excess double").toArrow()
+    rows = sample.select("text", "label").mapInArrow(tidy(sums), "label int, excess double").toArrow()
     y, x = rows["label"].to_numpy().astype(float), np.log1p(rows["excess"].to_numpy())
     order = np.lexsort((x, y))  # sums must not hang on the order of tasks
     return Model(scale.token, rate, scale.size, _logistic(x[order], y[order]))
@@ -218,7 +218,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores(b.column(1)))], [id_col, "score"])
 
-    got = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, score double")
+    got = docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {dict(docs.dtypes)[id_col]}, score double")
     return got.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -230,7 +230,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
         for b in batches:
             yield b.filter(pa.array(shared.value.scores(b.column(at)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def find_passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,7 +250,7 @@ def find_passages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], pa.schema(list(zip(names, [b.column(0).type, pa.int64(), pa.int64(), pa.float64(), pa.string()], strict=True))))
 
     names = [id_col, "first_token", "end_token", "excess", "passage"]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, first_token long, end_token long, excess double, passage string")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {dict(docs.dtypes)[id_col]}, first_token long, end_token long, excess double, passage string")
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
