@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.grams import _STEPS, Texts, shingles, slices
+from quillon.llm.grams import _STEPS, Texts, shingles, slices, tidy
 from quillon.llm.shared import stage
 
 PASSAGE, GRAM, PICK = 50, 8, 32
@@ -31,7 +31,7 @@ PREFIX = PASSAGE - PICK + 1
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, place, key) of every retained suffix with PREFIX words behind it; each text's share of a slice in turn."""
+    """(class, place, until, key) of the retained suffixes with PREFIX words behind them."""
     for b in batches:
         for lo, hi, data, offsets in slices(b.column(1)):
             t = Texts(data, offsets)
@@ -46,8 +46,14 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = picked[at]
             at, keys = at[keep], keys[keep]
             owner = t.text_of_word()[at]
+            # suffixes of one text that begin alike (a word over and over) make one row, from the first place to the last
+            order = np.lexsort((at, keys, owner))
+            at, keys, owner = at[order], keys[order], owner[order]
+            new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])) if len(at) else at
+            last = np.append(new[1:], len(at))[: len(new)] - 1
             own = b.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(own[owner]), pa.array((at - t.first[owner]).astype(np.int32)), pa.array(keys.astype(np.int64))], ["class", "place", "key"])
+            place = lambda k: pa.array((at[k] - t.first[owner[k]]).astype(np.int32))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([pa.array(own[owner[new]]), place(new), place(last), pa.array(keys[new].astype(np.int64))], ["class", "place", "until", "key"])
 
 
 def _picked(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -86,9 +92,9 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if n <= 0:
                     continue
                 marks = np.zeros(n + 1, np.int64)
-                places = np.array(b.column(2)[k].as_py(), np.int64)
-                np.add.at(marks, np.clip(places - (PASSAGE - PREFIX), 0, n), 1)
-                np.add.at(marks, np.clip(places + 1, 0, n), -1)
+                places = np.array([(p["place"], p["until"]) for p in b.column(2)[k].as_py()], np.int64)
+                np.add.at(marks, np.clip(places[:, 0] - (PASSAGE - PREFIX), 0, n), 1)
+                np.add.at(marks, np.clip(places[:, 1] + 1, 0, n), -1)
                 at = np.flatnonzero(np.cumsum(marks)[:n] > 0)
                 words, total = t.words(), np.zeros(len(at), np.uint64)
                 for j in range(PASSAGE):
@@ -119,12 +125,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     names = stage(rows.select("id", "class", words.alias("words")), "classes")
     classes = names.groupBy("class").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("words").alias("words"))
-    suffixes = rows.select("class", "text").mapInArrow(_suffixes, "class long, place int, key long").repartition("key")
+    suffixes = rows.select("class", "text").mapInArrow(tidy(_suffixes), "class long, place int, until int, key long").repartition("key")
     shared = suffixes.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key")
-    places = suffixes.join(shared, "key").groupBy("class").agg(F.collect_set("place").alias("places"))
+    places = suffixes.join(shared, "key").groupBy("class").agg(F.collect_set(F.struct("place", "until")).alias("places"))
     picked = places.join(classes.select("class", "id"), "class").withColumnsRenamed({"class": "own", "id": "rep"})
     texts = rows.join(picked, F.col("id").eqNullSafe(F.col("rep")) & (F.col("class") == F.col("own")))
-    windows = texts.select("own", "text", "places").mapInArrow(_windows, "class long, start int, key long").repartition("key")
+    windows = texts.select("own", "text", "places").mapInArrow(tidy(_windows), "class long, start int, key long").repartition("key")
     twice = windows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key")
     starts = windows.join(twice, "key").groupBy("class").agg(F.collect_set("start").alias("starts"))
     spans = _merged(starts)
