@@ -10,9 +10,10 @@ Texts of equal shingle sets are one class from the start (copies are never paire
 pivots, not with every other: first with the least class of all its buckets; then, in buckets that still hold two
 components, all pairs across components are compared where the bucket has SMALL classes at most; in larger ones the classes
 outside the largest component are compared with well-linked and drawn pivots, anew until a round links less than FEW of
-the classes it asks for; pairs that share buckets with no pivot in these rounds are the links this can miss. Components
-of the verified links are the groups. Every bucket is worked on, whatever its
-size; counts and pivots come from partial aggregation, and hot keys of the joins are split by adaptive execution.
+the classes it asks for. These rounds only save work: a prefix join (_rest) then finds every similar pair across components
+among the classes whose buckets still hold two. Components of the verified links are the groups. Every bucket is worked
+on, whatever its size; counts and pivots come from partial aggregation, hot keys of the joins are split by adaptive
+execution, and the prefix join salts its own.
 
 Defined results: null and empty texts have no shingle and stand alone; equal rows are in one group; a null id is an id that
 sorts first; the group's smallest id stays, one row of it where ids repeat; other columns are ignored.
@@ -31,7 +32,7 @@ from quillon.llm.grams import _STEPS, Texts, mix, shingles, slices, tidy
 from quillon.llm.graph import components
 from quillon.llm.shared import discard, stage
 
-SHINGLE, BANDS, ROWS, SIMILAR, SMALL, PIVOTS, LOOKS, FEW, SEED = 5, 20, 4, 0.8, 12, 4, 2, 0.02, 0x5851F42D4C957F2D
+SHINGLE, BANDS, ROWS, SIMILAR, SMALL, PIVOTS, LOOKS, FEW, SALT, SEED = 5, 20, 4, 0.8, 12, 4, 2, 0.02, 512, 0x5851F42D4C957F2D
 REGISTERS = BANDS * ROWS
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -170,6 +171,40 @@ def _drawn(rows: DataFrame, links: DataFrame, turn: int) -> DataFrame:
     return asked.select("a", F.col("p.name").alias("b")).distinct()
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """name, label, set: a row for each shingle, with the set's size."""
+    for b in batches:
+        for k in range(b.num_rows):
+            token = np.unique(_numbers(b.column(2)[k].as_py())).astype(np.int64)
+            same = lambda x, n=len(token): pa.array([x]).take(pa.array(np.zeros(n, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(token), same(b.column(0)[k].as_py()), same(b.column(1)[k].as_py()), same(len(token))], ["token", "name", "label", "n"])
+
+
+def _rest(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): a superset of the pairs of unlike labels among rows (name, label) whose sets are similar enough.
+
+    Prefix filter: shingles have one order everywhere, those that a single label holds first and then by how many sets hold
+    them. Of a similar pair the first common shingle stands in the first ninth of the smaller set and the first fifth of the
+    larger; what follows it in either must still hold 4/9 of both sizes, the overlap that Jaccard 0.8 needs.
+    """
+    asked = rows.select("name", F.xxhash64("label").alias("label")).join(sets, "name")
+    tokens = asked.select("name", "label", "set").mapInArrow(tidy(_spread), "token long, name binary, label long, n long")
+    shared = tokens.groupBy("token").agg(F.count("*").alias("holders"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token", "holders")
+    held = tokens.join(shared, "token").groupBy("name").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("holders", "token"))).alias("held"))
+    own = held.withColumn("alone", F.col("n") - F.size("held")).filter("5 * alone <= n")
+    prefix = own.select("name", "label", "n", "alone", F.posexplode(F.slice("held", F.lit(1), (F.floor(F.col("n") / 5) - F.col("alone") + 1).cast("int"))).alias("k", "h"))
+    prefix = prefix.select("name", "label", "n", (F.col("alone") + F.col("k")).alias("at"), "h.token", (1 + F.floor(F.col("h.holders") / SALT)).alias("salts"))
+    prefix = stage(prefix, "prefixes")
+    small = prefix.filter("9 * at <= n").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    large = prefix.withColumn("salt", F.pmod(F.xxhash64("name"), "salts")).drop("salts")
+    x, y = small.alias("x"), large.alias("y")
+    need = 4 * (F.col("x.n") + F.col("y.n"))
+    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.label") != F.col("y.label"))
+    meet &= (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.name") < F.col("y.name"))
+    meet &= (5 * F.col("x.n") >= 4 * F.col("y.n")) & (9 * (F.col("x.n") - F.col("x.at")) >= need) & (9 * (F.col("y.n") - F.col("y.at")) >= need)
+    return x.join(y, meet).select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct()
+
+
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after links between components: components of the graph of labels, which is small, joined back."""
     known = labels.withColumnRenamed("node", "n")
@@ -196,13 +231,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = some.select("text").mapInArrow(tidy(_sets), "name binary, set binary").join(wanted.select("name"), "name", "left_semi")
     sets = stage(sets.groupBy("name").agg(F.first("set").alias("set")), "sets")
     links = _links(pairs.filter("a <> b"), sets)
-    labels, tried, every, turn = components(links), None, links, 0
+    labels, tried, every, turn, more = components(links), None, links, 0, True
     while True:
         named = members.join(labels.withColumnRenamed("node", "name"), "name", "left").select("bucket", "name", "size", F.coalesce("label", "name").alias("label"))
         parts = named.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label"))["label"].alias("top"), F.count("*").alias("labels"))
         open_ = stage(named.join(parts.filter("labels > 1").drop("labels"), "bucket"), "open")
         if open_.isEmpty():
             break
+        if not more:
+            links = _links(_rest(open_.filter(F.col("size") > SMALL).select("name", "label").distinct(), sets), sets)
+            if not links.isEmpty():
+                labels = _joined(labels, links)
+            break
         pairs = _drawn(open_.filter(F.col("size") > SMALL), every, turn)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -212,13 +252,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         links = _links(pairs, sets)
         turn += 1
         found, asked = links.count(), pairs.select("a").distinct().count()
+        more = found > 0 and found >= FEW * asked
         if not found:
-            break
+            continue
         tried = pairs if tried is None else tried.union(pairs)
         every = every.union(links)
         labels = _joined(labels, links)
-        if found < FEW * asked:
-            break
     grouped = rows.filter("n > 0").join(labels.withColumnRenamed("node", "name"), "name", "left").select("id", "n", "text_hash", F.coalesce("label", "name").alias("label"))
     found = grouped.groupBy("label").agg(F.min("id").alias("group_id"), F.count("*").alias("group_size"), F.count_if(F.col("id").isNull()).alias("unnamed"))
     found = found.withColumn("group_id", F.when(F.col("unnamed") == 0, F.col("group_id"))).drop("unnamed")

@@ -65,6 +65,32 @@ def test_minhash_large_group(spark):
     assert sum(got[k] == want[k] for k in got) >= 0.98 * len(got) and all(got[k] == k for k in got if k >= 1000)
 
 
+def test_minhash_pairs_among_texts_of_common_words(spark):
+    # two texts of a family are at 0.81, of two families at 0.77: most buckets of a pair hold a hundred other texts
+    common = [f"c{j}" for j in range(525)]
+    rows = [(k, " ".join([*common, *(f"f{k // 2}_{j}" for j in range(15)), *(f"o{k}_{j}" for j in range(60))])) for k in range(400)]
+    got = {r.doc_id: r.group_id for r in minhash.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(dict(rows)) == {k: k // 2 * 2 for k in range(400)}
+
+
+def test_rest_holds_every_similar_pair(spark):
+    rng = np.random.default_rng(4)
+    made = {}
+    for family in range(4):
+        base = np.unique(rng.integers(0, 1 << 39, 90))
+        for _ in range(40):
+            keep = base[rng.random(len(base)) > rng.choice([0.02, 0.08, 0.12])]
+            made[len(made)] = np.unique(np.concatenate([keep, rng.integers(0, 1 << 39, rng.integers(0, 12))]))
+    raw = {k: x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for k, x in made.items()}
+    names = {k: k.to_bytes(16, "big") for k in made}
+    sets = spark.createDataFrame([(bytearray(names[k]), bytearray(raw[k])) for k in made], "name binary, set binary")
+    label = {k: names[k // 3] for k in made}
+    rows = spark.createDataFrame([(bytearray(names[k]), bytearray(label[k])) for k in made], "name binary, label binary")
+    got = {frozenset((bytes(r.a), bytes(r.b))) for r in minhash._rest(rows, sets).collect()}
+    near = {frozenset((names[a], names[b])) for a, b in combinations(made, 2) if label[a] != label[b] and minhash.jaccard(made[a], made[b]) >= 0.8}
+    assert near and near <= got and len(got) < 4 * len(near)
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     a, b = rng.integers(1, 1 << 62, 400).astype(np.uint64), rng.integers(1, 1 << 62, 100).astype(np.uint64)
