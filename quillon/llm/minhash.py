@@ -1,9 +1,9 @@
 """Near-duplicates by ProbMinHash, banding and verification.
 
-A shingle is SHINGLE words (a shorter text is one shingle), its weight how often the text has it. Each shingle is a Poisson
-process of that rate; an arrival falls on a random register, which keeps its earliest; a shingle stops once its next
-arrival is later than every register. Two texts agree on a register with the probability Jaccard of their weighted
-shingles. BANDS bands of ROWS registers make buckets; texts of one bucket are candidates, and the Jaccard of their sets of
+A shingle is SHINGLE words (a shorter text is one shingle), its weight 1 however often the text has it, so that candidates
+and verification go by one similarity. Each shingle is a Poisson process of that rate; an arrival falls on a random
+register, which keeps its earliest; a shingle stops once its next arrival is later than every register. Two texts agree
+on a register with the probability Jaccard of these weights, which is the Jaccard of the sets. BANDS bands of ROWS registers make buckets; texts of one bucket are candidates, and the Jaccard of their sets of
 shingles decides (SIMILAR).
 
 Texts of equal shingle sets are one class from the start (copies are never paired). Within a bucket a class is compared with
@@ -89,9 +89,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, hi, data, offsets in slices(b.column(1)):
             t = Texts(data, offsets)
-            owner, keys, weight = bags(t)
+            owner, keys, often = bags(t)
             name, size = _names(owner, keys, t.n)
-            sig = signatures(owner, keys, weight, t.n).reshape(t.n, BANDS, ROWS)
+            sig = signatures(owner, keys, np.ones_like(often), t.n).reshape(t.n, BANDS, ROWS)
             band = mix((sig * _STEPS[:ROWS]).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _GOLD).astype(np.int64)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(t.n + 1, dtype=np.int32) * BANDS), pa.array(band.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in name], pa.binary()), pa.array(size.astype(np.int64)), flat, b.column(2).slice(lo, hi - lo)], ["id", "name", "n", "bands", "text_hash"])

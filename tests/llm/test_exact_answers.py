@@ -73,6 +73,17 @@ def test_minhash_pairs_among_texts_of_common_words(spark):
     assert got == brute_groups(dict(rows)) == {k: k // 2 * 2 for k in range(400)}
 
 
+def test_minhash_lines_repeated_unequally(spark):
+    line = " ".join(f"l{k}" for k in range(20))
+    rows = []
+    for k in range(30):
+        words = [f"u{k}_{j}" for j in range(200)]
+        rows.append((2 * k, " ".join([*words, *[line] * 100])))
+        rows.append((2 * k + 1, " ".join([*words[:199], "other", *[line] * 3])))
+    got = {r.doc_id: r.group_id for r in minhash.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k // 2 * 2 for k, _ in rows}
+
+
 def test_rest_holds_every_similar_pair(spark):
     rng = np.random.default_rng(4)
     made = {}
