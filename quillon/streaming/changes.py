@@ -17,11 +17,19 @@ from quillon.session import table
 LATE = "10 minutes"
 
 
-def stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 8) -> DataFrame:
-    """The table as a file stream of its schema, with ts as an event time."""
+def stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """The table as a file stream of its schema, with ts as an event time.
+
+    All files that are there make one batch: they need not be in the order of ts, and rows of later batches that lie
+    behind the watermark would be dropped. files_per_batch is for streams without a watermark and for files in order.
+    """
     path = f"{sf_dir}/{name}.parquet"
     # a pattern, because a table may be one file and the source takes a plain path for a folder
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[t]")
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    # with no limit, availableNow takes all present files in one batch
+    rows = reader.parquet(f"{path[:-1]}[t]")
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
@@ -132,9 +140,9 @@ def _ntz(rows: DataFrame, *names: str) -> DataFrame:
 QUERIES = {
     "stream_debounce": lambda s, d: _ntz(finished(debounced(stream(s, d, "events").withColumnRenamed("user_id", "repo"), ["repo"], "30 minutes")), "first", "last"),
     "stream_latest_status": lambda s, d: finished(last_status(stream(s, d, "events").select(F.col("user_id").alias("repo"), F.get_json_object("props", "$.k").alias("path"), F.col("event_type").alias("status"), "ts"), "1 hour")).groupBy("status").agg(F.count("*").alias("n")),
-    "stream_usage_counts": lambda s, d: finished(running_counts(stream(s, d, "events"), ["user_id", "event_type"]), "complete"),
+    "stream_usage_counts": lambda s, d: finished(running_counts(stream(s, d, "events", 8), ["user_id", "event_type"]), "complete"),
     "stream_rate_windows": lambda s, d: _ntz(finished(rate_windows(stream(s, d, "events"), "user_id")), "start"),
-    "stream_upsert": lambda s, d: _ntz(upserted(stream(s, d, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], "ts"), "ts"),
+    "stream_upsert": lambda s, d: _ntz(upserted(stream(s, d, "events", 8).select("user_id", "ts", "event_id", "event_type"), ["user_id"], "ts"), "ts"),
 }
 # a stream in append mode holds back what the watermark has not closed: windows that end after the newest time less LATE
 SQL = {

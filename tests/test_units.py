@@ -174,6 +174,13 @@ def test_forced_flush(spark, sf):
     assert sum(r.n for r in got if r.why == "full") == spark.read.parquet(f"{sf}/events.parquet").count() // 300 * 300
 
 
+def test_streams_take_many_files_out_of_time_order(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/events.parquet").repartition(20, "event_id").write.parquet(f"file://{tmp_path}/events.parquet")
+    for name in ("stream_debounce", "stream_latest_status", "stream_rate_windows"):
+        one, many = (sorted(map(tuple, changes.QUERIES[name](spark, d).collect())) for d in (sf, str(tmp_path)))
+        assert one and many == one
+
+
 def test_upsert_keeps_locked(spark):
     old = spark.createDataFrame([("a", 1, True), ("b", 1, False)], "k string, at int, locked boolean")
     new = spark.createDataFrame([("a", 2, False), ("b", 2, False), ("c", 2, False)], "k string, at int, locked boolean")
