@@ -47,12 +47,13 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[Texts, list[tuple[np
     return t, out
 
 
-def _looked_up(table: np.ndarray, keys: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def _looked_up(table: np.ndarray, keys: list[tuple[np.ndarray, np.ndarray]], first: np.ndarray) -> np.ndarray:
     """Token scores: the first kept entry of the token and its beginnings, long before short."""
     scores = table[keys[0][1]]
     for at, buckets in keys[1:]:
         scores[at] = np.where(scores[at] == 0, table[buckets], scores[at])
     again = np.flatnonzero(keys[0][1][1:] == keys[0][1][:-1]) + 1
+    again = again[~np.isin(again, first)]  # the token before a text's first belongs to another text
     scores[again] = np.minimum(scores[again], 0)  # a token twice running is no more evidence than once
     return np.maximum(scores - np.float32(DRIFT), np.float32(FLOOR))
 
@@ -101,7 +102,7 @@ class Model:
         """(slice, text, token scores) of each text that has a positive token; None scores for the rest."""
         for _, _, data, offsets in slices(column):
             t, buckets = _tokens(data, offsets)
-            scores = _looked_up(self.token, buckets)
+            scores = _looked_up(self.token, buckets, t.first)
             total = np.zeros(len(scores) + 1, np.int64)
             np.cumsum(scores > 0, out=total[1:])
             some = total[t.first[1:]] > total[t.first[:-1]]

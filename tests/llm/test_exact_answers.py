@@ -266,6 +266,14 @@ def test_ledger_policies_and_ablation(spark, sf):
         assert (r.failed, r.failed_alone, r.kept_without) == (sum(b & bit != 0 for b in bits), sum(b == bit for b in bits), sum(b & ~bit == 0 for b in bits))
 
 
+def test_copies_of_a_toxic_word_score_alike():
+    model = toxicity.Model(np.full(1 << toxicity.BITS, 5, np.float32), 1.0, 0.1, (1.0, 0.0))
+    got = model.scores(pa.array(["idiot"] * 5 + ["", "idiot idiot"]))
+    assert got[0] > 0.5 and (got[:5] == got[0]).all() and got[5] == 0.5
+    own = [float(model.scores(pa.array([x]))[0]) for x in ("idiot", "", "idiot idiot")]
+    assert got[4:].tolist() == own
+
+
 @given(st.lists(st.sampled_from([-2.0, -1.0, -0.5, 0.5, 1.0, 3.0]), max_size=40))
 @settings(max_examples=80, deadline=None)
 def test_best_segment(scores):
