@@ -1,12 +1,13 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
-A text is cut into chunks where a word begins whose predecessor has a rolling hash below a bound, so that words and
-passages which documents share give equal chunks wherever they stand. Each worker encodes a chunk once, keeps its ids
-in a cache of bounded size, and puts texts together from the cache by array operations. Every join of two
-chunks is checked: the characters about it are encoded together and apart (once for equal characters); where that does not
-agree, wider and wider windows are encoded, and where none agrees up to the ends of the two chunks, these become one chunk
-whose joins are checked in turn. Ids are decoded as the library does it for a vocabulary without decoder, by tokens with
-blanks between them; for a vocabulary that has a decoder the library decodes each text.
+A text is cut into chunks where a word begins whose predecessor has a rolling hash below a bound (one word in 1 / SHARE), so
+that passages which documents share give equal chunks wherever they stand. A worker encodes a chunk once and keeps its
+ids in a cache of bounded size that outlives its tasks; texts are put together from chunks. Every join of two chunks is
+checked: the characters about it, with the whole run of blanks between, must be split there by the vocabulary's own
+pre-tokeniser, and be encoded alike together and apart. Where that does not hold, wider and wider windows are tried; where
+none agrees up to the ends of the two chunks, these become one chunk that is encoded anew and whose joins are checked in
+turn. Chunks are told apart by their bytes. Ids are decoded as the library does it for a vocabulary without decoder, by
+tokens with blanks between them; for a vocabulary that has a decoder the library decodes each text.
 
 The vocabulary file is a parameter. Workers read it where it lies (an installed package); it is not copied.
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from quillon.llm.grams import Texts, slices, tidy
 
-SHARE, CACHED, RUN = 0.95, 200_000, 400  # of words that end a chunk; chunks in a worker's cache, and encoded at a time
+SHARE, CACHED = 1 / 16, 50_000  # of words that end a chunk; chunks in a worker's cache
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -36,10 +38,6 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def _flat(parts: list[np.ndarray], kind) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
-
-
 def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """flat[start:start + size] of every entry, one after another."""
     ends = np.cumsum(size)
@@ -61,15 +59,9 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.windows: dict[bytes, int] = {}
-        self.agreed: dict[tuple[int, int], bool] = {}
+        self.known: dict[bytes, bytes] = {}  # ids of chunks, as little-endian unsigned 32-bit integers
+        self.agreed: dict[tuple[bytes, bytes], bool] = {}
         self._pieces = None
-        self.reset()
-
-    def reset(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.shape = np.zeros((4, 0), np.int64)  # start and number of ids; windows at head and tail
 
     def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes of all tokens with a blank behind each, and where each starts and how long it is."""
@@ -82,61 +74,34 @@ class Codec:
     def raw_ids(self, text: bytes) -> list[int]:
         return self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
 
-    def together(self, chunks: list[bytes], heads: list[int], tails: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, number of ids of each chunk) of runs of chunks, a run encoded as one text where all its joins agree.
-
-        The chunks that no blank closes come last, each a run of its own.
-        """
-        closed = next((k for k, c in enumerate(chunks) if not c[-1:].isspace()), len(chunks))
-        runs = [range(lo, min(lo + RUN, closed)) for lo in range(0, closed, RUN)] + [range(k, k + 1) for k in range(closed, len(chunks))]
-        out, texts = [], [[chunks[k] for k in run] for run in runs]
-        whole = [all(self.joined(tails[k], heads[k + 1]) for k in run[:-1]) for run in runs]
-        text = [[x.decode() for x in t] for t in texts]
-        got = iter(self.tokenizer.encode_batch(["".join(t) for t, w in zip(text, whole, strict=True) if w], add_special_tokens=False))
-        for run, t, w in zip(runs, text, whole, strict=True):
-            if w:
-                e = next(got)
-                ends = np.cumsum([len(x) for x in t])
-                own = np.searchsorted(ends, np.fromiter((o[0] for o in e.offsets), np.int64, len(e)), "right")
-                out.append((np.array(e.ids, np.uint32), np.bincount(own, minlength=len(t))[: len(t)]))
-            else:
-                each = [self.raw_ids(chunks[k]) for k in run]
-                out.append((np.array([i for ids in each for i in ids], np.uint32), np.array([len(i) for i in each], np.int64)))
-        return out
-
-    def look_up(self, chunks: list[bytes]) -> np.ndarray:
-        """Places of the chunks in the cache; those that it lacks are encoded, each once."""
-        if len(self.at) > CACHED:
-            self.reset()
-        at = self.at
-        new = [c for c in dict.fromkeys(chunks) if c not in at]
-        if new:
-            new.sort(key=lambda c: not c[-1:].isspace())
-            window = self.windows
-            heads = [window.setdefault(c[:1] if c[0] < 128 else _head(c, 1), len(window)) for c in new]
-            tails = [window.setdefault(c[-2:] if c[-1] == 32 and len(c) > 1 and 32 < c[-2] < 128 else _tail(c, 1), len(window)) for c in new]
-            got = self.together(new, heads, tails)
-            n = np.concatenate([x for _, x in got])
-            part = np.stack([len(self.ids) + np.cumsum(n) - n, n, heads, tails])
-            self.shape = np.concatenate([self.shape, part], 1)
-            self.ids = np.concatenate([self.ids, *(x for x, _ in got)])
-            at.update(zip(new, range(len(at), len(at) + len(new)), strict=True))
-        return np.fromiter(map(at.__getitem__, chunks), np.int64, len(chunks))
-
-    def joined(self, tail: int, head: int) -> bool:
-        """Whether the characters about a join are encoded alike together and apart."""
-        if (tail, head) not in self.agreed:
-            names = list(self.windows)
-            a, b = names[tail], names[head]
-            self.agreed[tail, head] = self.raw_ids(a + b) == self.raw_ids(a) + self.raw_ids(b)
-        return self.agreed[tail, head]
+    def look_up(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of the chunks; those that the cache lacks are encoded, each once."""
+        new = [c for c in dict.fromkeys(chunks) if c not in self.known]
+        if len(self.known) + len(new) > CACHED:
+            self.known = {c: self.known[c] for c in dict.fromkeys(chunks) if c in self.known}
+        got = self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
+        for c, e in zip(new, got, strict=True):
+            ids = e.ids
+            self.known[c] = struct.pack(f"<{len(ids)}I", *ids)
+        return [self.known[c] for c in chunks]
+
+    def splits(self, a: bytes, b: bytes) -> bool:
+        """Whether nothing crosses the join of a and b: neither normaliser nor pre-tokeniser, and the ids are the same."""
+        if (a, b) not in self.agreed:
+            if len(self.agreed) > CACHED:
+                self.agreed.clear()
+            norm, pre = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+            x, y, both = (norm.normalize_str(t.decode()) if norm else t.decode() for t in (a, b, a + b))
+            apart = pre is not None and x + y == both and not any(lo < len(x) < hi for _, (lo, hi) in pre.pre_tokenize_str(both))
+            self.agreed[a, b] = apart and self.raw_ids(a + b) == self.raw_ids(a) + self.raw_ids(b)
+        return self.agreed[a, b]
 
     def agrees(self, left: bytes, right: bytes) -> bool:
-        """The same over wider and wider windows, up to both chunks' ends."""
+        """The same for two chunks, over wider and wider windows up to both chunks' ends."""
         span = 1
         while True:
             a, b = _tail(left, span), _head(right, span)
-            if self.raw_ids(a + b) == self.raw_ids(a) + self.raw_ids(b):
+            if self.splits(a, b):
                 return True
             if len(a) == len(left) and len(b) == len(right):
                 return False
@@ -151,23 +116,16 @@ class Codec:
             out.append(c)
         return out
 
-    def assembled(self, at: np.ndarray, first: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
-        """(ids, decoded text) of texts whose chunks are at[first[k]:first[k + 1]]."""
-        start, n = self.shape[:2, at]
-        ids = _gather(self.ids, start, n)
-        cut = np.concatenate([[0], np.cumsum(n)])[first]
-        raw = ids.astype("<u4").tobytes()
+    def decoded(self, parts: list[bytes]) -> list[bytes]:
+        """The decoded text of each text's ids."""
+        flat = np.frombuffer(b"".join(parts), "<u4")
+        cut = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int64)
         if self.tokenizer.decoder is not None:
-            for k in range(len(first) - 1):
-                yield raw[4 * cut[k] : 4 * cut[k + 1]], self.tokenizer.decode(ids[cut[k] : cut[k + 1]].tolist(), skip_special_tokens=False).encode()
-            return
-        flat, begin, size = self.pieces()
-        m = size[ids]
-        text = _gather(flat, begin[ids], m).tobytes()
-        back = np.concatenate([[0], np.cumsum(m)])[cut].tolist()
-        cut = cut.tolist()
-        for k in range(len(first) - 1):
-            yield raw[4 * cut[k] : 4 * cut[k + 1]], text[back[k] : max(back[k], back[k + 1] - 1)]
+            return [self.tokenizer.decode(flat[lo:hi].tolist(), skip_special_tokens=False).encode() for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
+        pieces, begin, size = self.pieces()
+        text = _gather(pieces, begin[flat], size[flat]).tobytes()
+        back = np.concatenate([[0], np.cumsum(size[flat])])[cut].tolist()
+        return [text[lo : max(lo, hi - 1)] for lo, hi in zip(back[:-1], back[1:], strict=True)]
 
 
 def _tail(chunk: bytes, span: int) -> bytes:
@@ -192,7 +150,7 @@ def _head(chunk: bytes, span: int) -> bytes:
 def cuts(t: Texts, share: float = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where chunks of a slice start and end, and each text's first chunk."""
     low = np.zeros(len(t.starts), bool)
-    low[1:] = t.words()[:-1] <= np.uint64(int(share * (1 << 62)) << 2)
+    low[1:] = t.words()[:-1] < np.uint64(int(share * (1 << 62)) << 2)
     heads = t.first[:-1][np.diff(t.first) > 0]
     low[heads] = False  # a text's first word does not start a second chunk
     filled = np.flatnonzero(np.diff(t.seps) > 1)
@@ -220,31 +178,12 @@ def encoded(column: pa.Array, path: str) -> Iterator[tuple[bytes, bytes]]:
         t = Texts(data, offsets)
         raw = t.buf.tobytes()
         starts, ends, first = cuts(t)
-        keys = t.hashes(starts, ends) + (ends - starts).astype(np.uint64)
-        _, one, which = np.unique(keys, return_index=True, return_inverse=True)
-        plain = np.concatenate([[0], np.cumsum(t.buf, dtype=np.int64)])
-        total, size = plain[ends] - plain[starts], ends - starts
-        if (total != total[one][which]).any() or (size != size[one][which]).any():  # unlike chunks of one hash
-            one, which = np.arange(len(starts)), np.arange(len(starts))
-        at = c.look_up([raw[lo:hi] for lo, hi in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])[which]
-        pairs = c.shape[3, at[:-1]] << 32 | c.shape[2, at[1:]]
-        inner = np.ones(len(pairs), bool)
-        inner[first[1:-1][(first[1:-1] > 0) & (first[1:-1] <= len(pairs))] - 1] = False
-        kinds, kind = np.unique(pairs[inner], return_inverse=True)
-        apart = np.array([not c.joined(p >> 32, p & 0xFFFFFFFF) for p in kinds.tolist()], bool)
-        if not apart.any():
-            yield from c.assembled(at, first)
-            continue
-        wrong = np.flatnonzero(inner)[apart[kind]]
-        broken = set(np.searchsorted(first, wrong, "right").tolist())
-        for k in range(t.n):
-            chunks = at[first[k] : first[k + 1]]
-            if k + 1 in broken:
-                own = [raw[lo:hi] for lo, hi in zip(starts[first[k] : first[k + 1]].tolist(), ends[first[k] : first[k + 1]].tolist(), strict=True)]
-                whole = c.repaired(own)
-                yield b"".join(np.array(c.raw_ids(x), "<u4").tobytes() for x in whole), b" ".join(d.encode() for x in whole if (d := c.tokenizer.decode(c.raw_ids(x), skip_special_tokens=False)))
-            else:
-                yield from c.assembled(chunks, np.array([0, len(chunks)]))
+        chunks = [raw[lo:hi] for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True)]
+        texts = [chunks[lo:hi] for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        texts = [x if all(map(c.agrees, x, x[1:])) else c.repaired(x) for x in texts]
+        ids = iter(c.look_up([chunk for x in texts for chunk in x]))
+        parts = [b"".join([next(ids) for _ in x]) for x in texts]
+        yield from zip(parts, c.decoded(parts), strict=True)
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -267,7 +206,6 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done[0], pa.int64()), pa.array(done[1], pa.string()), pa.array(done[2], pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done[0], pa.list_(pa.int32())), pa.array(done[1], pa.string())], [id_col, "ids", "decoded"])
-        codec(path).reset()  # the worker lives on, its next task may be another operator's
 
     shape = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     return docs.select(id_col, text_col).mapInArrow(tidy(run), f"`{id_col}` {kind}, {shape}")

@@ -1,12 +1,15 @@
 """Words and n-grams of Arrow string columns as numpy arrays, without a Python object for each word.
 
-A slice of rows becomes one byte buffer in which a blank stands before each text and after the last. A polynomial hash
-modulo 2**64 over prefix sums gives the hash of any range of bytes in two operations.
+A slice of rows becomes one byte buffer in which a blank stands before each text and after the last. A range of bytes is
+hashed in blocks of eight, each mixed in by a function that is one to one, so ranges of up to eight bytes never collide
+with others of their length; ranges beyond LONG bytes go through BLAKE2b. Where equality itself is asked for, `same` and
+`word_ids` decide it by the bytes.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -14,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+LONG = 64
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -43,17 +46,6 @@ def table_of(chars: bytes) -> np.ndarray:
     return out
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
-    if len(_POWERS["up"]) < n:
-        size = max(n, SLICE + 65536)
-        for kind, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[kind] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
@@ -98,19 +90,53 @@ class Texts:
         edges = np.flatnonzero(self.word[1:] != self.word[:-1]) + 1
         self.starts, self.ends = edges[::2], edges[1::2]
         self.first = np.searchsorted(self.starts, self.seps)  # of each text's first word; the last: all words
-        self._sums = None
+        self._eights = None
 
     @property
-    def sums(self) -> np.ndarray:
-        if self._sums is None:
-            up, _ = powers(len(self.buf))
-            self._sums = np.zeros(len(self.buf) + 1, np.uint64)
-            np.cumsum((self.buf.astype(np.uint64) + np.uint64(1)) * up, out=self._sums[1:])
-        return self._sums
+    def eights(self) -> np.ndarray:
+        """The eight bytes from each place of the buffer as one number."""
+        if self._eights is None:
+            held = np.concatenate([self.buf, np.zeros(8, np.uint8)])
+            self._eights = np.ndarray(len(self.buf) + 1, "<u8", held.data, strides=(1,))
+        return self._eights
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        _, down = powers(len(self.buf) + 1)
-        return mix((self.sums[ends] - self.sums[starts]) * down[starts])
+        size = ends - starts
+        out = mix(size.astype(np.uint64) + _GOLD)
+        out = mix(out ^ (self.eights[starts] & _LOW[np.minimum(size, 8)]))
+        live, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(live):
+            at = starts[live] + k
+            out[live] = mix((out[live] + _GOLD) ^ (self.eights[at] & _LOW[np.minimum(ends[live] - at, 8)]))
+            k += 8
+            live = live[size[live] > k]
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.buf[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        return out
+
+    def same(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Whether the ranges (starts, ends) of a and b hold equal bytes, pair by pair."""
+        size = a[1] - a[0]
+        out = size == b[1] - b[0]
+        live, k = np.flatnonzero(out), 0
+        live = live[a[0][live] != b[0][live]]
+        while len(live) and k < LONG:
+            mask = _LOW[np.minimum(size[live] - k, 8)]
+            equal = ((self.eights[a[0][live] + k] ^ self.eights[b[0][live] + k]) & mask) == 0
+            out[live] = equal
+            k += 8
+            live = live[equal & (size[live] > k)]
+        for i in live.tolist():
+            out[i] = np.array_equal(self.buf[a[0][i] + k : a[1][i]], self.buf[b[0][i] + k : b[1][i]])
+        return out
+
+    def ids(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of the ranges, equal where their bytes are."""
+        _, one, which = np.unique(self.hashes(starts, ends), return_index=True, return_inverse=True)
+        if not self.same((starts, ends), (starts[one[which]], ends[one[which]])).all():  # unlike ranges of one hash
+            known: dict[bytes, int] = {}
+            which = np.array([known.setdefault(self.buf[a:b].tobytes(), len(known)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        return which
 
     def words(self) -> np.ndarray:
         return self.hashes(self.starts, self.ends)
@@ -125,6 +151,24 @@ class Texts:
         return np.repeat(np.arange(self.n), np.diff(self.first))
 
 
+def windows(ids: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers, equal where the words are, of all windows of `size` words that lie in one text, and where each begins.
+
+    Neighbouring pairs are numbered, then pairs of such pairs: no hash decides.
+    """
+    n = len(ids) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    room = np.repeat(first[1:], np.diff(first))[:n]
+    at = np.flatnonzero(np.arange(n) + size <= room)
+    out, span = ids.astype(np.int64), 1
+    while span < size:
+        step = min(span, size - span)
+        out = np.unique(out[:-step] * (int(out.max()) + 1) + out[step:], return_inverse=True)[1]
+        span += step
+    return out[at], at
+
+
 _STEPS = mix(np.arange(1, 129, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 

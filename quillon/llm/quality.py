@@ -1,13 +1,13 @@
 """Quality classifier: supervised subword embeddings.
 
-Words, word pairs (a word twice running is one pair, whatever the word) and byte n-grams of words (blanks mark a word's
-ends) are hashed into buckets; a text is the mean of its buckets' vectors and of PADDING zero vectors, so that a few
+Words, word pairs (a word twice running is one pair, whatever the word) and character n-grams of words (blanks mark a
+word's ends) are hashed into buckets; a text is the mean of its buckets' vectors and of PADDING zero vectors, so that a few
 features of a short text decide little, and a softmax over two classes is trained on it by numpy stochastic gradient descent. Because the mean
 and the last layer are linear, scoring needs one number a bucket: a text's margin is the mean of those numbers.
 
-Training reads at most `SAMPLE` labelled rows of each class, those with the smallest hash of doc_id; each keeps its
-`STRONGEST` most frequent buckets, which bounds what reaches the driver (2 * SAMPLE * STRONGEST * 6 bytes). Scoring covers
-every row and whole texts.
+Training reads at most `SAMPLE` labelled rows of each class, those with the smallest hash of doc_id, each with all its
+buckets: at most 2 * SAMPLE * 2**BITS * 6 bytes reach the driver, a few tens of MB for ordinary texts. Scoring covers every
+row and whole texts.
 
 Defined results: null and empty texts get the score of the bias alone, 0 to 1 like any other; repeated rows score alike;
 other columns are ignored; an empty table gives no rows; without labels of both classes every score is 0.5.
@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.grams import Texts, mix, powers, slices, tidy
+from quillon.llm.grams import Texts, mix, slices, tidy
 from quillon.llm.shared import held_out, labelled_sample
 
-BITS, DIM, SAMPLE, STRONGEST, EPOCHS, RATE, SEED, PADDING = 16, 8, 3000, 1500, 10, 0.5, 7, 40
+BITS, DIM, SAMPLE, EPOCHS, RATE, SEED, PADDING = 16, 8, 1500, 10, 0.5, 7, 40
 ORDERS = (2, 3, 4)
 FOLDS, FOLD = 4, 2
 _KIND = mix(np.arange(1, 9, dtype=np.uint64))
@@ -47,18 +47,23 @@ def _buckets(t: Texts) -> tuple[np.ndarray, np.ndarray]:
         pairs[words[:-1] == words[1:]] = _KIND[6] >> shift  # any word twice running is one feature
         kinds.append(pairs[inside])
         places.append(t.starts[:-1][inside])
-    _, down = powers(len(t.buf) + 1)
+    # characters of the whole slice, and where each begins; a blank before a text belongs to the text that follows it
+    point = np.frombuffer(t.buf.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    head = np.flatnonzero((t.buf & 0xC0) != 0x80)
+    inner = t.word[head]
     for n in ORDERS:
-        at = np.arange(len(t.buf) - n + 1)
-        whole = t.word[1 : len(at) + 1].copy()  # blanks only at the ends
+        at = np.arange(len(head) - n + 1)
+        whole = inner[1 : len(at) + 1].copy()  # blanks only at the ends
         for j in range(2, n - 1):
-            whole &= t.word[j : len(at) + j]
+            whole &= inner[j : len(at) + j]
         if n == 2:
-            whole = t.word[: len(at)] | t.word[1 : len(at) + 1]
+            whole = inner[: len(at)] | inner[1 : len(at) + 1]
         at = at[whole]
-        h = (t.sums[at + n] - t.sums[at]) * down[at]
-        kinds.append(((h ^ (h >> np.uint64(29))) * _KIND[1 + n]) >> shift)
-        places.append(at + 1)  # a first blank belongs to the text that follows it
+        h = point[at]
+        for j in range(1, n):
+            h = (h << np.uint64(21)) ^ (h >> np.uint64(43)) ^ point[at + j]  # three characters fit; a fourth is mixed in
+        kinds.append((mix(h) * _KIND[1 + n]) >> shift)
+        places.append(head[at + 1])
     return np.concatenate(kinds).astype(np.int64), np.concatenate(places)
 
 
@@ -118,9 +123,8 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs, n = np.unique(text * (1 << BITS) + buckets, return_counts=True)
             cuts = np.searchsorted(pairs, np.arange(t.n + 1) << BITS)
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                some = np.sort(np.argsort(-n[lo:hi], kind="stable")[:STRONGEST])
-                ids.append((pairs[lo:hi][some] & ((1 << BITS) - 1)).astype(np.uint16).tobytes())
-                weights.append((n[lo:hi][some] / (n[lo:hi].sum() + PADDING)).astype(np.float32).tobytes())
+                ids.append((pairs[lo:hi] & ((1 << BITS) - 1)).astype(np.uint16).tobytes())
+                weights.append((n[lo:hi] / (n[lo:hi].sum() + PADDING)).astype(np.float32).tobytes())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids, pa.binary()), pa.array(weights, pa.binary())], ["doc_id", "label", "ids", "weights"])
 
 

@@ -4,6 +4,8 @@
 the bits under a versioned policy and `ablate` counts, by bitwise aggregation, what each rule removes alone, so neither
 opens a text again.
 
+Lines and windows are equal where their bytes are; hashes only bring candidates together.
+
 Defined results: a null or empty text has no words and fails `few_words`; repeated rows are measured one by one; columns
 besides id and text are ignored, whatever their names; an empty table gives an empty ledger. A text is never cut: slices
 hold whole texts, and one text's arrays are the memory bound of a task.
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.grams import Texts, mix, shingles, slices, table_of, tidy
+from quillon.llm.grams import Texts, slices, table_of, tidy, windows
 
 MEASURES = "n_words n_chars word_chars n_symbols n_upper n_marks n_lines n_dup_lines n_repeat_words".split()
 WINDOW = 5
@@ -51,7 +53,6 @@ def _measure(column: pa.Array) -> dict[str, np.ndarray]:
     for _, _, data, offsets in slices(column):
         t = Texts(data, offsets)
         n_words = np.diff(t.first)
-        words = t.words()
         heads = (t.buf & 0xC0) != 0x80
         heads[t.seps] = False
         out["n_words"].append(n_words)
@@ -65,20 +66,20 @@ def _measure(column: pa.Array) -> dict[str, np.ndarray]:
         ends = np.flatnonzero(breaks)
         line = np.unique(np.searchsorted(ends, t.starts)) - 1  # between ends[line] and ends[line + 1]
         text = np.searchsorted(t.seps, ends[line], "right") - 1
-        key = mix(t.hashes(ends[line] + 1, ends[line + 1]) + mix(text.astype(np.uint64) + np.uint64(1)))
+        key = t.ids(ends[line] + 1, ends[line + 1]) * t.n + text
         _, at = np.unique(key, return_index=True)
         lines = np.bincount(text, minlength=t.n)
         out["n_lines"].append(lines)
         out["n_dup_lines"].append(lines - np.bincount(text[at], minlength=t.n))
-        keys, at = shingles(words, t.first, WINDOW)
         owner = t.text_of_word()
-        keys = mix(keys + mix(owner[at].astype(np.uint64) + np.uint64(1)))
+        keys, at = windows(t.ids(t.starts, t.ends), t.first, WINDOW)
+        keys = keys * t.n + owner[at]
         order = np.argsort(keys)
         same = keys[order[1:]] == keys[order[:-1]]
         twice = np.zeros(len(keys), bool)
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
-        cover = np.zeros(len(words) + 1, np.int64)
+        cover = np.zeros(n_words.sum() + 1, np.int64)
         np.add.at(cover, at[twice], 1)
         np.add.at(cover, at[twice] + WINDOW, -1)
         out["n_repeat_words"].append(np.bincount(owner[np.cumsum(cover)[:-1] > 0], minlength=t.n))

@@ -44,10 +44,11 @@ def held_out(id_col: str, folds: int, fold: int):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, folds: int, fold: int) -> DataFrame:
-    """(text, label) of at most `bound` labelled rows of each class outside the held-out fold.
+    """(doc_id, text, label) of at most `bound` labelled rows of each class outside the held-out fold.
 
-    The rows are those with the smallest hash of doc_id, so reruns agree. The ids that are kept number at most 2 * bound,
-    so that they can be broadcast and no text is shuffled.
+    The rows are those with the smallest hash of doc_id, so reruns agree; of an id that documents repeat, the row with the
+    smallest hash of its text. The ids that are kept number at most 2 * bound, so that they can be broadcast, and only
+    their rows are shuffled.
     """
     marked = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(
         F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out("doc_id", folds, fold)
@@ -57,4 +58,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     for value in (0, 1):
         part = marked.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
         picked = part if picked is None else picked.union(part)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))

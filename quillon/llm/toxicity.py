@@ -8,8 +8,8 @@ score S in n tokens has the extreme-value excess lambda * S - ln(K * n), where l
 clean tokens and K is fitted on clean training texts; excesses above zero are significant and add up. A logistic curve
 over that sum, fitted on the training rows, gives the score.
 
-Training reads at most `SAMPLE` labelled rows of each class, those with the smallest hash of doc_id; counts are summed
-by Spark into 2**BITS rows at most. Scoring covers every row and whole texts.
+Training reads at most `SAMPLE` labelled rows of each class, those with the smallest hash of doc_id, one for an id that
+repeats; they are written once and counts are summed by Spark into 2**BITS rows at most. Scoring covers every row and whole texts.
 
 Defined results: null and empty texts have no segment and get the curve's lowest score; repeated rows score alike; other
 columns are ignored; an empty table gives no rows; without labels of both classes no text is toxic (score 0).
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.grams import Texts, mix, slices, tidy
-from quillon.llm.shared import held_out, labelled_sample
+from quillon.llm.shared import discard, held_out, labelled_sample, stage
 
 BITS, SAMPLE, PRIOR, Z, DRIFT, FLOOR, PREFIXES = 20, 8000, 0.05, 4.0, 0.25, -2.0, (6, 5, 4)
 FOLDS, FOLD = 5, 0
@@ -174,13 +174,14 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     spark = docs.sparkSession
-    sample = labelled_sample(docs, labels, label, SAMPLE, FOLDS, FOLD)
+    sample = stage(labelled_sample(docs, labels, label, SAMPLE, FOLDS, FOLD), "sample")  # read three times below
     counts = sample.select("text", "label").mapInArrow(tidy(_counts), "bucket long, toxic long, clean long")
     got = counts.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
     toxic, clean = np.zeros(1 << BITS), np.zeros(1 << BITS)
     at = got["bucket"].to_numpy()
     toxic[at], clean[at] = got["toxic"].to_numpy(), got["clean"].to_numpy()
     if not toxic.sum() or not clean.sum():
+        discard(sample)
         return Model(np.zeros(1 << BITS, np.float32), 0.0, 1.0, (0.0, -60.0))
     token = log_odds(toxic, clean)
     rate = _rate(np.maximum(token - DRIFT, FLOOR), clean)
@@ -206,6 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(shared.value.excess(b.column(0)))], ["label", "excess"])
 
     rows = sample.select("text", "label").mapInArrow(tidy(sums), "label int, excess double").toArrow()
+    discard(sample)
     y, x = rows["label"].to_numpy().astype(float), np.log1p(rows["excess"].to_numpy())
     order = np.lexsort((x, y))  # sums must not hang on the order of tasks
     return Model(scale.token, rate, scale.size, _logistic(x[order], y[order]))
