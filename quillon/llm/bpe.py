@@ -156,7 +156,7 @@ def cuts(t: Texts, share: float = SHARE) -> tuple[np.ndarray, np.ndarray, np.nda
     filled = np.flatnonzero(np.diff(t.seps) > 1)
     starts = np.sort(np.concatenate([t.starts[low], t.seps[filled] + 1]))
     first = np.searchsorted(starts, t.seps)
-    ends = np.append(starts[1:], 0)
+    ends = np.append(starts[1:], 0)[: len(starts)]
     last = first[1:][np.diff(first) > 0] - 1
     ends[last] = t.seps[1:][np.diff(first) > 0]
     return starts, ends, first

@@ -7,6 +7,8 @@ once, those whose bytes have ended leave with their group, and only the others'
 folder for the next round. Digits are the bytes themselves: no digest decides equality. (text_sha256 is output, and with
 the id it names one member of a group.)
 
+The row that stays is found by one aggregate and joined back by group, so that a hot group is split like any hot key.
+
 Defined results: null counts as the empty text; a null id is an id that comes last; rows repeated with the same id and
 text are members like others, and `kept` is true for one of them; extra columns are ignored by `exact_groups`; an empty
 table gives no rows.
@@ -16,10 +18,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import stage
+from quillon.llm.shared import one_of_each, stage
 
 FIRST, WIDER = 64, 32
 BLANKS = " \t\n\x0b\x0c\r"
@@ -28,7 +30,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     norm = F.translate(text, BLANKS, "")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.char_length(text).alias("points"), norm.alias("norm"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.char_length(text).alias("points"), norm.alias("norm"), F.monotonically_increasing_id().alias("row"))
     rows = rows.withColumns({"bytes": F.col("norm").cast("binary"), "sha": F.unhex(F.sha2("norm", 256))}).drop("norm")
     return rows.withColumn("digit", F.concat(F.lpad(F.hex(F.octet_length("bytes")), 8, "0").cast("binary"), F.substring("bytes", 1, FIRST)))
 
@@ -37,17 +39,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, keep_id, group_size, kept, text_sha256 and points (the original text's length), one row for each row of docs."""
     rows = _rows(docs, id_col, text_col)
     name = F.min(F.struct("id", "sha"))
+    own = ["id", "points", "sha", "row"]
     first = rows.groupBy("digit").agg(F.count("*").alias("n"), name.alias("group"))
     shared = F.col("n") > 1
     active = stage(
-        rows.join(first, "digit").select("id", "points", "sha", "n", F.when(shared, F.col("group")).alias("group"), F.when(shared, F.expr(f"substring(bytes, {FIRST + 1})")).alias("rest")),
+        rows.join(first, "digit").select(*own, "n", F.when(shared, F.col("group")).alias("group"), F.when(shared, F.expr(f"substring(bytes, {FIRST + 1})")).alias("rest")),
         "radix",
     )
     singles, groups, width, made = [], [], FIRST, [active]
     while True:
         singles.append(active.filter(F.col("n") == 1))
         some = active.filter("n > 1")
-        groups.append(some.filter(F.octet_length("rest") == 0).select("id", "points", "sha", "group"))
+        groups.append(some.filter(F.octet_length("rest") == 0).select(*own, "group"))
         left = some.filter(F.octet_length("rest") > 0)
         if left.isEmpty():
             break
@@ -55,20 +58,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         left = left.drop("n").withColumn("digit", F.substring("rest", 1, width))
         split = left.groupBy("group", "digit").agg(F.count("*").alias("n"), name.alias("next"))
         active = stage(
-            left.join(split, ["group", "digit"]).select("id", "points", "sha", "n", F.col("next").alias("group"), F.when(shared, F.expr(f"substring(rest, {width + 1})")).alias("rest")),
+            left.join(split, ["group", "digit"]).select(*own, "n", F.col("next").alias("group"), F.when(shared, F.expr(f"substring(rest, {width + 1})")).alias("rest")),
             "radix",
         )
         made.append(active)
     grouped = reduce(DataFrame.unionByName, groups)
-    best = F.max(F.struct("points", (-F.col("id")).alias("negative")))
+    # the longest, then the smallest id (null last), then any one of equal rows
+    best = F.min(F.struct((-F.col("points")).alias("shorter"), F.col("id").isNull().alias("unnamed"), "id", "sha", "row"))
     kept = grouped.groupBy("group").agg(F.count("*").alias("group_size"), best.alias("best"))
-    grouped = grouped.join(kept, "group").select("id", "points", "sha", "group_size", "group", (-F.col("best.negative")).alias("keep_id"), (F.col("points") == F.col("best.points")).alias("longest"))
-    won = F.col("longest") & F.col("id").eqNullSafe(F.col("keep_id"))
-    turn = F.row_number().over(Window.partitionBy("group").orderBy("sha"))
-    winners = grouped.filter(won).withColumn("kept", turn == 1)
-    others = grouped.filter(~won).withColumn("kept", F.lit(False))
+    grouped = grouped.join(kept, "group").select("id", "points", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "sha")
     alone = reduce(DataFrame.unionByName, singles).select("id", "points", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    every = alone.unionByName(winners.unionByName(others).select(alone.columns))
+    every = alone.unionByName(grouped)
     return every.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"), "points")
 
 
@@ -79,10 +79,9 @@ def query(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, one of each group, with their columns as they are."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = lambda sha, points: F.struct(F.col("doc_id").cast("long").alias("id"), sha.alias("sha"), points.alias("points"))
-    kept = exact_groups(docs).filter("kept").select(key(F.col("text_sha256"), F.col("points")).alias("__key"))
-    keyed = docs.withColumn("__key", key(F.sha2(F.translate(text, BLANKS, ""), 256), F.char_length(text)))
-    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = exact_groups(docs).groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), "points").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    key = {"id": F.col("doc_id").cast("long"), "sha": F.sha2(F.translate(text, BLANKS, ""), 256), "points": F.char_length(text)}
+    return one_of_each(docs, key, kept)
 
 
 SQL = r"""

@@ -1,22 +1,26 @@
 """Near-duplicates by ProbMinHash, banding and verification.
 
 A shingle is SHINGLE words (a shorter text is one shingle), its weight 1 however often the text has it, so that candidates
-and verification go by one similarity. Each shingle is a Poisson process of that rate; an arrival falls on a random
-register, which keeps its earliest; a shingle stops once its next arrival is later than every register. Two texts agree
-on a register with the probability Jaccard of these weights, which is the Jaccard of the sets. BANDS bands of ROWS registers make buckets; texts of one bucket are candidates, and the Jaccard of their sets of
-shingles decides (SIMILAR).
-
-Texts of equal shingle sets are one class from the start (copies are never paired). Within a bucket a class is compared with
-pivots, not with every other: first with the least class of all its buckets; then, in buckets that still hold two
-components, all pairs across components are compared where the bucket has SMALL classes at most; in larger ones the classes
-outside the largest component are compared with well-linked and drawn pivots, anew until a round links less than FEW of
-the classes it asks for. These rounds only save work: a prefix join (_rest) then finds every similar pair across components
-among the classes whose buckets still hold two. Components of the verified links are the groups. Every bucket is worked
-on, whatever its size; counts and pivots come from partial aggregation, hot keys of the joins are split by adaptive
-execution, and the prefix join salts its own.
+and verification go by one similarity. Each shingle is a Poisson process whose rate is its weight; an arrival falls on a
+random register, which keeps its earliest; a shingle stops once its next arrival is later than every register. Two texts
+agree on a register with the probability Jaccard of the weights, which for these is the Jaccard of the sets. BANDS bands of
+ROWS registers make buckets; texts of one bucket are candidates, and the Jaccard of their sets decides (SIMILAR).
+
+Texts of equal shingle sets are one class from the start (copies are never paired), and no step makes all pairs of a bucket:
+
+1. A class is compared with the least head of its buckets (a bucket's head is its least class).
+2. TURNS times: in buckets that still hold two components, classes of other components than its head's are compared with
+   the head, which now is the class with the most links.
+3. A prefix join (_rest) finds every similar pair across components among the classes whose buckets still hold two.
+
+Steps 1 and 2 only save work for step 3, which leaves no similar pair of a bucket unlinked, whatever the bucket's size. What
+remains is the banding itself: a pair at 0.8 shares no bucket once in 37,000 times. Components of the links are the groups.
+Counts and heads come from partial aggregation, hot keys of the joins are split by adaptive execution (no window or
+aggregate stands on them), and the prefix join salts its own.
 
 Defined results: null and empty texts have no shingle and stand alone; equal rows are in one group; a null id is an id that
-sorts first; the group's smallest id stays, one row of it where ids repeat; other columns are ignored.
+sorts first; the group's smallest id stays, one row of it where ids repeat; ids must be whole numbers or text that is one;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.grams import _STEPS, Texts, mix, shingles, slices, tidy
 from quillon.llm.graph import components
-from quillon.llm.shared import discard, stage
+from quillon.llm.shared import discard, one_of_each, stage
 
-SHINGLE, BANDS, ROWS, SIMILAR, SMALL, PIVOTS, LOOKS, FEW, SALT, SEED = 5, 20, 4, 0.8, 12, 4, 2, 0.02, 512, 0x5851F42D4C957F2D
+SHINGLE, BANDS, ROWS, SIMILAR, TURNS, SALT, SEED = 5, 20, 4, 0.8, 1, 512, 0x5851F42D4C957F2D
 REGISTERS = BANDS * ROWS
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -94,7 +98,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = signatures(owner, keys, np.ones_like(often), t.n).reshape(t.n, BANDS, ROWS)
             band = mix((sig * _STEPS[:ROWS]).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _GOLD).astype(np.int64)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(t.n + 1, dtype=np.int32) * BANDS), pa.array(band.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in name], pa.binary()), pa.array(size.astype(np.int64)), flat, b.column(2).slice(lo, hi - lo)], ["id", "name", "n", "bands", "text_hash"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in name], pa.binary()), pa.array(size.astype(np.int64)), flat, b.column(2).slice(lo, hi - lo), b.column(3).slice(lo, hi - lo)], ["id", "name", "n", "bands", "text_hash", "row"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,33 +148,6 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stage(both.mapInArrow(tidy(_verified), "a binary, b binary"), "links")
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """All pairs of unlike labels in buckets of SMALL classes at most."""
-    gathered = rows.groupBy("bucket").agg(F.collect_list(F.struct("label", "name")).alias("all"))
-    pairs = gathered.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).filter("x.label <> y.label AND x.name > y.name")
-    return pairs.select(F.col("x.name").alias("a"), F.col("y.name").alias("b"))
-
-
-def _drawn(rows: DataFrame, links: DataFrame, turn: int) -> DataFrame:
-    """(a, b): classes outside their bucket's largest component with pivots of other components.
-
-    A bucket's pivots are its best-linked class, classes drawn from its largest component and one drawn from the rest.
-    """
-    ends = links.select(F.col("a").alias("name")).union(links.select("b"))
-    degree = ends.groupBy("name").agg(F.count("*").alias("degree"))
-    rows = rows.join(degree, "name", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    inner, who = F.col("label") == F.col("top"), F.struct("name", "label", "degree")
-    draw = lambda k, where: F.min_by(F.when(where, who), F.when(where, F.xxhash64("name", F.lit(turn * 64 + k))))
-    best = F.max(F.when(inner, F.struct("degree", "name", "label")))
-    drawn = [F.when(best.isNotNull(), F.struct(best["name"].alias("name"), best["label"].alias("label"), best["degree"].alias("degree"))), *(draw(k, inner) for k in range(PIVOTS)), draw(32, ~inner)]
-    pivots = rows.groupBy("bucket").agg(F.array_distinct(F.filter(F.array(*drawn), lambda p: p.isNotNull())).alias("pivots"))
-    # LOOKS of a class's open buckets a round: others come up in later rounds
-    look = F.row_number().over(Window.partitionBy("name").orderBy(F.xxhash64("bucket", F.lit(turn)), "bucket"))
-    asked = rows.filter(~inner).select("bucket", "name", "label", look.alias("look")).filter(F.col("look") <= LOOKS)
-    asked = asked.join(pivots, "bucket").select(F.col("name").alias("a"), F.explode(F.filter("pivots", lambda p: p["label"] != F.col("label"))).alias("p"))
-    return asked.select("a", F.col("p.name").alias("b")).distinct()
-
-
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """name, label, set: a row for each shingle, with the set's size."""
     for b in batches:
@@ -217,57 +194,58 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stage(moved.select("node", F.coalesce("up", "label").alias("label")), "labels")
 
 
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the buckets that hold two components and more, with their labels; a table."""
+    named = members.join(labels.withColumnRenamed("node", "name"), "name", "left").select("bucket", "name", F.coalesce("label", "name").alias("label"))
+    parts = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    return stage(named.join(parts.select("bucket"), "bucket"), "open")
+
+
+def _with_heads(open_: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b): classes with the best-linked class of their bucket, where that is of another component."""
+    ends = links.select(F.col("a").alias("name")).union(links.select("b")).groupBy("name").agg(F.count("*").alias("degree"))
+    ranked = open_.join(ends, "name", "left").select("bucket", "name", "label", F.coalesce("degree", F.lit(0)).alias("degree"))
+    heads = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "name", "label")).alias("head"))
+    asked = open_.select("bucket", "name", "label").join(heads, "bucket").filter("label <> head.label")
+    return asked.select(F.col("name").alias("a"), F.col("head.name").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, group_id (the group's smallest id), group_size, kept, n_shingles and text_hash, one row for each row of docs."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = stage(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(tidy(_sketch), "id long, name binary, n long, bands array<long>, text_hash long"), "sketches")
-    classes = rows.filter("n > 0").groupBy("name").agg(F.min("id").alias("id"), F.min("bands").alias("bands"))
+    # the number of a row is written with it, so that it never changes; it tells equal rows apart
+    numbered = texts.withColumns({"text_hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    rows = stage(numbered.mapInArrow(tidy(_sketch), "id long, name binary, n long, bands array<long>, text_hash long, row long"), "sketches")
+    classes = rows.filter("n > 0").groupBy("name").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
     members = classes.select("name", F.explode("bands").alias("bucket"))
-    heads = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("name").alias("head")).filter("size > 1")
+    heads = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("name").alias("head")).filter("size > 1").drop("size")
     members = stage(members.join(heads, "bucket"), "buckets")
-    pairs = members.groupBy(F.col("name").alias("a")).agg(F.min("head").alias("b"))
     wanted = members.select("name").distinct().join(classes.select("name", "id"), "name")
     some = texts.join(wanted.select(F.col("id").alias("wid")).distinct(), F.col("id").eqNullSafe(F.col("wid")), "left_semi")
     sets = some.select("text").mapInArrow(tidy(_sets), "name binary, set binary").join(wanted.select("name"), "name", "left_semi")
     sets = stage(sets.groupBy("name").agg(F.first("set").alias("set")), "sets")
-    links = _links(pairs.filter("a <> b"), sets)
-    labels, tried, every, turn, more = components(links), None, links, 0, True
-    while True:
-        named = members.join(labels.withColumnRenamed("node", "name"), "name", "left").select("bucket", "name", "size", F.coalesce("label", "name").alias("label"))
-        parts = named.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label"))["label"].alias("top"), F.count("*").alias("labels"))
-        open_ = stage(named.join(parts.filter("labels > 1").drop("labels"), "bucket"), "open")
+    pairs = members.groupBy(F.col("name").alias("a")).agg(F.min("head").alias("b")).filter("a <> b")
+    links = _links(pairs, sets)
+    labels, every = components(links), links
+    made = [members, sets, links]
+    for turn in range(TURNS + 1):
+        open_ = _open(members, labels)
+        made.append(open_)
         if open_.isEmpty():
             break
-        if not more:
-            links = _links(_rest(open_.filter(F.col("size") > SMALL).select("name", "label").distinct(), sets), sets)
-            if not links.isEmpty():
-                labels = _joined(labels, links)
-            break
-        pairs = _drawn(open_.filter(F.col("size") > SMALL), every, turn)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        if turn == 0:
-            pairs = pairs.union(_across(open_.filter(F.col("size") <= SMALL))).distinct()
-        pairs = stage(pairs, "pairs")
+        pairs = _rest(open_.select("name", "label").distinct(), sets) if turn == TURNS else _with_heads(open_, every)
         links = _links(pairs, sets)
-        turn += 1
-        found, asked = links.count(), pairs.select("a").distinct().count()
-        more = found > 0 and found >= FEW * asked
-        if not found:
-            continue
-        tried = pairs if tried is None else tried.union(pairs)
-        every = every.union(links)
-        labels = _joined(labels, links)
-    grouped = rows.filter("n > 0").join(labels.withColumnRenamed("node", "name"), "name", "left").select("id", "n", "text_hash", F.coalesce("label", "name").alias("label"))
-    found = grouped.groupBy("label").agg(F.min("id").alias("group_id"), F.count("*").alias("group_size"), F.count_if(F.col("id").isNull()).alias("unnamed"))
-    found = found.withColumn("group_id", F.when(F.col("unnamed") == 0, F.col("group_id"))).drop("unnamed")
-    grouped = grouped.join(found, "label")
-    own = F.col("id").eqNullSafe(F.col("group_id"))
-    first = F.row_number().over(Window.partitionBy("label").orderBy("n", "text_hash"))
-    stays = grouped.filter(own).withColumn("kept", first == 1)
-    goes = grouped.filter(~own).withColumn("kept", F.lit(False))
-    alone = rows.filter("n = 0").select("id", F.col("id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "n", "text_hash")
-    return alone.unionByName(stays.unionByName(goes).select(alone.columns)).withColumnsRenamed({"id": id_col, "n": "n_shingles"})
+        made.append(links)
+        if not links.isEmpty():
+            labels, every = _joined(labels, links), every.union(links)
+    for old in made:
+        discard(old)
+    grouped = rows.join(labels.withColumnRenamed("node", "name"), "name", "left").select("id", "n", "text_hash", "row", F.coalesce("label", "name").alias("label"))
+    alone = F.col("n") == 0
+    first = grouped.filter(~alone).groupBy("label").agg(F.min(F.struct("id", "n", "text_hash", "row")).alias("first"), F.count("*").alias("group_size"))
+    found = grouped.filter(~alone).join(first, "label").select("id", F.col("first.id").alias("group_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "n", "text_hash")
+    empty = rows.filter(alone).select("id", F.col("id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "n", "text_hash")
+    return found.unionByName(empty).withColumnsRenamed({"id": id_col, "n": "n_shingles"})
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -276,8 +254,5 @@ def query(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, one of each group, with their columns as they are."""
-    key = lambda text: F.struct(F.col("doc_id").cast("long").alias("id"), text.alias("text"))
-    kept = near_groups(docs).filter("kept").select(key(F.col("text_hash")).alias("__key"))
-    keyed = docs.withColumn("__key", key(F.xxhash64(F.coalesce("text", F.lit("")))))
-    kept = keyed.join(kept, "__key", "left_semi")
-    return kept.dropDuplicates(["__key"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = near_groups(docs).groupBy(F.col("doc_id").alias("id"), "text_hash").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    return one_of_each(docs, {"id": F.col("doc_id").cast("long"), "text_hash": F.xxhash64(F.coalesce("text", F.lit("")))}, kept)

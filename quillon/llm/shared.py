@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -38,6 +38,18 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def one_of_each(docs: DataFrame, key: dict[str, Column], status: DataFrame) -> DataFrame:
+    """One row of docs for each key that status (the key's columns, kept, n) keeps, with the columns of docs.
+
+    n counts the rows of a key. Rows are dealt by key once; only those of repeated keys are dealt again.
+    """
+    keyed = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.struct(*(v.alias(k) for k, v in key.items())).alias("__key"))
+    kept = status.filter("kept").select(F.struct(*key).alias("__key"), F.col("n").alias("__n"))
+    once = keyed.join(kept.filter("__n = 1"), "__key", "left_semi")
+    more = keyed.join(kept.filter("__n > 1"), "__key", "left_semi").dropDuplicates(["__key"])
+    return once.unionByName(more).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def held_out(id_col: str, folds: int, fold: int):
     """Boolean column: the row belongs to the fold that no model may learn from (null ids: never)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))

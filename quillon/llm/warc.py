@@ -6,14 +6,18 @@ uncompressed size, then the number of frames, a flags byte and the magic number
 record to its bundle, frame and offset within the frame, so one record costs one frame's decompression.
 
 Records of equal payloads of at least REVISIT bytes: the one with the largest id is the response, the others revisit it.
-They are told by SHA-1 with length and SHA-256, counted with partial aggregation; only digests are joined back, never pages.
+They are told by SHA-1 with length and SHA-256, counted with partial aggregation on digests alone; what is found is joined to
+the pages, which are dealt once by id and digest. Reading back deals bundles to READERS tasks at most, one bundle each below.
 
 Bundles go to a folder that driver and executors share, through pyarrow.fs (local paths, hdfs, s3, gs). Files carry the
 task attempt in their name and the index names the files of the attempts that succeeded, so retries leave no mixture.
 
-Defined results: a null payload is the empty one; a null id is written as an empty header and read back as null; repeated
-ids are records like others (of equal payloads all with the largest id are responses); null urls are written
-as an empty target; an empty table writes nothing and reads back no rows.
+WARC-Date is a parameter, since pages have no date. WARC-Record-ID is <urn:page:ID>; where an id is null or repeats, the
+record's place in its writing task follows, so that no two records share one.
+
+Defined results: a null payload is the empty one; a null id is read back as null; repeated ids are records like others (of
+equal payloads all with the largest id are responses); null urls are written as an empty target; an empty table writes
+nothing and reads back no rows; ids must be whole numbers or text that is one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,23 +30,25 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.shared import stage, work_folder
 
-FRAME, BUNDLE, REVISIT, LEVEL = 1 << 19, 64 << 20, 1000, 3
+FRAME, BUNDLE, REVISIT, LEVEL, READERS = 1 << 19, 64 << 20, 1000, 3, 20_000
+DATE = "1970-01-01T00:00:00Z"
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 INDEX = "record_id long, bundle string, frame long, frame_at long, frame_bytes long, offset long, length long"
 
 
-def record(record_id: int | None, url: str | None, payload: bytes, refers_to: int | None, digest: str) -> bytes:
-    """One WARC/1.1 record. A revisit has no block; its payload's length is in an extension header."""
-    name = "" if record_id is None else f"<urn:page:{record_id}>"
+def record(record_id: int | None, url: str | None, payload: bytes, refers_to: int | None, digest: str, place: str = "", date: str = DATE) -> bytes:
+    """One WARC/1.1 record; `place` tells records of one id apart. A revisit has no block; its payload's length is in an extension header."""
+    name = f"<urn:page:{'' if record_id is None else record_id}{place and ':' + place}>"
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: {name}",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {(url or '').replace(chr(13), '%0D').replace(chr(10), '%0A')}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}",
@@ -134,21 +140,27 @@ def revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html
     return rows.join(held, same).filter(~F.col("id").eqNullSafe(F.col("response"))).groupBy("id", "sha1").agg(F.max("response").alias("refers_to"))
 
 
-def write(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> DataFrame:
+def write(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", date: str = DATE) -> DataFrame:
     """Write the bundles; the index, one row a record, as a table of the work folder."""
     body = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body"), F.sha1(body).alias("sha1"))
-    back = revisits(pages, id_col, payload_col).withColumnsRenamed({"id": "rid", "sha1": "rsha"})
+    ids = rows.select("id", "sha1")
+    often = ids.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 AND id IS NOT NULL").select("id")
+    again = ids.join(often, "id", "left_semi").select("id", "sha1", F.lit(None).cast("long").alias("refers_to"), F.lit(True).alias("again"))
+    back = revisits(pages, id_col, payload_col).withColumn("again", F.lit(False)).unionByName(again)
+    back = back.groupBy(F.col("id").alias("rid"), F.col("sha1").alias("rsha")).agg(F.max("refers_to").alias("refers_to"), F.max("again").alias("again"))
     rows = rows.join(back, rows["id"].eqNullSafe(back["rid"]) & (rows["sha1"] == back["rsha"]), "left")
-    rows = rows.select("id", "url", F.col("body").cast("binary").alias("body"), "sha1", "refers_to")
+    unlike = F.col("id").isNull() | F.coalesce("again", F.lit(False))
+    rows = rows.select("id", "url", F.col("body").cast("binary").alias("body"), "sha1", "refers_to", unlike.alias("again"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        out = Writer(folder, f"part-{task.partitionId():06d}-{task.taskAttemptId()}")
+        out, number = Writer(folder, f"part-{task.partitionId():06d}-{task.taskAttemptId()}"), 0
         for b in batches:
             for k in range(b.num_rows):
-                i, url, payload, digest, to = (c[k].as_py() for c in b.columns)
-                out.add(i, record(i, url, payload, to, digest))
+                i, url, payload, digest, to, again = (c[k].as_py() for c in b.columns)
+                number += 1
+                out.add(i, record(i, url, payload, to, digest, f"{task.partitionId()}-{number}" if again else "", date))
             yield out.index()
         out.close()
         yield out.index()
@@ -159,6 +171,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: s
 def read(index: DataFrame) -> DataFrame:
     """Every record of the bundles that the index names, frame by frame through each bundle's seek table."""
     bundles = index.select("bundle").distinct()
+    bundles = bundles.repartition(min(READERS, max(1, 2 * bundles.count())), "bundle")  # a set number, so that names of few bytes aren't put into one task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -195,7 +208,8 @@ def read_record(index: DataFrame, record_id: int) -> list[tuple[dict[str, str],
 
 
 def _number(name: str) -> int | None:
-    return int(name[10:-1]) if name else None
+    number = name[10:-1].split(":")[0]
+    return int(number) if number else None
 
 
 def _rows(frame: bytes) -> pa.RecordBatch:

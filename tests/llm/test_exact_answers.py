@@ -209,8 +209,37 @@ def test_mix_meets_targets(spark, sf):
 def test_targets_reshare():
     assert mixing.targets([10, 1000, 1000], [1, 1, 1]) == [30.0, 990.0, 990.0]
     assert mixing.targets([0, 5], [1, 2]) == [0.0, 5.0] and mixing.targets([], []) == []
-    draws = mixing.draw([100, 7, 0, 93], 8)
-    assert draws.sum(0).tolist() == [100, 7, 0, 93] and (draws >= 0).all()
+    quotas = np.array([100, 7, 0, 93])
+    parts = [mixing.shard_counts(quotas, 7, s) for s in range(7)]
+    assert sum(n for _, n in parts).tolist() == quotas.tolist() and all((n >= 0).all() and n.sum() in (28, 29) for _, n in parts)
+    assert all((a + n == b).all() for (a, n), (b, _) in zip(parts, parts[1:], strict=False))
+
+
+def test_shards_hold_the_mix(spark, sf, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 200)
+    docs = table(spark, sf, "documents").limit(120)
+    seen = {}
+    for seed in (11, 12):
+        rows = mixing.shards(docs, seed=seed).collect()
+        taken, held, slots = defaultdict(int), defaultdict(set), defaultdict(set)
+        for r in rows:
+            taken[r.doc_id] += r.n_words
+            held[r.doc_id].add(r.shard)
+            slots[r.shard].add((r.slot, r.source_no, r.block))
+        got = {r.doc_id: r for r in mixing.mixed(docs, seed=seed).collect()}
+        assert all((r.taken, r.shards) == (taken[k], len(held[k])) for k, r in got.items())
+        # a shard's slots are numbered without gaps; a source's blocks serve alike but for one pass that is cut short
+        assert len(slots) > 3 and all(sorted(x[0] for x in s) == list(range(len(s))) for s in slots.values())
+        uses = defaultdict(lambda: defaultdict(int))
+        for s in slots.values():
+            for _, source, block in s:
+                uses[source][block] += 1
+        blocks = defaultdict(int)
+        for r in got.values():
+            blocks[r.source] += r.size
+        assert all(max(u.values()) <= 3 and max(u.values()) - min(u.values()) <= 1 for u in uses.values())
+        seen[seed] = ({k: sum(u.values()) for k, u in uses.items()}, {s: frozenset((b, c) for _, b, c in x) for s, x in slots.items()})
+    assert seen[11][0] == seen[12][0] and seen[11][1] != seen[12][1]
 
 
 @given(st.integers(1, 3000), st.integers(0, 1 << 60))
