@@ -6,8 +6,12 @@ before, and empty turns to insert, at the least total cost; the choices of equal
 
 A conversation is cut into segments of SEGMENT turn numbers. A segment is a matrix of least costs from each entry state to
 each exit state; these combine by (min, +) products, so a conversation of any length, up to a third of all turns, is
-spread over tasks: costs of segments first, then one short pass over a conversation's segments, then each segment alone
-with its entry and exit states known. Nothing gathers a conversation's text: the result has a row for each turn.
+spread over tasks: costs of segments first, then the states between segments, then each segment alone with its entry and
+exit states known. Conversations of one segment need no states. Those of more are dealt by range, so that a long one spreads
+over several parts, and their states come from a tree of two levels: products of parts; least costs before each part;
+back through each part, from every exit to its entry; back through the parts; then each part with its exit known. A level
+above holds a row for each part, a conversation has at most as many as there are partitions, and the states are those of
+one pass over all segments, wherever parts are cut. Nothing gathers a conversation's text: the result has a row for each turn.
 
 Defined results: turns are in the order of turn (nulls last); those of one number in the order of a hash of role and text;
 rows that are equal in all of these are turns of their own; a role that is none of the three counts as unknown and costs as much as any other change to relabel; null
@@ -64,21 +68,37 @@ def costs(roles: np.ndarray) -> np.ndarray:
     return total
 
 
-def best_path(steps: list[np.ndarray], entry: int, ends: np.ndarray) -> list[int]:
-    """States after each step of the cheapest way; ties go to the state of the lower number, from the end backwards."""
-    total, ways = np.full(4, FAR, np.int64), []
-    total[entry] = 0
+def forward(steps: list[np.ndarray], total: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Least costs after all steps, and for each step the state before that leads to each state (ties: the lower number)."""
+    ways = []
     for m in steps:
         both = total[:, None] + m
         ways.append(both.argmin(0))
         total = np.minimum(both.min(0), FAR)
-    state, out = int((total + ends).argmin()), []
+    return total, ways
+
+
+def back(ways: list[np.ndarray], state: int) -> list[int]:
+    """States after each step of the way that ends in `state`."""
+    out = []
     for way in reversed(ways):
         out.append(state)
         state = int(way[state])
     return out[::-1]
 
 
+def entry_costs(entry: int) -> np.ndarray:
+    total = np.full(4, FAR, np.int64)
+    total[entry] = 0
+    return total
+
+
+def best_path(steps: list[np.ndarray], entry: int, ends: np.ndarray) -> list[int]:
+    """States after each step of the cheapest way; ties go to the state of the lower number, from the end backwards."""
+    total, ways = forward(steps, entry_costs(entry))
+    return back(ways, int((total + ends).argmin()))
+
+
 def render(role: str, text: str) -> str:
     return f"<|{role}|>\n{text}\n<|end|>\n"
 
@@ -140,6 +160,80 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple,
         yield name, held
 
 
+_PLACE = "late boolean, place struct<turn: long, part: long, sub: struct<at: long, no: long>>"
+_KNOWN = "c long, k string, entry int, exit int, closes boolean"
+
+
+def _by_part(rows: DataFrame, keys: int, make, schema: str) -> DataFrame:
+    """make(batches of one group, columns as lists) over rows that are equal in the first `keys` columns, in the order given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in _runs(batches, keys):
+            columns = {n: [x for p in parts for x in p.column(k).to_pylist()] for k, n in enumerate(parts[0].schema.names)}
+            made = make(columns)
+            kinds = [pa.from_numpy_dtype(np.int64) if t == "long" else {"int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}[t] for t in (x.split()[1] for x in schema.split(", "))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _matrices(lists: list) -> list[np.ndarray]:
+    return [np.array(m, np.int64).reshape(4, 4) for m in lists]
+
+
+def _states(segments: DataFrame) -> DataFrame:
+    """(c, k, entry, exit, closes) of the segments (conv_id, key, matrix) of conversations that have more than one."""
+    many = segments.groupBy("conv_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("conv_id").alias("c"))
+    some = segments.join(many, segments["conv_id"].eqNullSafe(many["c"])).drop("c").withColumn("seg", F.from_json("key", _PLACE))
+    parts = stage(some.repartitionByRange("conv_id", "seg").withColumn("part", F.spark_partition_id()), "parts")
+    inside = lambda rows: rows.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "seg")
+    along = lambda rows, order: rows.repartition("conv_id").sortWithinPartitions("conv_id", order)
+
+    def product(t):
+        total = _matrices(t["matrix"][:1])[0]
+        for m in _matrices(t["matrix"][1:]):
+            total = np.minimum((total[:, :, None] + m[None]).min(1), FAR)
+        return [t["conv_id"][:1], t["part"][:1], [total.ravel().tolist()]]
+
+    def before(t):
+        total, out = entry_costs(START), []
+        for m in _matrices(t["matrix"]):
+            out.append(total.tolist())
+            total = forward([m], total)[0]
+        last = int((total + ENDS).argmin())
+        return [t["conv_id"], t["part"], out, [last] * len(out), [k == len(out) - 1 for k in range(len(out))]]
+
+    def through(t):
+        _, ways = forward(_matrices(t["matrix"]), np.array(t["before"][0], np.int64))
+        state = np.arange(4)
+        for way in reversed(ways):
+            state = way[state]
+        return [t["conv_id"][:1], t["part"][:1], [state.tolist()], t["final"][:1]]
+
+    def exits(t):
+        state, out = t["final"][0], []
+        for way in t["way"]:  # from the last part to the first
+            out.append(state)
+            state = way[state]
+        return [t["conv_id"], t["part"], out]
+
+    def inner(t):
+        _, ways = forward(_matrices(t["matrix"]), np.array(t["before"][0], np.int64))
+        after = back(ways, t["leave"][0])
+        first = int(ways[0][after[0]])
+        n = len(after)
+        return [t["conv_id"], t["key"], [first, *after[:-1]], after, [t["closes"][0] and k == n - 1 for k in range(n)]]
+
+    tops = _by_part(inside(parts.select("conv_id", "part", "seg", "matrix")).drop("seg"), 2, product, "conv_id long, part int, matrix array<long>")
+    entries = stage(_by_part(along(tops, "part").select("conv_id", "part", "matrix"), 1, before, "conv_id long, part int, before array<long>, final int, closes boolean"), "entries")
+    name = lambda rows: rows.withColumnsRenamed({"conv_id": "ec", "part": "ep"})
+    same = lambda rows, found: rows.join(name(found), rows["conv_id"].eqNullSafe(F.col("ec")) & (rows["part"] == F.col("ep"))).drop("ec", "ep")
+    ways = _by_part(inside(same(parts, entries)).select("conv_id", "part", "matrix", "before", "final"), 2, through, "conv_id long, part int, way array<int>, final int")
+    leaves = _by_part(along(ways, F.desc("part")).select("conv_id", "part", "way", "final"), 1, exits, "conv_id long, part int, leave int")
+    both = same(same(parts, entries), leaves)
+    return _by_part(inside(both).select("conv_id", "part", "key", "matrix", "before", "closes", "leave"), 2, inner, _KNOWN)
+
+
 def repair(turns: DataFrame) -> DataFrame:
     """One row for each turn of (conv_id, turn, role, text), with what became of it.
 
@@ -157,33 +251,21 @@ def repair(turns: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([parts[0].column(0)[:1], parts[0].column(1)[:1], pa.array([costs(old).ravel().tolist()])], ["conv_id", "key", "matrix"])
 
     sorted_ = ordered.repartition("conv_id", "key").sortWithinPartitions("conv_id", "key", *_ORDER)
-    got = sorted_.select("conv_id", "key", "old").mapInArrow(matrices, "conv_id long, key string, matrix array<long>")
-    # 2: entry and exit states of the segments, one short pass over each conversation's matrices
-    place = F.from_json("key", "late boolean, place struct<turn: long, part: long, sub: struct<at: long, no: long>>")
-    chain = got.withColumn("seg", place).repartition("conv_id").sortWithinPartitions("conv_id", "seg").select("conv_id", "key", "matrix")
-
-    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, parts in _runs(batches, 1):
-            steps = [np.array(m, np.int64).reshape(4, 4) for p in parts for m in p.column(2).to_pylist()]
-            path = best_path(steps, START, ENDS)
-            before = [START, *path[:-1]]
-            keys = pa.array([k for p in parts for k in p.column(1).to_pylist()])
-            conv = pa.concat_arrays([p.column(0) for p in parts])
-            last = pa.array([False] * (len(path) - 1) + [True])
-            yield pa.RecordBatch.from_arrays([conv, keys, pa.array(before, pa.int32()), pa.array(path, pa.int32()), last], ["c", "k", "entry", "exit", "closes"])
-
-    known = chain.mapInArrow(states, "c long, k string, entry int, exit int, closes boolean")
+    got = stage(sorted_.select("conv_id", "key", "old").mapInArrow(matrices, "conv_id long, key string, matrix array<long>"), "segments")
+    # 2: entry and exit states of the segments of conversations that have several
+    known = _states(got)
     # 3: each segment alone
     keyed = rows.withColumn("key", F.to_json("seg"))
-    keyed = keyed.join(known, keyed["conv_id"].eqNullSafe(known["c"]) & (keyed["key"] == known["k"]))
+    keyed = keyed.join(known, keyed["conv_id"].eqNullSafe(known["c"]) & (keyed["key"] == known["k"]), "left")
+    # a segment without states is its conversation's only one
+    keyed = keyed.withColumns({"entry": F.coalesce("entry", F.lit(START)), "exit": F.coalesce("exit", F.lit(-1)), "closes": F.coalesce("closes", F.lit(True))})
     keyed = keyed.repartition("conv_id", "key").sortWithinPartitions("conv_id", "key", *_ORDER)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in _runs(batches, 2):
             t = pa.Table.from_batches(parts).to_pydict()
             entry, leave = t["entry"][0], t["exit"][0]
-            ends = np.full(4, FAR, np.int64)
-            ends[leave] = 0
+            ends = ENDS if leave < 0 else entry_costs(leave)
             path = best_path([STEPS[r] for r in t["old"]], entry, ends)
             out: dict[str, list] = {n: [] for n in ("new_role", "action", "merged", "inserted", "appended", "rendered", "cost")}
             state = entry
@@ -214,7 +296,7 @@ def repair(turns: DataFrame) -> DataFrame:
 
     names = ["conv_id", "key", "turn", "role", "text", "old", "entry", "exit", "closes"]
     done = keyed.select(*names).mapInArrow(final, "conv_id long, key string, seq long, turn long, role string, new_role string, action string, merged boolean, inserted array<string>, appended array<string>, rendered string, cost long")
-    return done.withColumn("seg", place).drop("key")
+    return done.withColumn("seg", F.from_json("key", _PLACE)).drop("key")
 
 
 def conversations(pieces: DataFrame) -> DataFrame:

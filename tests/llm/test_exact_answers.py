@@ -196,6 +196,21 @@ def test_chat_costs_and_legal_turns(spark):
         assert r.formatted.endswith("<|end|>\n") and r.formatted.count("<|end|>") == len(heads)
 
 
+def test_chat_states_do_not_hang_on_parts(spark):
+    rng = np.random.default_rng(6)
+    roles = [[None, "user", "assistant", "system"][k] for k in rng.integers(0, 4, 9000)]
+    rows = [(7, k, r, "t") for k, r in enumerate(roles)] + [(8, 0, "user", "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    outs = []
+    for parts in (1, 5):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", parts == 1)
+        outs.append(sorted((r.conv_id, r.turn, r.new_role, r.merged, r.cost, tuple(r.inserted)) for r in chat.repair(turns).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+    assert outs[0] == outs[1] and sum(x[4] for x in outs[0] if x[0] == 7) == brute_cost(roles)
+
+
 def test_mix_meets_targets(spark, sf):
     docs = table(spark, sf, "documents")
     got = mixing.query(docs).toPandas()
