@@ -1,17 +1,23 @@
 """Repeated passages by sparse suffix arrays.
 
 Words are hashed. A suffix is retained where the hash of GRAM words is the least of PICK neighbouring ones, so that equal
-passages retain equal suffixes. Any PASSAGE words that two texts share hold a retained suffix whose first PREFIX words lie
-in the passage. Suffixes are ordered by those words; neighbours that agree in them, in texts that differ, are matches.
-A match is extended left and right over all windows of PASSAGE words that hold it: a window that stands in two texts is
-repeated, and a text's windows merge into passages. Windows are compared by counting, not pair by pair, because a group of
-near copies has as many pairs as the square of its size; so a passage is found whoever shares it, and its ends are exact.
+passages retain equal suffixes: any PASSAGE words that two texts share hold a retained suffix whose first PREFIX words lie in
+the passage. Suffixes whose first PREFIX words stand in one text alone leave at once (an aggregate of the first and last
+text of each, before any suffix is dealt). The others, each with the PASSAGE words that follow and the words before it, are
+put in suffix order (dealt by range, sorted within) and compared with their neighbours of other texts: the words that
+agree to the right and to the left make a match, and a match of PASSAGE words or more is a repeated passage.
 
-Equal texts are one class (a 64-bit hash of the text) from the start, and their class stands for them in all steps.
+A neighbour agrees longest to the right, but another text may agree longer to the left, and neighbours may be parted by the
+border of two ranges. So an exact check follows: windows of PASSAGE words about retained suffixes which no match holds are
+counted among all such windows. Passages that touch or overlap are one. Hot suffixes are rows like others: ranges also part
+by text, and counts come from partial aggregation.
+
+Equal texts are one class (128 bits of MD5) from the start, and their class stands for them in all steps. Suffixes and
+windows are told apart by 64 bits, words of matches by 32.
 
 Defined results: null and empty texts have no passage; a text shorter than PASSAGE words has none, even if it has copies;
 a passage that is repeated in one text only is none; rows with null or repeated ids are told apart by their text; a table
-without repeats, or without rows, gives no rows; other columns are ignored.
+without repeats, or without rows, gives no rows; ids must be whole numbers or text that is one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.grams import _STEPS, Texts, shingles, slices, tidy
-from quillon.llm.shared import stage
+from quillon.llm.shared import discard, stage
 
 PASSAGE, GRAM, PICK = 50, 8, 32
 PREFIX = PASSAGE - PICK + 1
@@ -51,9 +57,8 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, keys, owner = at[order], keys[order], owner[order]
             new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])) if len(at) else at
             last = np.append(new[1:], len(at))[: len(new)] - 1
-            own = b.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
             place = lambda k: pa.array((at[k] - t.first[owner[k]]).astype(np.int32))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pa.array(own[owner[new]]), place(new), place(last), pa.array(keys[new].astype(np.int64))], ["class", "place", "until", "key"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(owner[new])), place(new), place(last), pa.array(keys[new].astype(np.int64))], ["class", "place", "until", "key"])
 
 
 def _picked(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -82,58 +87,129 @@ def _picked(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(out)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, start, window) of all windows of PASSAGE words about the matches of a text."""
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, start, words, anchors) from (class, text, places): hashes of the words about retained suffixes, and these."""
     for b in batches:
         for k in range(b.num_rows):
             for _, _, data, offsets in slices(b.column(1).slice(k, 1)):
                 t = Texts(data, offsets)
-                n = len(t.starts) - PASSAGE + 1
-                if n <= 0:
-                    continue
-                marks = np.zeros(n + 1, np.int64)
+                words = t.words()
                 places = np.array([(p["place"], p["until"]) for p in b.column(2)[k].as_py()], np.int64)
-                np.add.at(marks, np.clip(places[:, 0] - (PASSAGE - PREFIX), 0, n), 1)
-                np.add.at(marks, np.clip(places[:, 1] + 1, 0, n), -1)
-                at = np.flatnonzero(np.cumsum(marks)[:n] > 0)
-                words, total = t.words(), np.zeros(len(at), np.uint64)
-                for j in range(PASSAGE):
-                    total += words[at + j] * _STEPS[j]
-                keys = total ^ (total >> np.uint64(32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), b.column(0)[k].as_py(), np.int64)), pa.array(at.astype(np.int32)), pa.array(keys.astype(np.int64))], ["class", "start", "key"])
+                places = places[np.argsort(places[:, 0])]
+                lo, hi = np.maximum(places[:, 0] - (PASSAGE - PREFIX), 0), np.minimum(places[:, 1] + PASSAGE, len(words))
+                cut = np.flatnonzero(lo[1:] > np.maximum.accumulate(hi)[:-1]) + 1
+                for rows in np.split(np.arange(len(lo)), cut):
+                    first, end = int(lo[rows[0]]), int(hi[rows].max())
+                    anchors = np.unique(places[rows].ravel()) - first
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([first], pa.int32()), pa.array([words[first:end].tobytes()], pa.binary()), pa.array([anchors.tolist()], pa.list_(pa.int32()))], ["class", "start", "words", "anchors"])
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, place, right, left) of the retained suffixes of regions: 32 bits of each word, behind and before (0: none)."""
+    for b in batches:
+        for k in range(b.num_rows):
+            words = np.frombuffer(b.column(2)[k].as_py(), np.uint64)
+            at, n = np.array(b.column(3)[k].as_py(), np.int64), PASSAGE - PREFIX
+            small = np.concatenate([np.zeros(n, np.uint64), (words >> np.uint64(32)) | np.uint64(1), np.zeros(PASSAGE, np.uint64)]).astype(">u4")
+            right = small[n + at[:, None] + np.arange(PASSAGE)]
+            left = small[n + at[:, None] - 1 - np.arange(n)]
+            place = at + b.column(1)[k].as_py()
+            own = b.column(0).slice(k, 1).take(pa.array(np.zeros(len(at), np.int64)))
+            yield pa.RecordBatch.from_arrays([own, pa.array(place.astype(np.int32)), pa.array([x.tobytes() for x in right], pa.binary()), pa.array([x.tobytes() for x in left], pa.binary())], ["class", "place", "right", "left"])
+
+
+def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words from the first agree, row by row."""
+    return np.logical_and.accumulate((a == b) & (a != 0), axis=1).sum(1)
+
+
+def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, first, end) of matches of PASSAGE words and more between neighbours of unlike classes, in suffix order."""
+    held: pa.RecordBatch | None = None
+    for b in batches:
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        n = b.num_rows
+        if not n:
+            continue
+        own = np.array(b.column(0).to_pylist(), "S16")
+        place = b.column(1).to_numpy().astype(np.int64)
+        right = np.frombuffer(b"".join(b.column(2).to_pylist()), ">u4").reshape(n, -1)
+        left = np.frombuffer(b"".join(b.column(3).to_pylist()), ">u4").reshape(n, -1)
+        heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))  # runs of one class
+        run = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, n)))
+        before = np.where(run > 0, heads[run] - 1, -1)
+        after = np.append(heads, n)[run + 1]
+        rows = np.concatenate([np.flatnonzero(before >= 0), np.flatnonzero(after < n)])
+        with_ = np.concatenate([before[before >= 0], after[after < n]])
+        l, r = _agree(left[rows], left[with_]), _agree(right[rows], right[with_])
+        long = l + r >= PASSAGE
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[long])), pa.array(place[rows[long]] - l[long]), pa.array(place[rows[long]] + r[long])], ["class", "first", "end"])
+        held = b.slice(max(0, int(heads[-1]) - 1))  # the last run meets its next neighbour in the next batch
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, start, key, sure) of all windows of PASSAGE words of a region; sure: a match holds it."""
+    for b in batches:
+        for k in range(b.num_rows):
+            words = np.frombuffer(b.column(2)[k].as_py(), np.uint64)
+            n, first = len(words) - PASSAGE + 1, b.column(1)[k].as_py()
+            if n <= 0:
+                continue
+            marks = np.zeros(n + 1, np.int64)
+            if spans := b.column(3)[k].as_py():
+                spans = np.array([(p["first"], p["end"]) for p in spans], np.int64) - first
+                lo, hi = np.clip(spans[:, 0], 0, n), np.clip(spans[:, 1] - PASSAGE + 1, 0, n)
+                np.add.at(marks, lo[lo < hi], 1)
+                np.add.at(marks, hi[lo < hi], -1)
+            total = np.zeros(n, np.uint64)
+            for j in range(PASSAGE):
+                total += words[j : j + n] * _STEPS[j]
+            keys = total ^ (total >> np.uint64(32))
+            own = b.column(0).slice(k, 1).take(pa.array(np.zeros(n, np.int64)))
+            yield pa.RecordBatch.from_arrays([own, pa.array(np.arange(first, first + n, dtype=np.int32)), pa.array(keys.astype(np.int64)), pa.array(np.cumsum(marks)[:n] > 0)], ["class", "start", "key", "sure"])
 
 
 def _merged(rows: DataFrame) -> DataFrame:
-    """(class, spans) from (class, starts): windows that touch or overlap make one span."""
+    """(class, spans) with spans that touch or overlap made one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for k in range(b.num_rows):
-                at = np.unique(np.array(b.column(1)[k].as_py(), np.int64))
-                cut = np.flatnonzero(np.diff(at) > PASSAGE) + 1
-                out.append([{"first": int(p[0]), "end": int(p[-1]) + PASSAGE} for p in np.split(at, cut)])
+                at = np.array(sorted((p["first"], p["end"]) for p in b.column(1)[k].as_py()), np.int64)
+                cut = np.flatnonzero(at[1:, 0] > np.maximum.accumulate(at[:, 1])[:-1]) + 1
+                out.append([{"first": int(p[0, 0]), "end": int(p[:, 1].max())} for p in np.split(at, cut)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))], ["class", "spans"])
 
-    return rows.mapInArrow(run, "class long, spans array<struct<first: long, end: long>>")
+    return rows.mapInArrow(run, "class binary, spans array<struct<first: long, end: long>>")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, first_word, end_word, n_words and copies (rows with this very text) of every repeated passage."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("class", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("class", F.unhex(F.md5("text")))
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     names = stage(rows.select("id", "class", words.alias("words")), "classes")
     classes = names.groupBy("class").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("words").alias("words"))
-    suffixes = rows.select("class", "text").mapInArrow(tidy(_suffixes), "class long, place int, until int, key long").repartition("key")
-    shared = suffixes.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key")
+    two = [F.min(F.xxhash64("class")).alias("low"), F.max(F.xxhash64("class")).alias("high")]
+    suffixes = stage(rows.select("class", "text").mapInArrow(tidy(_suffixes), "class binary, place int, until int, key long"), "suffixes")
+    shared = suffixes.groupBy("key").agg(*two).filter("low <> high").select("key")
     places = suffixes.join(shared, "key").groupBy("class").agg(F.collect_set(F.struct("place", "until")).alias("places"))
     picked = places.join(classes.select("class", "id"), "class").withColumnsRenamed({"class": "own", "id": "rep"})
+    # copies with one id are told from each other by nothing: any of them gives the class its words
     texts = rows.join(picked, F.col("id").eqNullSafe(F.col("rep")) & (F.col("class") == F.col("own")))
-    windows = texts.select("own", "text", "places").mapInArrow(tidy(_windows), "class long, start int, key long").repartition("key")
-    twice = windows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key")
-    starts = windows.join(twice, "key").groupBy("class").agg(F.collect_set("start").alias("starts"))
-    spans = _merged(starts)
+    regions = stage(texts.select("own", "text", "places").mapInArrow(tidy(_regions), "class binary, start int, words binary, anchors array<int>"), "regions")
+    discard(suffixes)
+    order = ["right", "class", "place"]
+    contexts = regions.mapInArrow(tidy(_contexts), "class binary, place int, right binary, left binary")
+    sorted_ = contexts.repartitionByRange(*order).sortWithinPartitions(*order)
+    matches = stage(sorted_.mapInArrow(tidy(_matches), "class binary, first long, end long").distinct(), "matches")
+    held = matches.groupBy("class").agg(F.collect_list(F.struct("first", "end")).alias("held"))
+    windows = regions.join(held, "class", "left").select("class", "start", "words", "held").mapInArrow(tidy(_windows), "class binary, start int, key long, sure boolean")
+    twice = windows.groupBy("key").agg(*two, F.bool_and("sure").alias("sure")).filter("low <> high AND NOT sure").select("key")
+    rest = windows.filter("NOT sure").join(twice, "key").select("class", F.col("start").cast("long").alias("first"), (F.col("start") + PASSAGE).cast("long").alias("end"))
+    spans = _merged(matches.union(rest).groupBy("class").agg(F.collect_set(F.struct("first", "end")).alias("spans")))
     copied = classes.filter((F.col("copies") > 1) & (F.col("words") >= PASSAGE))
     whole = copied.select("class", F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("words").alias("end"))).alias("spans"))
     every = whole.unionByName(spans.join(copied.select("class"), "class", "left_anti"))
