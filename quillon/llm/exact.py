@@ -4,8 +4,8 @@ A text's first digit is its length in bytes with its first FIRST bytes; each lat
 long as the one before. A round counts the rows of each (group, digit), so hot groups shrink to a row a task before the
 shuffle, and joins the counts back, a join whose hot keys adaptive execution splits. Rows alone in their group leave at
 once, those whose bytes have ended leave with their group, and only the others' remaining bytes are written to the shared
-folder for the next round. Digits are the bytes themselves: no digest decides equality. (text_sha256 is output, and with
-the id it names one member of a group.)
+folder for the next round. Digits are the bytes themselves: no digest decides equality. (text_sha256 is output; a group
+goes by the number of one of its rows.)
 
 The row that stays is found by one aggregate and joined back by group, so that a hot group is split like any hot key.
 
@@ -38,34 +38,34 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, keep_id, group_size, kept, text_sha256 and points (the original text's length), one row for each row of docs."""
     rows = _rows(docs, id_col, text_col)
-    name = F.min(F.struct("id", "sha"))
+    name = F.min("row")
     own = ["id", "points", "sha", "row"]
-    first = rows.groupBy("digit").agg(F.count("*").alias("n"), name.alias("group"))
-    shared = F.col("n") > 1
+    # counts of shared digits alone, written so that the join meets them as an exchange of its own and can split a hot digit
+    count = lambda of, keys, to: stage(of.groupBy(*keys).agg(F.count("*").alias("n"), name.alias(to)).filter("n > 1").drop("n"), "digits")
+    shared = F.col("group").isNotNull()
     active = stage(
-        rows.join(first, "digit").select(*own, "n", F.when(shared, F.col("group")).alias("group"), F.when(shared, F.expr(f"substring(bytes, {FIRST + 1})")).alias("rest")),
+        rows.join(count(rows, ["digit"], "group"), "digit", "left").select(*own, "group", F.when(shared, F.expr(f"substring(bytes, {FIRST + 1})")).alias("rest")),
         "radix",
     )
-    singles, groups, width, made = [], [], FIRST, [active]
+    singles, groups, width = [], [], FIRST
     while True:
-        singles.append(active.filter(F.col("n") == 1))
-        some = active.filter("n > 1")
+        singles.append(active.filter(~shared))
+        some = active.filter(shared)
         groups.append(some.filter(F.octet_length("rest") == 0).select(*own, "group"))
         left = some.filter(F.octet_length("rest") > 0)
         if left.isEmpty():
             break
         width *= WIDER
-        left = left.drop("n").withColumn("digit", F.substring("rest", 1, width))
-        split = left.groupBy("group", "digit").agg(F.count("*").alias("n"), name.alias("next"))
+        left = left.withColumn("digit", F.substring("rest", 1, width))
+        split = count(left, ["group", "digit"], "next")
         active = stage(
-            left.join(split, ["group", "digit"]).select(*own, "n", F.col("next").alias("group"), F.when(shared, F.expr(f"substring(rest, {width + 1})")).alias("rest")),
+            left.join(split, ["group", "digit"], "left").select(*own, F.col("next").alias("group"), F.when(F.col("next").isNotNull(), F.expr(f"substring(rest, {width + 1})")).alias("rest")),
             "radix",
         )
-        made.append(active)
     grouped = reduce(DataFrame.unionByName, groups)
     # the longest, then the smallest id (null last), then any one of equal rows
     best = F.min(F.struct((-F.col("points")).alias("shorter"), F.col("id").isNull().alias("unnamed"), "id", "sha", "row"))
-    kept = grouped.groupBy("group").agg(F.count("*").alias("group_size"), best.alias("best"))
+    kept = stage(grouped.groupBy("group").agg(F.count("*").alias("group_size"), best.alias("best")), "best")
     grouped = grouped.join(kept, "group").select("id", "points", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "sha")
     alone = reduce(DataFrame.unionByName, singles).select("id", "points", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     every = alone.unionByName(grouped)

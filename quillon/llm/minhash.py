@@ -197,7 +197,8 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets that hold two components and more, with their labels; a table."""
     named = members.join(labels.withColumnRenamed("node", "name"), "name", "left").select("bucket", "name", F.coalesce("label", "name").alias("label"))
-    parts = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    mark = F.xxhash64("label")
+    parts = named.groupBy("bucket").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low <> high")
     return stage(named.join(parts.select("bucket"), "bucket"), "open")
 
 
@@ -218,7 +219,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = stage(numbered.mapInArrow(tidy(_sketch), "id long, name binary, n long, bands array<long>, text_hash long, row long"), "sketches")
     classes = rows.filter("n > 0").groupBy("name").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
     members = classes.select("name", F.explode("bands").alias("bucket"))
-    heads = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("name").alias("head")).filter("size > 1").drop("size")
+    # written, so that the join meets it as an exchange of its own and can split a hot bucket
+    heads = stage(members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("name").alias("head")).filter("size > 1").drop("size"), "heads")
     members = stage(members.join(heads, "bucket"), "buckets")
     wanted = members.select("name").distinct().join(classes.select("name", "id"), "name")
     some = texts.join(wanted.select(F.col("id").alias("wid")).distinct(), F.col("id").eqNullSafe(F.col("wid")), "left_semi")
@@ -227,7 +229,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pairs = members.groupBy(F.col("name").alias("a")).agg(F.min("head").alias("b")).filter("a <> b")
     links = _links(pairs, sets)
     labels, every = components(links), links
-    made = [members, sets, links]
+    made = [members, heads, sets, links]
     for turn in range(TURNS + 1):
         open_ = _open(members, labels)
         made.append(open_)
@@ -242,7 +244,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         discard(old)
     grouped = rows.join(labels.withColumnRenamed("node", "name"), "name", "left").select("id", "n", "text_hash", "row", F.coalesce("label", "name").alias("label"))
     alone = F.col("n") == 0
-    first = grouped.filter(~alone).groupBy("label").agg(F.min(F.struct("id", "n", "text_hash", "row")).alias("first"), F.count("*").alias("group_size"))
+    first = stage(grouped.filter(~alone).groupBy("label").agg(F.min(F.struct("id", "n", "text_hash", "row")).alias("first"), F.count("*").alias("group_size")), "first")
     found = grouped.filter(~alone).join(first, "label").select("id", F.col("first.id").alias("group_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "n", "text_hash")
     empty = rows.filter(alone).select("id", F.col("id").alias("group_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "n", "text_hash")
     return found.unionByName(empty).withColumnsRenamed({"id": id_col, "n": "n_shingles"})

@@ -194,7 +194,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     classes = names.groupBy("class").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("words").alias("words"))
     two = [F.min(F.xxhash64("class")).alias("low"), F.max(F.xxhash64("class")).alias("high")]
     suffixes = stage(rows.select("class", "text").mapInArrow(tidy(_suffixes), "class binary, place int, until int, key long"), "suffixes")
-    shared = suffixes.groupBy("key").agg(*two).filter("low <> high").select("key")
+    # written, so that the join meets it as an exchange of its own and can split a hot key
+    shared = stage(suffixes.groupBy("key").agg(*two).filter("low <> high").select("key"), "shared")
     places = suffixes.join(shared, "key").groupBy("class").agg(F.collect_set(F.struct("place", "until")).alias("places"))
     picked = places.join(classes.select("class", "id"), "class").withColumnsRenamed({"class": "own", "id": "rep"})
     # copies with one id are told from each other by nothing: any of them gives the class its words
@@ -207,7 +208,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     matches = stage(sorted_.mapInArrow(tidy(_matches), "class binary, first long, end long").distinct(), "matches")
     held = matches.groupBy("class").agg(F.collect_list(F.struct("first", "end")).alias("held"))
     windows = regions.join(held, "class", "left").select("class", "start", "words", "held").mapInArrow(tidy(_windows), "class binary, start int, key long, sure boolean")
-    twice = windows.groupBy("key").agg(*two, F.bool_and("sure").alias("sure")).filter("low <> high AND NOT sure").select("key")
+    twice = stage(windows.groupBy("key").agg(*two, F.bool_and("sure").alias("sure")).filter("low <> high AND NOT sure").select("key"), "twice")
     rest = windows.filter("NOT sure").join(twice, "key").select("class", F.col("start").cast("long").alias("first"), (F.col("start") + PASSAGE).cast("long").alias("end"))
     spans = _merged(matches.union(rest).groupBy("class").agg(F.collect_set(F.struct("first", "end")).alias("spans")))
     copied = classes.filter((F.col("copies") > 1) & (F.col("words") >= PASSAGE))
