@@ -1,6 +1,12 @@
 """The training-data pipeline: toxicity, exact dedup, near dedup, mixing, BPE.
 
 Each stage works on all rows that the one before kept and, but for the last, returns the columns of documents.
+
+Defined results: null and empty texts are clean, equal to each other in exact dedup (one stays), alone in near dedup, and leave
+at mixing, which takes no word of them; rows equal in all columns leave one; a text longer than any memory slice is scored,
+compared and encoded whole; of equal texts the longest original stays, then the smallest id, and a null id comes last there and
+first among near copies; extra columns are carried to the last stage, which returns doc_id and its own columns; empty
+documents give no rows, and empty labels make no text toxic.
 """
 
 from __future__ import annotations
