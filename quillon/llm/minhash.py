@@ -199,7 +199,8 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     named = members.join(labels.withColumnRenamed("node", "name"), "name", "left").select("bucket", "name", F.coalesce("label", "name").alias("label"))
     mark = F.xxhash64("label")
     parts = named.groupBy("bucket").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low <> high")
-    return stage(named.join(parts.select("bucket"), "bucket"), "open")
+    parts = stage(parts.select("bucket"), "parts")
+    return stage(named.join(parts, "bucket"), "open")
 
 
 def _with_heads(open_: DataFrame, links: DataFrame) -> DataFrame:

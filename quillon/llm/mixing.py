@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quillon.llm.grams import mix, tidy
 from quillon.llm.shared import WORD, stage
 
-BLOCK, SLOTS, CROWD, SOURCES, LIMIT, TASKS, SEED = 64, 1 << 15, 1 << 15, 100_000, 3, 20_000, 11
+BLOCK, SLOTS, CROWD, SOURCES, LIMIT, TASKS, SEED = 64, 1 << 15, 1 << 12, 100_000, 3, 20_000, 11
 
 _WORD = re.compile(WORD)
 
@@ -154,13 +154,14 @@ def _cut(placed: DataFrame) -> DataFrame:
 def _pieces(placed: DataFrame, slots: DataFrame) -> DataFrame:
     """The parts of documents that the mix takes, with their block's uses and the shards that use it (LIMIT at most)."""
     uses = slots.groupBy("source_no", "block").agg(F.count("*").alias("uses"), F.collect_set("shard").alias("shards"))
-    return _cut(placed).join(uses, ["source_no", "block"])
+    # slots come from a range of few rows, which says nothing of how many they are: never broadcast what is made of them
+    return _cut(placed).join(uses.hint("merge"), ["source_no", "block"])
 
 
 def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """shard, slot, source_no, block, id, first_word and n_words: what every slot of every shard holds, in any order."""
     placed, slots = _plan(docs, id_col, text_col, source_col, seed)
-    got = slots.join(_cut(placed), ["source_no", "block"])
+    got = slots.hint("merge").join(_cut(placed), ["source_no", "block"])
     return got.select("shard", "slot", "source_no", "block", F.col("id").alias(id_col), F.col("lo").alias("first_word"), F.col("words").alias("n_words"))
 
 
@@ -169,7 +170,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     placed, slots = _plan(docs, id_col, text_col, source_col, seed)
     pieces = _pieces(placed, slots).groupBy("source_no", "offset")
     taken = pieces.agg(F.sum(F.col("words") * F.col("uses")).alias("taken"), F.size(F.array_distinct(F.flatten(F.collect_set("shards")))).cast("long").alias("shards"))
-    some = placed.filter("size > 0").join(taken, ["source_no", "offset"], "left")
+    some = placed.filter("size > 0").join(taken.hint("merge"), ["source_no", "offset"], "left")
     none = placed.filter("size = 0").withColumns({"taken": F.lit(None).cast("long"), "shards": F.lit(None).cast("long")})
     out = some.select(*none.columns).unionByName(none)
     zero = F.lit(0).cast("long")
@@ -190,10 +191,10 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = docs.withColumn("__row", F.xxhash64(*row))
     placed, slots = _plan(keyed.withColumn("__key", F.struct(F.col(f"`{id_col}`").alias("id"), F.col("__row").alias("row"))), "__key", text_col, source_col, SEED)
     parts = _pieces(placed, slots).groupBy("source_no", "offset").agg(F.sort_array(F.collect_list(F.struct("lo", "words", "uses"))).alias("parts"))
-    taken = placed.filter("size > 0").join(parts, ["source_no", "offset"]).select(F.col("id.id").alias("__id"), F.col("id.row").alias("__hash"), F.col("parts").alias("__parts"))
+    taken = placed.filter("size > 0").join(parts.hint("merge"), ["source_no", "offset"]).select(F.col("id.id").alias("__id"), F.col("id.row").alias("__hash"), F.col("parts").alias("__parts"))
     # rows equal in all columns are one row here, and its places are several
     once = keyed.dropDuplicates([id_col, "__row"])
-    got = once.join(taken, once[id_col].eqNullSafe(taken["__id"]) & (once["__row"] == taken["__hash"])).select(*row, "__parts")
+    got = once.join(taken.hint("merge"), once[id_col].eqNullSafe(taken["__id"]) & (once["__row"] == taken["__hash"])).select(*row, "__parts")
     at, counted = names.index(text_col), names.index("n_chars") if "n_chars" in names else None
 
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
