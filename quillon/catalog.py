@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quillon.operators import cards, conversations, evaluation, freshness, graph, metrics, relational, retrieval
+from quillon.operators import cards, conversations, evaluation, freshness, graph, metrics, relational, retrieval, services
 from quillon.sources import files
 from quillon.streaming import changes
 
-MODULES = (metrics, relational, retrieval, graph, freshness, conversations, evaluation, cards, files, changes)
+MODULES = (metrics, relational, retrieval, graph, freshness, conversations, evaluation, cards, services, files, changes)
 
 
 def queries() -> dict:
