@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import SCRUB, entities, file_paths, scrub, tickets, tokens, trim_sections
 from quillon.operators.retrieval import _asked, _vectors, knn
+from quillon.plans.lineage import cut
 from quillon.session import table
 
 
@@ -88,29 +89,52 @@ def near_insights(vectors: DataFrame, asked: DataFrame, least: float = 0.82, k:
     return near.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("id")).alias("n"))).alias("m")).select(F.col("query_id").alias("id"), (-F.col("m.n")).alias("twin"), "m.similarity")
 
 
+def similar_pairs(rows: DataFrame, group: str, least: float, block: int = 2048) -> DataFrame:
+    """(later, earlier, similarity) of all pairs of one group more similar than `least`, by products of blocks of rows."""
+    import numpy as np
+    import pandas as pd
+
+    most = rows.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks = max(1, -(-most // block))
+    cut_ = rows.select("id", "embedding", F.col(group).alias("grp"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left, right = cut_.withColumn("a", F.col("own")).withColumn("b", each), cut_.withColumn("b", F.col("own")).withColumn("a", each)
+
+    def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"later": [], "earlier": [], "similarity": []})
+        p, q = (np.stack(t["embedding"].to_numpy()).astype(np.float64) for t in (x, y))
+        norms = np.linalg.norm(p, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
+        sims = np.divide(p @ q.T, norms, out=np.zeros_like(norms), where=norms > 0)
+        i, j = np.nonzero((sims > least) & (x["id"].to_numpy()[:, None] > y["id"].to_numpy()[None, :]))
+        return pd.DataFrame({"later": x["id"].to_numpy()[i], "earlier": y["id"].to_numpy()[j], "similarity": np.round(sims[i, j], 9)})
+
+    return left.groupBy("grp", "a", "b").cogroup(right.groupBy("grp", "a", "b")).applyInPandas(near, "later long, earlier long, similarity double")
+
+
 def first_insights(rows: DataFrame, group: str, least: float = 0.82) -> DataFrame:
     """(id, same_as): one after another in the order of id, an insight is new or corroborates the most similar kept one.
 
-    Sequential inside a group (a scope's insights, which are few); groups run side by side. rows: id, embedding and group.
+    A row is decided once all its earlier neighbours are: kept without a kept one, else the same as the most similar of
+    those (the earliest of equals). Each round decides all rows whose neighbours allow it; state is a table a round.
+    rows: id, embedding and group.
     """
-    import numpy as np
-    import pandas as pd
-
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("id", ignore_index=True)
-        x = np.stack([np.asarray(e, np.float64) for e in g["embedding"]])
-        norms = np.linalg.norm(x, axis=1)
-        kept, same = [], []
-        for i in range(len(g)):
-            sims = np.array([x[i] @ x[j] / (norms[i] * norms[j]) if norms[i] and norms[j] else 0.0 for j in kept])
-            if len(sims) and sims.max() > least:
-                same.append(int(g["id"][kept[int(sims.argmax())]]))
-            else:
-                kept.append(i)
-                same.append(int(g["id"][i]))
-        return pd.DataFrame({"id": g["id"], "same_as": same})
-
-    return rows.groupBy(group).applyInPandas(walk, "id long, same_as long")
+    pairs = cut(similar_pairs(rows, group, least))
+    open_, kept, same = rows.select("id"), None, None
+    while True:
+        waiting = pairs.join(open_.select(F.col("id").alias("later")), "later").join(open_.select(F.col("id").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("id")).distinct()
+        ready = open_.join(waiting, "id", "left_anti")
+        ties = pairs.join(ready.withColumnRenamed("id", "later"), "later")
+        ties = ties.join(kept.withColumnRenamed("id", "earlier"), "earlier", "left_semi") if kept is not None else ties.filter(F.lit(False))
+        twin = ties.groupBy("later").agg(F.min_by("earlier", F.struct((-F.col("similarity")).alias("s"), "earlier")).alias("same_as"))
+        found = cut(ready.join(twin.withColumnRenamed("later", "id"), "id", "left").select("id", F.coalesce("same_as", "id").alias("same_as")))
+        if found.isEmpty():
+            break
+        same = found if same is None else same.union(found)
+        own = found.filter("id = same_as").select("id")
+        kept = own if kept is None else kept.union(own)
+        open_ = cut(open_.join(found.select("id"), "id", "left_anti"))
+    return same if same is not None else rows.select("id", F.col("id").alias("same_as"))
 
 
 BASIC = [SCRUB[0], SCRUB[5]]  # e-mail and IPv4: the patterns that a regular expression without look-around can hold

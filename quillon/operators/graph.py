@@ -229,8 +229,8 @@ def trade(s, d) -> DataFrame:
 
 
 def supply(s, d) -> DataFrame:
-    """Part to supplier, a sparse graph: lines of fifty pieces."""
-    rows = table(s, d, "lineitem").filter("l_quantity >= 50").groupBy("l_partkey", "l_suppkey").agg(F.count("*").cast("double").alias("weight"))
+    """Part to supplier, weighted by lines."""
+    rows = table(s, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").cast("double").alias("weight"))
     return rows.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"), "weight")
 
 
@@ -285,7 +285,7 @@ QUERIES = {
 }
 
 _TRADE = "e AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*)::DOUBLE AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey GROUP BY 1, 2)"
-_SUPPLY = "e AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, count(*)::DOUBLE AS weight FROM lineitem WHERE l_quantity >= 50 GROUP BY 1, 2)"
+_SUPPLY = "e AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, count(*)::DOUBLE AS weight FROM lineitem GROUP BY 1, 2)"
 
 
 def _rank_sql(rounds: int = 10) -> str:

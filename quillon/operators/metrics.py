@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.session import table
 
-TOKENS_PER_HIT, COST_PER_1000, TOKENS_PER_QUERY = 5000, 0.003, 35
+TOKENS_PER_HIT, COST_PER_1000, TOKENS_PER_QUERY, RANGES = 5000, 0.003, 35, 64
 
 
 def usage(events: DataFrame) -> DataFrame:
@@ -63,12 +63,16 @@ def recent_queries(rows: DataFrame, limit: int = 20) -> DataFrame:
 def latency_percentiles(rows: DataFrame, key: str, value: str, points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Values at rank floor(n * p) of each group's sorted values, with count and mean.
 
-    Ranks come from counts of equal values, summed over windows of distinct values, so that one group's rows are never
-    gathered in a list.
+    Ranks come from counts of equal values. A group's values are cut into RANGES of about as many each (by approximate
+    quantiles, which decide no result), so that a window is over a range's values or over a group's ranges.
     """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("k"))
-    w = Window.partitionBy(key).orderBy(value)
-    placed = counts.withColumn("end", F.sum("k").over(w)).withColumn("n", F.sum("k").over(Window.partitionBy(key)))
+    bounds = counts.groupBy(key).agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 1000).alias("bounds"))
+    ranged = counts.join(bounds, key).withColumn("range", F.size(F.filter("bounds", lambda b: b < F.col(value)))).drop("bounds")
+    sums = ranged.groupBy(key, "range").agg(F.sum("k").alias("held"))
+    before = F.sum("held").over(Window.partitionBy(key).orderBy("range")) - F.col("held")
+    bases = sums.select(key, "range", before.alias("base"), F.sum("held").over(Window.partitionBy(key)).alias("n"))
+    placed = ranged.join(bases, [key, "range"]).withColumn("end", F.col("base") + F.sum("k").over(Window.partitionBy(key, "range").orderBy(value)))
     out = [F.max("n").alias("n"), F.round(F.sum(F.col(value) * F.col("k")) / F.max("n"), 4).alias("mean")]
     for p in points:
         rank = F.floor(F.col("n") * p)

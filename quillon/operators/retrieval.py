@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import STOP_WORDS, ascii_edges, fts_query, words
 from quillon.operators.relational import cards_of
+from quillon.plans.lineage import cut
 from quillon.session import table
 
 K1, B = 1.2, 0.75
@@ -35,14 +36,21 @@ def bm25(docs: DataFrame, terms: DataFrame, id_col: str, fields: dict[str, float
 
     idf = ln((N - n + 0.5) / (n + 0.5)), 1e-6 at least; a text's length is the number of its words in all fields.
     """
-    entry = lambda weight: lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w"))
-    weighted = [F.transform(words(F.coalesce(F.col(f), F.lit(""))), entry(w)) for f, w in fields.items()]
-    rows = docs.select(F.col(id_col).alias("id"), F.concat(*weighted).alias("all")).withColumn("len", F.size("all"))
-    # N and the mean length take a scan of their own: a row each, joined as scalars
-    total = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    lists = [(words(F.coalesce(F.col(f), F.lit(""))), float(w)) for f, w in fields.items()]
+    if len(lists) == 1:
+        every = lists[0][0]
+        rows = docs.select(F.col(id_col).alias("id"), F.size(every).alias("len"), F.explode(F.concat(F.array(F.lit("")), every)).alias("term")).withColumn("w", F.lit(lists[0][1]))
+    else:
+        entry = lambda weight: lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w"))
+        every = F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(0.0).alias("w"))), *(F.transform(t, entry(w)) for t, w in lists))
+        rows = docs.select(F.col(id_col).alias("id"), F.explode(every).alias("t"), (F.size(every) - 1).alias("len")).select("id", "len", "t.term", "t.w")
+    # one scan: the empty term stands once for each text and carries its length, so N and the mean come from what is kept
+    asked = terms.select("term").union(terms.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    kept = rows.join(asked, "term", "left_semi").groupBy("term", "id").agg(F.sum("w").alias("tf"), F.first("len").alias("len"), F.count("*").alias("c"), F.sum("len").alias("lens"))
+    kept = cut(kept)
+    total = kept.filter("term = ''").agg(F.sum("c").alias("n"), (F.sum("lens") / F.sum("c")).alias("mean"))
     n_docs, mean = total.select("n").scalar(), total.select("mean").scalar()
-    postings = rows.select("id", "len", F.explode("all").alias("t")).select("id", "len", "t.term", "t.w")
-    postings = postings.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", "id").agg(F.sum("w").alias("tf"), F.first("len").alias("len"))
+    postings = kept.filter("term <> ''").select("term", "id", "tf", "len")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weights = terms.join(df, "term").select("query_id", "term", idf.alias("idf"))
@@ -149,13 +157,6 @@ def classify(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return got.select("id", F.col("sims")[0]["label"].alias("top_repo"), (-F.col("sims")[0]["s"]).alias("similarity"), lead.alias("confidence"))
 
 
-def minmax(x: Column) -> Column:
-    """Over all rows; 0.5 where all are equal."""
-    w = Window.partitionBy()
-    low, high = F.min(x).over(w), F.max(x).over(w)
-    return F.when(high == low, 0.5).otherwise((x - low) / (high - low))
-
-
 def specificity(vectors: DataFrame) -> DataFrame:
     """(id, specificity): 0.4 of the distance to the global centroid and 0.6 of that to the own repository's, each min-max scaled."""
     whole = centroids(vectors, None, unit=False).select("centroid").scalar()
@@ -336,7 +337,7 @@ QUERIES = {
     "hybrid_search": hybrid,
     "sanitize_query": lambda s, d: table(s, d, "documents").select("doc_id", fts_query(F.col("text")).alias("fts")),
     "bm25_topk": lambda s, d: _keyword(s, d, 5),
-    "bm25_fields": lambda s, d: top(bm25(table(s, d, "documents"), query_terms(table(s, d, "part"), "p_partkey", "p_name"), "doc_id", {"text": 1.0, "lang": 2.0, "source": 3.0}).withColumn("rank", F.round("rank", 6)), 3, ["rank", "id"]),
+    "bm25_fields": lambda s, d: top(bm25(table(s, d, "documents"), _terms(s, d), "doc_id", {"text": 1.0, "lang": 2.0, "source": 3.0}).withColumn("rank", F.round("rank", 6)), 3, ["rank", "id"]),
     "like_fallback": lambda s, d: like_fallback(cards_of(table(s, d, "documents")), query_terms(table(s, d, "nation").withColumn("q", F.concat(F.lit("th re "), F.lower(F.left("n_name", F.lit(2))))), "n_nationkey", "q"), "id", ["title", "flow"]),
     "domain_terms": lambda s, d: domain_terms(table(s, d, "documents"), "source", "text"),
     "text_affinity": lambda s, d: text_affinity(table(s, d, "benchmark"), _signals(s, d), "item_id", "text"),
@@ -392,7 +393,7 @@ SQL = {
     "hybrid_search": f"WITH {_ITEMS}, {_ONE}, {_KW.format(k=20)}, {_V}, {_SEM.format(k=20)}, {_FUSE}, {_FACTS}, scored AS (SELECT fw.*, card_type, round({_SCORE}, 6) AS score FROM fw JOIN facts USING (id)), {_CAPS} SELECT query_id, id, source, card_type, score, place FROM out",
     "sanitize_query": r"SELECT doc_id, array_to_string(list_slice(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(text, '([a-z])([A-Z])', '\1 \2', 'g'), 'https?://[^ \t\n\r\f\v]+', '', 'g'), '[^a-zA-Z0-9_ \t\n\r\f\v]', ' ', 'g'), '[ \t\n\r\f\v]+'), lambda w: length(w) > 1 AND upper(w) NOT IN ('AND', 'OR', 'NOT', 'NEAR')), 1, 30), ' OR ') AS fts FROM documents",
     "bm25_topk": f"WITH {_ITEMS}, {_ONE}, {_KW.format(k=5)} SELECT * FROM kw",
-    "bm25_fields": f"WITH {_TERMS.format(id='p_partkey', text='p_name', tab='part')}, {_BM.format(lists='list_concat(list_concat(' + _W.format(c='text', w=1) + ', ' + _W.format(c='lang', w=2) + '), ' + _W.format(c='source', w=3) + ')')}, {_KW.format(k=3)} SELECT * FROM kw",
+    "bm25_fields": f"WITH {_ITEMS}, {_BM.format(lists='list_concat(list_concat(' + _W.format(c='text', w=1) + ', ' + _W.format(c='lang', w=2) + '), ' + _W.format(c='source', w=3) + ')')}, {_KW.format(k=3)} SELECT * FROM kw",
     "like_fallback": "SELECT n_nationkey AS query_id, doc_id AS id FROM documents, nation, (VALUES (0)) WHERE contains(lower(substr(text, 1, 80) || chr(10) || source), 'th') AND contains(lower(substr(text, 1, 80) || chr(10) || source), 're') AND (lower(left(n_name, 2)) IN ('or') OR contains(lower(substr(text, 1, 80) || chr(10) || source), lower(left(n_name, 2))))",
     "domain_terms": f"WITH {_DOM.replace("@K", "12")} SELECT grp AS source, term, tf, df, score FROM dom",
     "text_affinity": f"WITH {_DOM.replace("@K", "40")}, {_AFF} SELECT * FROM hits",

@@ -186,3 +186,35 @@ def test_upsert_keeps_locked(spark):
     new = spark.createDataFrame([("a", 2, False), ("b", 2, False), ("c", 2, False)], "k string, at int, locked boolean")
     got = {(r.k, r.at) for r in relational.upsert_latest(old, new, ["k"], "at", "locked").collect()}
     assert got == {("a", 1), ("b", 2), ("c", 2)}
+
+
+def test_insights_one_after_another(spark, sf):
+    import numpy as np
+
+    from quillon.operators.conversations import first_insights
+    from quillon.session import table
+
+    rows = table(spark, sf, "embeddings").selectExpr("vec_id AS id", "embedding", "label % 2 AS grp").orderBy("vec_id").limit(40)
+    own = sorted(rows.collect(), key=lambda r: r.id)
+    want, kept = {}, []
+    for r in own:
+        x = np.array(r.embedding, float)
+        sims = [(round(float(x @ np.array(k.embedding, float) / np.linalg.norm(x) / np.linalg.norm(k.embedding)), 9), -k.id) for k in kept if k.grp == r.grp]
+        best = max(sims, default=(0, 0))
+        want[r.id] = -best[1] if best[0] > 0.15 else r.id
+        if want[r.id] == r.id:
+            kept.append(r)
+    got = {r.id: r.same_as for r in first_insights(rows, "grp", 0.15).collect()}
+    assert got == want and len(kept) < len(own)
+
+
+def test_percentiles_of_one_large_group(spark):
+    import random
+
+    from quillon.operators.metrics import latency_percentiles
+
+    random.seed(1)
+    rows = [("a", random.choice([random.random(), 0.5])) for _ in range(5000)] + [("b", 1.0)]
+    got = {r.key: r for r in latency_percentiles(spark.createDataFrame(rows, "key string, value double"), "key", "value").collect()}
+    own = sorted(v for k, v in rows if k == "a")
+    assert (got["a"].p50, got["a"].p95, got["a"].p99, got["a"].n) == (own[2500], own[4750], own[4950], 5000) and got["b"].p50 == 1.0
