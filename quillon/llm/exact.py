@@ -40,11 +40,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = _rows(docs, id_col, text_col)
     name = F.min("row")
     own = ["id", "points", "sha", "row"]
-    # counts of shared digits alone, written so that the join meets them as an exchange of its own and can split a hot digit
+    # counts of shared digits alone, joined in one way at every size, and written so that the join meets them as an exchange of its own and can split a hot digit
     count = lambda of, keys, to: stage(of.groupBy(*keys).agg(F.count("*").alias("n"), name.alias(to)).filter("n > 1").drop("n"), "digits")
     shared = F.col("group").isNotNull()
     active = stage(
-        rows.join(count(rows, ["digit"], "group"), "digit", "left").select(*own, "group", F.when(shared, F.expr(f"substring(bytes, {FIRST + 1})")).alias("rest")),
+        rows.join(count(rows, ["digit"], "group").hint("merge"), "digit", "left").select(*own, "group", F.when(shared, F.expr(f"substring(bytes, {FIRST + 1})")).alias("rest")),
         "radix",
     )
     singles, groups, width = [], [], FIRST
@@ -59,7 +59,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         left = left.withColumn("digit", F.substring("rest", 1, width))
         split = count(left, ["group", "digit"], "next")
         active = stage(
-            left.join(split, ["group", "digit"], "left").select(*own, F.col("next").alias("group"), F.when(F.col("next").isNotNull(), F.expr(f"substring(rest, {width + 1})")).alias("rest")),
+            left.join(split.hint("merge"), ["group", "digit"], "left").select(*own, F.col("next").alias("group"), F.when(F.col("next").isNotNull(), F.expr(f"substring(rest, {width + 1})")).alias("rest")),
             "radix",
         )
     grouped = reduce(DataFrame.unionByName, groups)
