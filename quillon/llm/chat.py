@@ -256,7 +256,8 @@ def repair(turns: DataFrame) -> DataFrame:
     known = _states(got)
     # 3: each segment alone
     keyed = rows.withColumn("key", F.to_json("seg"))
-    keyed = keyed.join(known, keyed["conv_id"].eqNullSafe(known["c"]) & (keyed["key"] == known["k"]), "left")
+    # matrices compress well, so files say little of their size: never broadcast what is made of them
+    keyed = keyed.join(known.hint("merge"), keyed["conv_id"].eqNullSafe(known["c"]) & (keyed["key"] == known["k"]), "left")
     # a segment without states is its conversation's only one
     keyed = keyed.withColumns({"entry": F.coalesce("entry", F.lit(START)), "exit": F.coalesce("exit", F.lit(-1)), "closes": F.coalesce("closes", F.lit(True))})
     keyed = keyed.repartition("conv_id", "key").sortWithinPartitions("conv_id", "key", *_ORDER)

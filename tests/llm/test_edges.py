@@ -66,3 +66,14 @@ def test_filters_keep_columns(docs, none, labels):
     assert exact.keep_one(docs).filter("text LIKE 'one two three%'").count() == 1
     assert exact.keep_one(docs).filter("trim(coalesce(text, '')) IN ('', '\t\n')").count() == 1
     assert minhash.keep_one(docs).filter("text LIKE 'one two three%'").count() == 1
+
+
+def test_pipeline_on_edges_and_on_nothing(spark, docs, none, labels, tmp_path):
+    import corpus_pipeline
+
+    for name, rows_ in (("edges", docs), ("empty", none)):
+        rows_.select("doc_id", "text", "lang", "source", "n_chars", "key").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.limit(0).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/edges").collect()
+    assert {r.doc_id for r in got} <= {1, 6, None, 7, 8} and {1, 6} <= {r.doc_id for r in got} and all(r.n_tokens > 0 for r in got)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
