@@ -42,14 +42,14 @@ def pascal(text: Column) -> Column:
 
 
 def singular(word: Column, rules: str = "plain") -> Column:
-    """Rule sets: plain (-ies, -sses/-xes/-ches/-shes, -s), short (-s only), tables (-ies, -ses, -s)."""
+    """Rule sets: plain (-ies, -sses/-xes/-ches/-shes/-zes, -s), short (-s only), tables (-ies, -ses, -s), routes (-ies, -ses/-xes/-ches, -s)."""
     cut = lambda n, tail="": F.concat(F.left(word, F.length(word) - n), F.lit(tail))
     if rules == "short":
         return F.when(word.endswith("s"), cut(1)).otherwise(word)
     ies = F.when(word.endswith("ies"), cut(3, "y"))
     if rules == "tables":
         return ies.when(word.endswith("ses"), cut(2)).when(word.endswith("s") & ~word.endswith("ss"), cut(1)).otherwise(word)
-    return ies.when(word.rlike("(ss|x|ch|sh)es$"), cut(2)).when(word.endswith("s") & ~word.endswith("ss"), cut(1)).otherwise(word)
+    return ies.when(word.rlike("(s|x|ch)es$" if rules == "routes" else "(ss|x|ch|sh|z)es$"), cut(2)).when(word.endswith("s") & ~word.endswith("ss"), cut(1)).otherwise(word)
 
 
 def basename(path: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as fn
 from quillon.operators import conversations as conv
-from quillon.operators import freshness, graph, metrics, relational, retrieval
+from quillon.operators import freshness, graph, metrics, relational, retrieval, topology
 from quillon.sources import files
 from quillon.streaming import changes
 
@@ -218,3 +218,31 @@ def test_percentiles_of_one_large_group(spark):
     got = {r.key: r for r in latency_percentiles(spark.createDataFrame(rows, "key string, value double"), "key", "value").collect()}
     own = sorted(v for k, v in rows if k == "a")
     assert (got["a"].p50, got["a"].p95, got["a"].p99, got["a"].n) == (own[2500], own[4750], own[4950], 5000) and got["b"].p50 == 1.0
+
+
+@pytest.mark.parametrize(("path", "want"), [
+    ("web/src/components/Billing/Office/x.tsx", "Billing/Office"), ("src/pages/x.tsx", None), ("src/components/shared/x.tsx", None), ("src/components/a.b/views/C/x.ts", "C"),
+    ("src/components/x.ts", None), ("src/components/x/views/Y/z.ts", "x/views/Y"), ("a/components/hooks/features/Cart/z.ts", "Cart"),
+])
+def test_component_dir(spark, path, want):
+    assert one(spark, topology.component_dir(F.col("p")), p=path) == want
+
+
+@pytest.mark.parametrize(("word", "want"), [("policies", "policy"), ("boxes", "box"), ("classes", "class"), ("access", "access"), ("wishes", "wishe"), ("cards", "card")])
+def test_singular_of_routes(spark, word, want):
+    assert one(spark, fn.singular(F.col("w"), "routes"), w=word) == want
+
+
+def test_component_seeds(spark):
+    front = spark.createDataFrame([("web/src/components/OfficeAuths/a.tsx", "web"), ("web/src/views/shop/OfficeAuths/b.tsx", "web")], ["path", "repo"])
+    back = ["app/models/in_office_auth.rb", "app/services/office_auths_sync/x.rb", "app/presenters/office_auth_view.rb", "app/models/office.rb", "app/controllers/office_auths/list.rb"]
+    got = topology.component_seeds(front, spark.createDataFrame([(b, "core") for b in back], ["path", "repo"]))
+    assert {(r.flow, r.path) for r in got.collect()} == {("Office Auths", p) for p in ["web/src/components/OfficeAuths/a.tsx", "web/src/views/shop/OfficeAuths/b.tsx", *(b for b in back if b != "app/models/office.rb")]}
+
+
+def test_community_name_order(spark):
+    members = spark.createDataFrame([(f, k, f"app/{'api/' + seg + '/' if seg else ''}f-{f}{k}.rb") for f, k, seg in [(1, 0, "cards"), (1, 1, "bills"), (2, 0, "v1_2"), (3, 0, None), (4, 0, "v1")]], "flow long, place long, path string")
+    files = spark.createDataFrame([("app/api/v1/f-40.rb", "ruby", "HTTPCall", 0)], "path string, language string, class_name string, associations int")
+    functions = spark.createDataFrame([("app/api/v1_2/f-20.rb", 0, "show", "public"), ("app/api/v1_2/f-20.rb", 1, "export", "public")], "path string, turn int, name string, visibility string")
+    got = {r.flow: r.name for r in topology.community_names(members, files, functions).collect()}
+    assert got == {1: "cards", 2: "export", 3: "f_30", 4: "http_call"}
