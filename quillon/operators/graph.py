@@ -72,7 +72,7 @@ def inbound(edges: DataFrame, entry_from: int = 10) -> DataFrame:
     return got.withColumn("entry", F.col("degree") >= entry_from)
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
     """(node, rank) after so many rounds on the weighted directed graph; parallel edges add up, dangling mass is spread evenly."""
     e = edges.groupBy("src", "dst").agg(F.sum("weight").alias("w"))
     out = e.groupBy("src").agg(F.sum("w").alias("out"))
@@ -288,7 +288,7 @@ _TRADE = "e AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*)::DOUBLE
 _SUPPLY = "e AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, count(*)::DOUBLE AS weight FROM lineitem GROUP BY 1, 2)"
 
 
-def _rank_sql(rounds: int = 10) -> str:
+def _rank_sql(rounds: int = 20) -> str:
     ctes = [
         "sh AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM e)",
         "nd AS MATERIALIZED (SELECT node, node NOT IN (SELECT src FROM e) AS dangling, count(*) OVER () AS n FROM (SELECT src AS node FROM e UNION SELECT dst FROM e))",
