@@ -72,8 +72,11 @@ def inbound(edges: DataFrame, entry_from: int = 10) -> DataFrame:
     return got.withColumn("entry", F.col("degree") >= entry_from)
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
-    """(node, rank) after so many rounds on the weighted directed graph; parallel edges add up, dangling mass is spread evenly."""
+def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
+    """(node, rank) after so many rounds on the weighted directed graph; parallel edges add up, dangling mass is spread evenly.
+
+    A round reads the ranks twice, so each is written: two rounds in one plan would compute the first anew for each reading.
+    """
     e = edges.groupBy("src", "dst").agg(F.sum("weight").alias("w"))
     out = e.groupBy("src").agg(F.sum("w").alias("out"))
     e = cut(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")))
@@ -81,12 +84,10 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, every: i
     nodes = cut(nodes.select("node", F.coalesce("dangling", F.lit(True)).alias("dangling")))
     n = nodes.count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for k in range(1, rounds + 1):
+    for _ in range(rounds):
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).scalar()
         moved = e.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        ranks = nodes.join(moved, "node", "left").withColumn("lost", lost).select("node", "dangling", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if k % every == 0:
-            ranks = cut(ranks)
+        ranks = cut(nodes.join(moved, "node", "left").withColumn("lost", lost).select("node", "dangling", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank")))
     return ranks.select("node", "rank")
 
 
