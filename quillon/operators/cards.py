@@ -69,6 +69,7 @@ QUERIES = {
 }
 _P = "p AS (SELECT p_partkey, p_brand, p_size, ['app/models', 'app/controllers', 'spec/models', 'lib', 'config/locales', 'src/routes', 'test/helpers', 'app/helpers', 'db/migrations', 'packages/ui'][p_size % 10 + 1] || '/' || CASE WHEN p_partkey % 9 = 0 THEN 'index' WHEN p_partkey % 7 = 0 THEN replace(p_name, ' ', '_') || '_test' ELSE replace(p_name, ' ', '_') END || ['.rb', '.ts', '.py', '.yml'][length(p_type) % 4 + 1] AS path FROM part)"
 SQL = {
+    "render_cards": f"WITH {_P}, m AS (SELECT DISTINCT p_brand AS flow, path, 'repo' || (p_size % 3) AS repo FROM p), g AS (SELECT flow, repo, path, CASE WHEN contains('/' || lower(path), '/controllers/') THEN 'controller' WHEN contains('/' || lower(path), '/models/') THEN 'model' END AS tag, row_number() OVER (PARTITION BY flow ORDER BY path) AS r FROM m), c AS (SELECT flow, count(*) AS files, coalesce(string_agg(DISTINCT tag, ',' ORDER BY tag), '') AS tags, '# ' || flow || chr(10) || chr(10) || '**Repos:** ' || string_agg(DISTINCT repo, ', ' ORDER BY repo) || chr(10) || chr(10) || '## Files' || chr(10) || '- ' || string_agg(path, chr(10) || '- ' ORDER BY path) FILTER (r <= 20) || CASE WHEN count(*) > 20 THEN chr(10) || '- +' || (count(*) - 20) || ' more' ELSE '' END AS content FROM g GROUP BY 1) SELECT flow, 'flow' AS card_type, files, tags, content, sha256(content) AS content_hash, ceil(length(content) / 4)::BIGINT AS tokens FROM c",
     "pair_cards": "WITH e AS (SELECT a.n_name AS src, b.n_name AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON s_nationkey = b.n_nationkey WHERE c_nationkey <> s_nationkey AND a.n_name <> b.n_name) SELECT src, dst, count(*)::DOUBLE AS calls, src || ' -> ' || dst AS title FROM e GROUP BY 1, 2 ORDER BY calls DESC, src, dst LIMIT 15",
     "model_cards": "WITH l AS (SELECT n_name AS model, c_mktsegment AS type, 'r' || n_regionkey AS target FROM customer JOIN nation ON c_nationkey = n_nationkey), e AS (SELECT model, type, count(*) AS n, string_agg(DISTINCT target, ', ' ORDER BY target) AS t FROM l GROUP BY 1, 2) SELECT model, sum(n)::BIGINT AS associations, string_agg(type || ': ' || t, chr(10) ORDER BY type || ': ' || t) AS content FROM e GROUP BY 1 HAVING sum(n) >= 2 ORDER BY associations DESC, model LIMIT 20",
     "identifiers": "WITH n AS (SELECT p_partkey, p_brand, list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)) AS w FROM part) SELECT p_partkey, array_to_string(w, '') || ' ' || array_to_string(w, ' ') || ' ' || p_brand AS identifiers FROM n",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import SCRUB, entities, file_paths, scrub, tickets, tokens, trim_sections
+from quillon.functions.text import SCRUB, STOP_WORDS, entities, file_paths, scrub, tickets, tokens, trim_sections
 from quillon.operators.retrieval import _asked, _vectors, knn
 from quillon.plans.lineage import cut
 from quillon.session import table
@@ -149,7 +149,7 @@ QUERIES = {
     "conv_sizes": lambda s, d: turn_lines(table(s, d, "conversations")).groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.char_length("line")).alias("chars"), F.count_if(F.col("role") == "user").alias("user_turns")),
     "pii_scrub": lambda s, d: table(s, d, "documents").select("doc_id", scrub(F.col("text")).alias("text")),
     "pii_scrub_basic": lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(scrub(F.col("text"), BASIC), 256).alias("hash")),
-    "file_paths": lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(file_paths(F.col("text")), ",").alias("paths")),
+    "file_paths": lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(file_paths(F.concat("text", F.lit(" (lib/"), "source", F.lit("/d.rb) ./app/"), "lang", F.lit(".ts, http://a.b/c.html lib/"), "source", F.lit("/d.rb:"))), ",").alias("paths")),
     "ticket_ids": lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(tickets(F.col("text")), ",").alias("tickets")),
     "entity_terms": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.array_join(entities(F.col("text")), ",").alias("names")),
     "token_estimates": lambda s, d: table(s, d, "documents").groupBy("source").agg(F.sum(tokens(F.col("text"))).alias("tokens"), F.round(F.sum(F.char_length("text") / 4), 2).alias("unrounded")),
@@ -160,10 +160,14 @@ QUERIES = {
     "insight_twins": lambda s, d: near_insights(_vectors(s, d).drop("label"), _asked(s, d).drop("label"), 0.3),
     "insight_sequence": lambda s, d: first_insights(_vectors(s, d), "label", 0.3),
 }
+_STOP = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
 SQL = {
     "conv_transcript": "SELECT conv_id, turn, CASE WHEN role IN ('user', 'human') THEN 'user' ELSE 'assistant' END AS role, upper(CASE WHEN role IN ('user', 'human') THEN 'user' ELSE 'assistant' END) || ': ' || substr(text, 1, 800) AS line FROM conversations WHERE role NOT IN ('tool', 'function')",
     "conv_sizes": "SELECT conv_id, count(*) AS turns, sum(length(substr(text, 1, 800)) + CASE WHEN role = 'user' THEN 6 ELSE 11 END)::BIGINT AS chars, count(*) FILTER (role = 'user') AS user_turns FROM conversations WHERE role NOT IN ('tool', 'function') GROUP BY 1",
     "pii_scrub_basic": r"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b', '[EMAIL]', 'g'), '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b', '[IP]', 'g')) AS hash FROM documents",
+    # delimiters are doubled, since they may end one path and begin the next and RE2 has no look-ahead
+    "file_paths": r"""WITH t AS (SELECT doc_id, regexp_replace(text || ' (lib/' || source || '/d.rb) ./app/' || lang || '.ts, http://a.b/c.html lib/' || source || '/d.rb:', '([\s`''"():#,])', '\1\1', 'g') AS t FROM documents), f AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(t, '(?:^|[\s`''"(])([a-zA-Z0-9_\-./]+/[a-zA-Z0-9_\-./]+\.[a-zA-Z]{1,5})(?:[\s`''":#),]|$)', 1), lambda p: regexp_replace(p, '^[./]+', '')), lambda p: p <> '' AND NOT starts_with(p, 'http') AND contains(p, '/')) AS p FROM t) SELECT doc_id, array_to_string(list_filter(p, lambda x, i: list_position(p, x) = i), ',') AS paths FROM f""",
+    "entity_terms": rf"""WITH c AS (SELECT conv_id, turn, row_number() OVER () AS k, regexp_replace(text, 'https?://[^ \t\n\r\f\x0B]+', '', 'g') AS p FROM conversations), w AS (SELECT k, unnest(regexp_split_to_array(lower(regexp_replace(p, '[^a-zA-Z0-9_ \t\n\r\f\x0B-]', ' ', 'g')), '[ \t\n\r\f\x0B]+')) AS w FROM c), n AS (SELECT k, w, count(*) AS n FROM w WHERE length(w) > 2 AND w NOT IN {_STOP} GROUP BY 1, 2), o AS (SELECT k, w, row_number() OVER (PARTITION BY k ORDER BY n DESC, w) AS r FROM n), a AS (SELECT k, list(w ORDER BY r) AS t FROM o WHERE r <= 5 GROUP BY 1), e AS (SELECT conv_id, turn, list_filter(list_concat(regexp_extract_all(p, '[a-z][a-z0-9]*(?:_[a-z0-9]+)+'), regexp_extract_all(p, '[A-Z][a-z]+(?:[A-Z][a-z]+)+'), coalesce(t, [])), lambda x: length(x) > 2 AND lower(x) NOT IN {_STOP}) AS e, list_transform(e, lambda x: lower(x)) AS l FROM c LEFT JOIN a USING (k)) SELECT conv_id, turn, array_to_string(list_filter(e, lambda x, i: list_position(l, lower(x)) = i)[:5], ',') AS names FROM e""",
     "ticket_ids": r"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, '\b[A-Z]{2,}-\d+\b'), lambda x, i: list_position(regexp_extract_all(text, '\b[A-Z]{2,}-\d+\b'), x) = i), ',') AS tickets FROM documents",
     "token_estimates": "SELECT source, sum(ceil(length(text) / 4))::BIGINT AS tokens, round(sum(length(text) / 4), 2) AS unrounded FROM documents GROUP BY 1",
     "section_trim": r"WITH s AS (SELECT doc_id, 'head' || chr(10) || '## ' || replace(text, chr(10), chr(10) || '## ') AS t, list_transform(string_split(text, chr(10)), lambda x: '## ' || x) AS p FROM documents), h AS (SELECT *, list_filter(p, lambda x: contains(lower(x), 'the') OR contains(lower(x), 'tion') OR contains(lower(x), 'onhe')) AS k FROM s) SELECT doc_id, CASE WHEN len(p) <= 1 OR len(k) = 0 OR len(k) = len(p) THEN length(t) ELSE length('head' || chr(10) || chr(10) || array_to_string(k, chr(10) || chr(10)) || chr(10) || chr(10) || '_(' || (len(p) - len(k)) || CASE WHEN len(p) - len(k) > 1 THEN ' sections' ELSE ' section' END || ' omitted — not matching query)_') END::INT AS chars FROM h",

@@ -312,6 +312,7 @@ _PATHS = "p AS (SELECT p_partkey, ['app/models', 'app/controllers', 'spec/models
 _MULT = "CASE WHEN relation IN ('model_association', 'import') THEN CASE sr WHEN 'entry_point' THEN 0.15::DOUBLE WHEN 'shared_utility' THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN relation = 'import' THEN CASE dr WHEN 'shared_utility' THEN 0.1::DOUBLE WHEN 'entry_point' THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END ELSE CASE dr WHEN 'shared_utility' THEN 0.2::DOUBLE WHEN 'entry_point' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END END ELSE 1.0::DOUBLE END"
 _LINKS = """li AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages)"""
 SQL = {
+    "import_resolve": r"""WITH l AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages), k AS (SELECT DISTINCT regexp_replace(target, '^/', '') AS file FROM l WHERE length(regexp_replace(target, '^/', '')) > 3), r AS (SELECT path, target, array_to_string(list_filter(string_split(CASE WHEN starts_with(target, '/') THEN substr(target, 2) ELSE regexp_replace(path, '[^/]*$', '') || target END, '/'), lambda s: s NOT IN ('', '.')), '/') AS whole FROM l), t AS (SELECT path, target, whole || unnest(['', '.ts', '.js', '/index.ts', '/index.js']) AS file, unnest([0, 1, 2, 3, 4]) AS turn FROM r) SELECT path, target, arg_min(file, turn) AS file FROM t JOIN k USING (file) GROUP BY 1, 2""",
     "edges_weighted": f"WITH r AS (SELECT l_partkey AS src, l_suppkey + 1000000 AS dst, {list(RELATION_WEIGHT)}[l_linenumber % 7 + 1] AS relation, {list(RELATION_WEIGHT.values())}[l_linenumber % 7 + 1] AS base, ['domain', 'test', 'entry_point', 'shared_utility', 'domain'][l_partkey % 5 + 1] AS sr, ['domain', 'test', 'entry_point', 'shared_utility', 'domain'][l_suppkey % 5 + 1] AS dr, l_orderkey * 10 + l_linenumber AS o FROM lineitem), w AS (SELECT src, dst, relation, o, round(base * {_MULT}, 4) AS weight FROM r WHERE sr NOT IN ('test', 'config')) SELECT src, dst, relation, weight FROM w WHERE weight > 0 QUALIFY row_number() OVER (PARTITION BY src, dst, relation ORDER BY o) = 1",
     "inbound_degree": f"WITH {_SUPPLY} SELECT dst AS node, count(*) AS degree, count(*) >= 3 AS entry FROM e GROUP BY 1",
     "file_roles": f"WITH {_PATHS} SELECT p_partkey, path, CASE WHEN path LIKE '%.yml' THEN 'config' WHEN regexp_matches(path, '(^|/)(spec|test)/') OR regexp_matches(path, '_test\\.[a-z]+$') THEN 'test' WHEN regexp_matches(path, '(^|/)(migrations|config|locales)/') THEN 'config' WHEN regexp_matches(path, '/index\\.[a-z]+$') AND NOT regexp_matches(path, '(^|/)(lib|src)/') THEN 'entry_point' ELSE 'domain' END AS role FROM p",

@@ -121,5 +121,6 @@ QUERIES = {
     "page_scripts": lambda s, d: table(s, d, "pages").select("page_id", F.size(parse_script(F.col("html")).getField("functions")).alias("functions"), F.size(F.array_distinct(_all(F.col("html"), r"(?s)<script[^>]*>(.*?)</script>"))).alias("scripts")),
 }
 SQL = {
+    "page_scripts": r"""WITH b AS (SELECT page_id, html, regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1) AS blocks FROM pages), c AS (SELECT *, CASE WHEN regexp_matches(html, '(?i)<script[^>]*>') THEN array_to_string(blocks, chr(10)) ELSE html END AS code FROM b) SELECT page_id, len(list_distinct(list_concat(regexp_extract_all(code, '\bfunction\s+(\w+)', 1), regexp_extract_all(code, '(?m)^(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>', 1))))::INT AS functions, len(list_distinct(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)))::INT AS scripts FROM c""",
     "page_outline": r"""SELECT page_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9-]*)', 1), lambda x: lower(x)))), ',') AS tags, len(regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1))::INT AS headings, len(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1)))::INT AS links FROM pages""",
 }

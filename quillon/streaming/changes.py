@@ -49,8 +49,8 @@ def debounced(changes: DataFrame, keys: list[str], quiet: str, late: str = LATE)
 
 
 def last_status(changes: DataFrame, quiet: str, late: str = LATE) -> DataFrame:
-    """(repo, path, status, ts) of each batch: a path's last status wins."""
-    return changes.withWatermark("ts", late).groupBy("repo", "path", F.session_window("ts", quiet)).agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts")).select("repo", "path", "status", "ts")
+    """(repo, path, status, ts) of each batch: a path's last status wins, of several at one time the greatest."""
+    return changes.withWatermark("ts", late).groupBy("repo", "path", F.session_window("ts", quiet)).agg(F.max_by("status", F.struct("ts", "status")).alias("status"), F.max("ts").alias("ts")).select("repo", "path", "status", "ts")
 
 
 def forced(changes: DataFrame, most: int = 500, quiet_ms: int | None = 1200) -> DataFrame:
@@ -94,37 +94,49 @@ def rate_windows(rows: DataFrame, key: str, width: str = "1 day", late: str = LA
     return rows.withWatermark("ts", late).groupBy(key, F.window("ts", width)).agg(F.count("*").alias("calls")).select(key, F.col("window.start").alias("start"), "calls")
 
 
-def finished(rows: DataFrame, mode: str = "append") -> DataFrame:
-    """Run the stream over all that is there now and return what it wrote, as a table of the shared folder."""
+def finished(rows: DataFrame, mode: str = "append", base: str | None = None) -> DataFrame:
+    """Run the stream over all that is there now and return what it wrote, as a table of the shared folder.
+
+    base, a folder of its own in shared storage, lets a later call go on where this one stopped.
+    """
     spark = rows.sparkSession
-    base = _folder(spark)
+    base = base or _folder(spark)
     if mode == "append":
         rows.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(rows.schema).parquet(f"{base}/out")
-    # complete mode: each batch replaces the table under a name of its own; the newest is the result
-    last: list[str] = []
 
+    # complete mode: each batch replaces the table under its number; the newest whole one is the result
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out-{number}")
-        last[:] = [f"{base}/out-{number}"]
 
     rows.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(last[0]) if last else spark.createDataFrame([], rows.schema)
+    return _newest(spark, base, rows.schema)
+
 
+def upserted(rows: DataFrame, keys: list[str], newest: str, base: str | None = None) -> DataFrame:
+    """Apply the stream batch by batch, the newest row of each key; what is there at the end.
 
-def upserted(rows: DataFrame, keys: list[str], newest: str) -> DataFrame:
-    """Apply the stream to an empty table batch by batch, the newest row of each key; what is there at the end."""
+    A batch builds on the newest table of a lower number that storage holds whole, so that a batch run again after a lost
+    driver gives the same table, and a restart from base keeps all that came before.
+    """
     spark = rows.sparkSession
-    base = _folder(spark)
-    last: list[str] = []
+    base = base or _folder(spark)
 
     def put(batch: DataFrame, number: int) -> None:
-        old = spark.read.parquet(last[0]) if last else spark.createDataFrame([], batch.schema)
+        old = _newest(spark, base, batch.schema, number)
         upsert_latest(old, batch, keys, newest).write.mode("overwrite").parquet(f"{base}/out-{number}")
-        last[:] = [f"{base}/out-{number}"]
 
     rows.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(last[0]) if last else spark.createDataFrame([], rows.schema)
+    return _newest(spark, base, rows.schema)
+
+
+def _newest(spark: SparkSession, base: str, schema, below: int | None = None) -> DataFrame:
+    """The whole table out-<number> of the greatest number, below a number where one is given; else an empty one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/out-*/_SUCCESS")
+    done = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    numbers = [int(f.getPath().getParent().getName().rpartition("-")[2]) for f in done]
+    numbers = [n for n in numbers if below is None or n < below]
+    return spark.read.schema(schema).parquet(f"{base}/out-{max(numbers)}") if numbers else spark.createDataFrame([], schema)
 
 
 def _folder(spark: SparkSession) -> str:
@@ -147,6 +159,7 @@ QUERIES = {
 # a stream in append mode holds back what the watermark has not closed: windows that end after the newest time less LATE
 SQL = {
     "stream_debounce": "WITH s AS (SELECT user_id AS repo, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS head FROM events), g AS (SELECT repo, ts, sum(head) OVER (PARTITION BY repo ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM s) SELECT repo, min(ts) AS first, max(ts) AS last, count(*) AS n FROM g GROUP BY repo, k HAVING max(ts) + INTERVAL 30 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES",
+    "stream_latest_status": "WITH e AS (SELECT user_id, json_extract_string(props, '$.k') AS path, event_type, ts FROM events), s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id, path ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS head FROM e), g AS (SELECT *, sum(head) OVER (PARTITION BY user_id, path ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM s), b AS (SELECT arg_max(event_type, (ts, event_type)) AS status FROM g GROUP BY user_id, path, k HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES) SELECT status, count(*) AS n FROM b GROUP BY 1",
     "stream_usage_counts": "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_rate_windows": "SELECT user_id, date_trunc('day', ts) AS start, count(*) AS calls FROM events GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES",
     "stream_upsert": "SELECT user_id, ts, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
