@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quillon.operators import cards, conversations, evaluation, freshness, graph, metrics, relational, retrieval, services, topology
+from quillon.operators import cards, conversations, evaluation, frameworks, freshness, graph, metrics, relational, retrieval, services, topology
 from quillon.sources import files
 from quillon.streaming import changes
 
-MODULES = (metrics, relational, retrieval, graph, freshness, conversations, evaluation, cards, services, topology, files, changes)
+MODULES = (metrics, relational, retrieval, graph, freshness, conversations, evaluation, cards, services, topology, frameworks, files, changes)
 
 
 def queries() -> dict:

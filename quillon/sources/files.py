@@ -108,6 +108,35 @@ def parse_script(text: Column) -> Column:
     return F.struct(classes.alias("classes"), functions.alias("functions"), imports.alias("imports"), F.array_distinct(calls).alias("api_calls"))
 
 
+#: the parser of each language, by name; others are added here or given to parsed()
+PARSERS = {"python": parse_python, "go": parse_go, "ruby": parse_ruby, "javascript": parse_script, "typescript": parse_script, "vue": parse_script}
+
+
+def parsed(files: DataFrame, parsers: dict = PARSERS) -> DataFrame:
+    """Files (language, content and other columns) with classes and functions (names) and imports, by the parser of their language.
+
+    A language without a parser has none of these; what a parser doesn't know is empty.
+    """
+    none = F.array().cast("array<string>")
+    parts = {}
+    for name in ("classes", "functions", "imports"):
+        out = None
+        for language, parse in parsers.items():
+            got = parse(F.col("content"))
+            fields = _fields(files, got)
+            if name in fields:
+                names = got.getField(name)
+                names = names if fields[name] == "array<string>" else F.transform(names, lambda x: x["name"])
+                out = (F if out is None else out).when(F.col("language") == language, names)
+        parts[name] = F.coalesce(out, none) if out is not None else none
+    return files.withColumns(parts)
+
+
+def _fields(files: DataFrame, column: Column) -> dict[str, str]:
+    """Names and types of a struct's fields; nothing is read for that."""
+    return {x.name: x.dataType.simpleString() for x in files.select(column.alias("x")).schema["x"].dataType.fields}
+
+
 def outline(html: Column) -> Column:
     """struct of a page's tags (distinct, sorted), headings and links, as a component's template shows them."""
     tags = F.array_sort(F.array_distinct(F.transform(_all(html, "<([A-Za-z][A-Za-z0-9-]*)"), F.lower)))

@@ -246,3 +246,70 @@ def test_community_name_order(spark):
     functions = spark.createDataFrame([("app/api/v1_2/f-20.rb", 0, "show", "public"), ("app/api/v1_2/f-20.rb", 1, "export", "public")], "path string, turn int, name string, visibility string")
     got = {r.flow: r.name for r in topology.community_names(members, files, functions).collect()}
     assert got == {1: "cards", 2: "export", 3: "f_30", 4: "http_call"}
+
+
+def test_frameworks_are_detected_and_type_classes(spark):
+    from quillon.operators.frameworks import detected, retyped
+
+    files = [("a", "Gemfile", ""), ("b", "web/package.json", '{"devDependencies": {"react": "1"}}'), ("c", "package.json", "{"), ("d", "svc/requirements-dev.txt", ""), ("e", "x.go", None)]
+    got = {(r.repo, r.framework) for r in detected(spark.createDataFrame(files, "repo string, path string, content string")).collect()}
+    assert got == {("a", "rails"), ("b", "express"), ("b", "react"), ("c", "express"), ("d", "django")}
+
+    kind = "repo string, path string, language string, content string, functions array<string>, exports array<string>, stores int, classes array<struct<name:string,parent:string,type:string>>"
+    rows = [
+        ("a", "/app/jobs/x.rb", "ruby", "", [], [], 0, [("X", None, "other"), ("Y", "FooController", "other"), ("Z", None, "store")]),
+        ("b", "/src/pages/Home.jsx", "javascript", "", ["f"], [], 0, []),
+        ("b", "/src/pages/Card.jsx", "javascript", "", ["f"], ["Card"], 0, []),
+        ("b", "/src/hooks/useX.js", "javascript", None, ["useX"], [], None, []),
+        ("b", "/src/any.js", "javascript", "@Controller('u') class U {}", [], [], 2, [("U", None, "other")]),
+        ("e", "/app/models/m.rb", "ruby", "", [], [], 0, [("M", "ApplicationRecord", "other")]),
+        ("e", "/n.rb", "ruby", "", [], [], 0, None),
+    ]
+    active = spark.createDataFrame([("a", "rails"), ("b", "express"), ("b", "react")], "repo string, framework string")
+    got = {r.path: None if r.classes is None else [(c.name, c.type) for c in r.classes] for r in retyped(spark.createDataFrame(rows, kind), active).collect()}
+    assert got["/app/jobs/x.rb"] == [("X", "job"), ("Y", "controller"), ("Z", "store")]
+    assert got["/src/pages/Home.jsx"] == [] and got["/src/pages/Card.jsx"] == [("Card", "component")] and got["/src/hooks/useX.js"] == [("useX", "helper")]
+    assert got["/src/any.js"] == [("U", "controller")] and got["/app/models/m.rb"] == [("M", "other")] and got["/n.rb"] is None
+
+
+def test_routes_and_relations_of_frameworks(spark):
+    from quillon.operators.frameworks import model_relations, script_routes, url_routes
+
+    def one(make, text):
+        return [tuple(x) for x in spark.createDataFrame([(text,)], "t string").select(make(F.col("t")).alias("x")).first().x]
+
+    assert one(script_routes, "const r = express.Router();\nr.get('/a', f); r.POST(\"/b\", g)") == [("GET", "/a"), ("POST", "/b")]
+    assert one(script_routes, "app.get('/a', f)") == []
+    assert one(script_routes, "@Controller('users') class U { @Get(':id') a() {} @Post() b() {} }") == [("GET", "/users/:id"), ("POST", "/users/")]
+    assert one(model_relations, "class A(models.Model):\n    owner = models.ForeignKey('User', x)\n    n = models.IntegerField()") == [("ForeignKey", "owner", "User")]
+    assert one(url_routes, "path('a/', views.home, name='x'), path('b/', Item.as_view())") == [("/a/", None, "views.home"), ("/b/", "Item", None)]
+
+
+def test_parsers_by_language(spark):
+    from quillon.sources.files import parsed
+
+    rows = [("python", "import os\nclass A(B):\n    def f(self): pass"), ("go", 'import "fmt"\nfunc Run() {}'), ("ruby", "class R\n  def m\n  end\nend"), ("vue", "<script>import x from './y'\nfunction g() {}</script>"), ("cobol", "DIVISION."), ("python", None)]
+    got = parsed(spark.createDataFrame(rows, "language string, content string")).collect()
+    assert [(r.classes, r.functions, r.imports) for r in got] == [(["A"], ["f"], ["os"]), ([], ["Run"], ["fmt"]), (["R"], ["m"], []), ([], ["g"], ["./y"]), ([], [], []), ([], [], [])]
+
+
+def test_upsert_goes_on_after_a_restart(spark, tmp_path):
+    from quillon.streaming.changes import upserted
+
+    kind = "k string, at int"
+    base = f"file://{tmp_path}/state"
+    spark.createDataFrame([("a", 1), ("b", 5)], kind).coalesce(1).write.parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+    assert {tuple(r) for r in upserted(read(), ["k"], "at", base).collect()} == {("a", 1), ("b", 5)}
+    spark.createDataFrame([("a", 2), ("b", 3), ("c", 1)], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert {tuple(r) for r in upserted(read(), ["k"], "at", base).collect()} == {("a", 2), ("b", 5), ("c", 1)}
+    assert {tuple(r) for r in upserted(read(), ["k"], "at", base).collect()} == {("a", 2), ("b", 5), ("c", 1)}
+
+
+def test_latest_status_of_equal_times(spark, tmp_path):
+    from quillon.streaming.changes import finished, last_status
+
+    rows = [("r", "p", s, t) for t, s in (("2024-01-01 00:00:00", "b"), ("2024-01-01 00:00:00", "a"), ("2024-01-09 00:00:00", "z"))]
+    spark.createDataFrame(rows, "repo string, path string, status string, t string").selectExpr("repo", "path", "status", "timestamp(t) AS ts").write.parquet(str(tmp_path / "in"))
+    got = finished(last_status(spark.readStream.schema("repo string, path string, status string, ts timestamp").parquet(str(tmp_path / "in")), "1 hour")).collect()
+    assert [r.status for r in got] == ["b"]
