@@ -11,7 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators.relational import upsert_latest
+from quillon.operators.freshness import invalidate_cards, invalidate_docs
+from quillon.operators.graph import _CARDS, _card_edges, cross_staleness
+from quillon.operators.relational import cards_of, upsert_latest
 from quillon.session import table
 
 LATE = "10 minutes"
@@ -130,6 +132,40 @@ def upserted(rows: DataFrame, keys: list[str], newest: str, base: str | None = N
     return _newest(spark, base, rows.schema)
 
 
+def stale_by(batch: DataFrame, cards: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, key) that a batch of changes (repo, path, merge) makes stale: cards by their files, documents by rule.
+
+    Changes that a merge brought also reach cards of other repositories along interface edges, and changelogs.
+    """
+    merged = batch.filter("merge")
+    own = invalidate_cards(cards, batch).filter("card_state = 'invalidated'").select("id")
+    other = cross_staleness(merged.select("path", "repo").distinct(), edges, cards).join(cards.filter(~F.col("stale")).select("id"), "id", "left_semi")
+    docs = invalidate_docs(batch).union(invalidate_docs(merged, merge=True)).distinct()
+    ids = own.union(other).distinct().select(F.lit("card").alias("kind"), F.col("id").cast("string").alias("key"))
+    return ids.union(docs.select(F.lit("doc"), F.concat_ws(":", "repo", "doc_type")))
+
+
+def synced(changes: DataFrame, cards: DataFrame, edges: DataFrame, base: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Apply a stream of changes (repo, path, status, ts, merge) to an empty file index, batch by batch.
+
+    The index holds each file's newest row, deleted ones too, since a late older change must not bring one back; the second
+    table holds what became stale, once. Of rows of one time the greatest wins. Both tables go by the batch's number.
+    """
+    spark = changes.sparkSession
+    base = base or _folder(spark)
+    kinds = "kind string, key string"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        gone = _newest(spark, f"{base}/stale", kinds, number)
+        gone.union(stale_by(batch, cards, edges)).distinct().write.mode("overwrite").parquet(f"{base}/stale/out-{number}")
+        upsert_latest(_newest(spark, base, batch.schema, number), batch, ["repo", "path"], "ts").write.mode("overwrite").parquet(f"{base}/out-{number}")
+        batch.unpersist()
+
+    changes.writeStream.foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return _newest(spark, base, changes.schema), _newest(spark, f"{base}/stale", kinds)
+
+
 def _newest(spark: SparkSession, base: str, schema, below: int | None = None) -> DataFrame:
     """The whole table out-<number> of the greatest number, below a number where one is given; else an empty one."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/out-*/_SUCCESS")
@@ -145,6 +181,21 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
+def _changes(s, d) -> DataFrame:
+    """Events as changes of the cards' files; errors delete, purchases come by merges."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    name = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("/g"), (F.col("event_id") % 5).cast("string"))).otherwise(F.concat(F.lit("/en/f"), (F.col("event_id") % 3).cast("string")))
+    path = F.concat(F.lit("src"), (k % 40).cast("string"), name)
+    status = F.when(F.col("event_type") == "error", "deleted").otherwise("modified")
+    return stream(s, d, "events", 8).select(F.concat(F.lit("repo"), (F.col("user_id") % 5).cast("string")).alias("repo"), path.alias("path"), status.alias("status"), "ts", (F.col("event_type") == "purchase").alias("merge"))
+
+
+def _synced(s, d) -> DataFrame:
+    index, stale = synced(_changes(s, d), cards_of(table(s, d, "documents")), _card_edges(s, d))
+    files = index.filter("status <> 'deleted'").select(F.lit("file").alias("kind"), F.concat_ws(":", "repo", "path").alias("key"))
+    return files.union(stale)
+
+
 def _ntz(rows: DataFrame, *names: str) -> DataFrame:
     return rows.withColumns({n: F.to_timestamp_ntz(F.date_format(n, "yyyy-MM-dd HH:mm:ss.SSSSSS")) for n in names})
 
@@ -154,12 +205,14 @@ QUERIES = {
     "stream_latest_status": lambda s, d: finished(last_status(stream(s, d, "events").select(F.col("user_id").alias("repo"), F.get_json_object("props", "$.k").alias("path"), F.col("event_type").alias("status"), "ts"), "1 hour")).groupBy("status").agg(F.count("*").alias("n")),
     "stream_usage_counts": lambda s, d: finished(running_counts(stream(s, d, "events", 8), ["user_id", "event_type"]), "complete"),
     "stream_rate_windows": lambda s, d: _ntz(finished(rate_windows(stream(s, d, "events"), "user_id")), "start"),
+    "stream_sync": _synced,
     "stream_upsert": lambda s, d: _ntz(upserted(stream(s, d, "events", 8).select("user_id", "ts", "event_id", "event_type"), ["user_id"], "ts"), "ts"),
 }
 # a stream in append mode holds back what the watermark has not closed: windows that end after the newest time less LATE
 SQL = {
     "stream_debounce": "WITH s AS (SELECT user_id AS repo, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS head FROM events), g AS (SELECT repo, ts, sum(head) OVER (PARTITION BY repo ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM s) SELECT repo, min(ts) AS first, max(ts) AS last, count(*) AS n FROM g GROUP BY repo, k HAVING max(ts) + INTERVAL 30 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES",
     "stream_latest_status": "WITH e AS (SELECT user_id, json_extract_string(props, '$.k') AS path, event_type, ts FROM events), s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id, path ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS head FROM e), g AS (SELECT *, sum(head) OVER (PARTITION BY user_id, path ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM s), b AS (SELECT arg_max(event_type, (ts, event_type)) AS status FROM g GROUP BY user_id, path, k HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES) SELECT status, count(*) AS n FROM b GROUP BY 1",
+    "stream_sync": f"WITH {_CARDS}, ch AS (SELECT 'repo' || (user_id % 5) AS repo, 'src' || (json_extract_string(props, '$.k')::INT % 40) || CASE WHEN event_id % 2 = 0 THEN '/g' || (event_id % 5) ELSE '/en/f' || (event_id % 3) END AS path, CASE WHEN event_type = 'error' THEN 'deleted' ELSE 'modified' END AS status, ts, event_type = 'purchase' AS merge FROM events), i AS (SELECT repo, path, arg_max(status, (ts, status)) AS status FROM ch GROUP BY 1, 2), f AS (SELECT id, repos, unnest(files) AS path FROM c WHERE NOT stale), h AS (SELECT DISTINCT dst AS path, repo FROM ce JOIN ch ON src = ch.path WHERE relation = 'api_endpoint' AND merge) SELECT 'file' AS kind, repo || ':' || path AS key FROM i WHERE status <> 'deleted' UNION ALL (SELECT 'card', id::VARCHAR FROM f WHERE path IN (SELECT path FROM ch) UNION SELECT 'card', id::VARCHAR FROM f JOIN h USING (path) WHERE NOT list_contains(repos, repo))",
     "stream_usage_counts": "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_rate_windows": "SELECT user_id, date_trunc('day', ts) AS start, count(*) AS calls FROM events GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES",
     "stream_upsert": "SELECT user_id, ts, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",

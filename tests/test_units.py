@@ -313,3 +313,25 @@ def test_latest_status_of_equal_times(spark, tmp_path):
     spark.createDataFrame(rows, "repo string, path string, status string, t string").selectExpr("repo", "path", "status", "timestamp(t) AS ts").write.parquet(str(tmp_path / "in"))
     got = finished(last_status(spark.readStream.schema("repo string, path string, status string, ts timestamp").parquet(str(tmp_path / "in")), "1 hour")).collect()
     assert [r.status for r in got] == ["b"]
+
+
+def test_batches_make_cards_and_documents_stale(spark, tmp_path):
+    from quillon.streaming.changes import synced
+
+    kind = "repo string, path string, status string, ts timestamp, merge boolean"
+    cards = spark.createDataFrame([(1, ["app/models/a.rb"], ["x"], False), (2, ["web/b.ts"], ["y"], False), (3, ["web/b.ts"], ["x", "y"], False), (4, ["z"], ["z"], False), (5, ["app/models/a.rb"], ["x"], True)], "id long, source_files array<string>, source_repos array<string>, stale boolean")
+    edges = spark.createDataFrame([("app/models/a.rb", "web/b.ts", "api_endpoint"), ("app/models/a.rb", "z", "import")], "src string, dst string, relation string")
+    base = f"file://{tmp_path}/state"
+
+    def add(*rows):
+        made = spark.createDataFrame(rows, "repo string, path string, status string, t string, merge boolean")
+        made.selectExpr("repo", "path", "status", "timestamp(t) AS ts", "merge").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        return synced(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), cards, edges, base)
+
+    index, stale = add(("x", "app/models/a.rb", "added", "2024-01-02 00:00:00", False), ("x", "c.rb", "deleted", "2024-01-02 00:00:00", False))
+    assert {(r.path, r.status) for r in index.collect()} == {("app/models/a.rb", "added"), ("c.rb", "deleted")}
+    assert {r.key for r in stale.filter("kind = 'card'").collect()} == {"1"} and not stale.filter("key = 'x:changelog'").count()
+    # a merge reaches the cards of other repositories; an older addition does not bring a deleted file back
+    index, stale = add(("x", "app/models/a.rb", "modified", "2024-01-03 00:00:00", True), ("x", "c.rb", "added", "2024-01-01 00:00:00", False))
+    assert {(r.path, r.status) for r in index.collect()} == {("app/models/a.rb", "modified"), ("c.rb", "deleted")}
+    assert {r.key for r in stale.filter("kind = 'card'").collect()} == {"1", "2"} and stale.filter("key = 'x:changelog'").count() == 1
