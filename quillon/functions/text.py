@@ -115,6 +115,7 @@ def slug(text: Column) -> Column:
 def entities(text: Column, most: int = 5) -> Column:
     """Names in a text: snake_case, then PascalCase, then frequent words; none twice, no stop word."""
     plain = F.regexp_replace(text, r"https?://[^ \t\n\r\f\x0B]+", "")
+    # The patterns of URLs, names and words
     snakes = F.regexp_extract_all(plain, F.lit("[a-z][a-z0-9]*(?:_[a-z0-9]+)+"), F.lit(0))
     pascals = F.regexp_extract_all(plain, F.lit("[A-Z][a-z]+(?:[A-Z][a-z]+)+"), F.lit(0))
     every = F.filter(F.split(F.lower(F.regexp_replace(plain, "[^a-zA-Z0-9_ \t\n\r\f\x0B-]", " ")), r"[ \t\n\r\f\x0B]+"), lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
@@ -157,6 +158,7 @@ def scrub(text: Column, rules=SCRUB) -> Column:
 
 def file_paths(text: Column) -> Column:
     """Paths with a directory and an extension, leading dots and slashes cut, none twice."""
+    # The patterns of a path and of what it begins with
     found = F.regexp_extract_all(text, F.lit(r"(?:^|[\s`'\"(])([a-zA-Z0-9_\-./]+/[a-zA-Z0-9_\-./]+\.[a-zA-Z]{1,5})(?=[\s`'\":#),]|$)"), F.lit(1))
     paths = F.transform(found, lambda p: F.regexp_replace(p, "^[./]+", ""))
     return F.array_distinct(F.filter(paths, lambda p: (p != "") & ~p.startswith("http") & p.contains("/")))
@@ -166,6 +168,7 @@ def tickets(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(ascii_edges(r"\b([A-Z]{2,}-\d+)\b")), F.lit(1)))
 
 
+# Fixed values below: names, patterns and roles of branches
 # -- branches --------------------------------------------------------------------------------------------------------------
 
 
