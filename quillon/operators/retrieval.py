@@ -37,15 +37,19 @@ def bm25(docs: DataFrame, terms: DataFrame, id_col: str, fields: dict[str, float
     idf = ln((N - n + 0.5) / (n + 0.5)), 1e-6 at least; a text's length is the number of its words in all fields.
     """
     lists = [(words(F.coalesce(F.col(f), F.lit(""))), float(w)) for f, w in fields.items()]
-    if len(lists) == 1:
-        every = lists[0][0]
-        rows = docs.select(F.col(id_col).alias("id"), F.size(every).alias("len"), F.explode(F.concat(F.array(F.lit("")), every)).alias("term")).withColumn("w", F.lit(lists[0][1]))
-    else:
-        entry = lambda weight: lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w"))
-        every = F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(0.0).alias("w"))), *(F.transform(t, entry(w)) for t, w in lists))
-        rows = docs.select(F.col(id_col).alias("id"), F.explode(every).alias("t"), (F.size(every) - 1).alias("len")).select("id", "len", "t.term", "t.w")
+    entry = lambda weight: lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w"))
+    # three steps: a text is split once, its length is taken below the explode, and no row behind that carries the whole list
+    split = docs.select(F.col(id_col).alias("id"), F.concat(*(F.transform(t, entry(w)) for t, w in lists)).alias("every"))
+    return weighed(split, terms)
+
+
+def weighed(split: DataFrame, terms: DataFrame) -> DataFrame:
+    """bm25 of texts that are split already: (id, every), every an array of (term, w)."""
+    size = split.withColumn("len", F.size("every"))
+    rows = size.select("id", "len", F.explode(F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(0.0).alias("w"))), "every")).alias("t")).select("id", "len", "t.term", "t.w")
     # one scan: the empty term stands once for each text and carries its length, so N and the mean come from what is kept
     asked = terms.select("term").union(terms.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    asked = cut(asked)  # its size is known when the join is planned: a small vocabulary is broadcast and no word is shuffled
     kept = rows.join(asked, "term", "left_semi").groupBy("term", "id").agg(F.sum("w").alias("tf"), F.first("len").alias("len"), F.count("*").alias("c"), F.sum("len").alias("lens"))
     kept = cut(kept)
     total = kept.filter("term = ''").agg(F.sum("c").alias("n"), (F.sum("lens") / F.sum("c")).alias("mean"))
