@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillon.llm import bpe, chat, exact, minhash, mixing, quality, rules, suffixes, toxicity, warc
+from quillon.llm import bpe, bytebpe, chat, exact, minhash, mixing, quality, rules, suffixes, toxicity, warc
 from quillon.session import table
 
 
@@ -22,6 +22,7 @@ def queries() -> dict:
         "op8_bpe": lambda s, d: bpe.query(docs(s, d)),
         "op9_minhash": lambda s, d: minhash.query(docs(s, d)),
         "op10_chat_repair": lambda s, d: chat.query(table(s, d, "conversations")),
+        "op11_byte_bpe": lambda s, d: bytebpe.query(docs(s, d)),
     }
 
 
