@@ -22,14 +22,13 @@ from dataclasses import dataclass
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.grams import tidy
-from quillon.llm.shared import discard, stage
+from quillon.llm.shared import discard, numbered, stage
 
 BITS = 10  # a block has 2 ** BITS leaves, unless another number is given
-ROWS = 1 << 18  # leaves of a part of the range sort
 LEFT, RIGHT, LONE = b"L", b"R", b"N"  # where a path's sibling stands; LONE: there is none, the node is hashed alone
 
 
@@ -130,17 +129,6 @@ def leaves(docs: DataFrame) -> DataFrame:
     return docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("id"), made(rest).alias("digest"), F.when(tampered & rest.isNotNull(), made(rest + 1)).alias("forged"))
 
 
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """rows (staged) with `index` in their key by the order, and `n`, the key's rows. Written parts hold places; counts of parts shift them."""
-    parts = max(-(-rows.count() // ROWS), rows.sparkSession.sparkContext.defaultParallelism)
-    sort = rows.repartitionByRange(parts, "key", *order).sortWithinPartitions("key", *order)
-    placed = stage(sort.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), name)
-    held = placed.groupBy("key", "part").agg(F.min("at").alias("first"), F.count("*").alias("c"))
-    before = F.sum("c").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    shift = held.select("key", "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"), F.sum("c").over(Window.partitionBy("key")).alias("n"))
-    return placed.join(stage(shift, f"{name}-parts"), ["key", "part"]).withColumn("index", F.col("at") + F.col("shift")).drop("part", "at", "shift")
-
-
 # -- tiers ---------------------------------------------------------------------------------------------------------------
 
 CHUNK = "key string, block long, n long, count int, start long, log binary, root binary, ids array<long>, forged array<binary>"
@@ -234,10 +222,10 @@ class Manifest:
 
 def manifest(docs: DataFrame, bits: int = BITS) -> Manifest:
     staged = stage(leaves(docs), "leaves")
-    lists = numbered(staged, ["id", "digest"], "ordered")
+    lists = numbered(staged, "key", ["id", "digest"], "ordered")
     trees = tiers(lists, "logs", bits)
     ends = stage(roots(trees, bits), "subroots")
-    order = numbered(ends.select(F.lit("").alias("key"), F.col("key").alias("of"), "digest"), ["of"], "ordered-roots")
+    order = numbered(ends.select(F.lit("").alias("key"), F.col("key").alias("of"), "digest"), "key", ["of"], "ordered-roots")
     subroots = stage(order.select(F.col("index").alias("no"), F.col("of").alias("key"), "digest", "n"), "numbered-roots")
     top = tiers(subroots.select(F.lit("").alias("key"), F.col("no").alias("index"), "n", "digest"), "top-logs", bits)
     whole = roots(top, bits).first()

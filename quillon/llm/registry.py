@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillon.llm import bpe, bytebpe, chat, exact, merkle, minhash, mixing, quality, rules, suffixes, toxicity, warc
+from quillon.llm import bpe, bytebpe, chat, exact, merkle, minhash, mixing, quality, rules, suffixes, toxicity, trie, warc
 from quillon.session import table
 
 
@@ -24,6 +24,7 @@ def queries() -> dict:
         "op10_chat_repair": lambda s, d: chat.query(table(s, d, "conversations")),
         "op11_byte_bpe": lambda s, d: bytebpe.query(docs(s, d)),
         "op12_merkle": lambda s, d: merkle.query(docs(s, d)),
+        "op13_prefix_trie": lambda s, d: trie.query(table(s, d, "conversations")),
     }
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]"
+ROWS = 1 << 18  # rows of a part of a range sort
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -38,6 +39,25 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def parts_for(rows: int, spark: SparkSession) -> int:
+    """Parts of a range sort: ROWS rows each, or fewer where the session has cores to spare."""
+    return max(1, -(-rows // ROWS), min(spark.sparkContext.defaultParallelism, rows >> 10))
+
+
+def numbered(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """rows (a written table) with `index`, from 0 by the order within their key, and `n`, the key's rows.
+
+    A range sort spreads a hot key over parts. The parts are written with the places of their rows; the rows that a key has in
+    earlier parts shift them, and a key has as many counts as there are parts at most.
+    """
+    sort = rows.repartitionByRange(parts_for(rows.count(), rows.sparkSession), key, *order).sortWithinPartitions(key, *order)
+    placed = stage(sort.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), name)
+    held = placed.groupBy(key, "part").agg(F.min("at").alias("first"), F.count("*").alias("c"))
+    before = F.sum("c").over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    shift = held.select(key, "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"), F.sum("c").over(Window.partitionBy(key)).alias("n"))
+    return placed.join(stage(shift, f"{name}-parts"), [key, "part"]).withColumn("index", F.col("at") + F.col("shift")).drop("part", "at", "shift")
+
+
 def one_of_each(docs: DataFrame, key: dict[str, Column], status: DataFrame) -> DataFrame:
     """One row of docs for each key that status (the key's columns, kept, n) keeps, with the columns of docs.
 
