@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.grams import tidy
-from quillon.llm.shared import discard, numbered, stage
+from quillon.llm.shared import CRC_TABLE, crc32_sql, discard, numbered, stage
 
 BITS = 10  # a block has 2 ** BITS leaves, unless another number is given
 LEFT, RIGHT, LONE = b"L", b"R", b"N"  # where a path's sibling stands; LONE: there is none, the node is hashed alone
@@ -281,3 +281,25 @@ def audit(m: Manifest) -> DataFrame:
 
 def query(docs: DataFrame, bits: int = BITS) -> DataFrame:
     return audit(manifest(docs, bits))
+
+
+def _told(x: str) -> str:
+    return f"CASE WHEN ({x}) IS NULL THEN '-' ELSE strlen(({x})::VARCHAR) || ':' || ({x})::VARCHAR END"
+
+
+def _leaf(n: str) -> str:
+    return "sha256(" + " || ".join(_told(x) for x in ("doc_id", "source", "lang", n, "text")) + ")"
+
+
+_UP = "SELECT key, k + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM {t} WHERE n > 1 GROUP BY key, k, i // 2"
+_CLIMB = "SELECT f.r, f.key, f.k + 1, f.i // 2, (f.n + 1) // 2, sha256(CASE WHEN s.h IS NULL THEN cur WHEN f.i % 2 = 1 THEN s.h || cur ELSE cur || s.h END), proof || coalesce(s.h, '') FROM {f} AS f LEFT JOIN {t} AS s ON s.key IS NOT DISTINCT FROM f.key AND s.k = f.k AND s.i = xor(f.i, 1) WHERE f.n > 1"
+SQL = f"""WITH RECURSIVE {CRC_TABLE},
+d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER () AS r
+ FROM (SELECT doc_id, lang, {_leaf('n_chars')} AS leaf, CASE WHEN {crc32_sql('doc_id')} % 7 = 0 THEN {_leaf('n_chars + 1')} END AS forged FROM documents, tab)),
+lv AS (SELECT lang AS key, 0 AS k, i, leaf AS h, n FROM d UNION ALL {_UP.format(t='lv')}),
+sub AS (SELECT key, h, row_number() OVER (ORDER BY key NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM lv WHERE n = 1),
+tv AS (SELECT 0 AS key, 0 AS k, i, h, n FROM sub UNION ALL {_UP.format(t='tv')}),
+low AS (SELECT r, lang AS key, 0 AS k, i, n, coalesce(forged, leaf) AS cur, '' AS proof FROM d UNION ALL {_CLIMB.format(f='low', t='lv')}),
+high AS (SELECT r, 0 AS key, 0 AS k, sub.i, sub.n, cur, proof FROM low JOIN sub ON sub.key IS NOT DISTINCT FROM low.key WHERE low.n = 1 UNION ALL {_CLIMB.format(f='high', t='tv')})
+SELECT doc_id, leaf, sub.h AS subroot, tv.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = tv.h AS verified
+FROM d JOIN high USING (r) JOIN sub ON sub.key IS NOT DISTINCT FROM d.lang JOIN tv ON tv.n = 1 WHERE high.n = 1"""

@@ -30,4 +30,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     pipeline = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
-    return {**pipeline, "op3_quality_rules": rules.SQL, "op5_warc": warc.SQL, "op7_exact_dedup": exact.SQL}
+    return {**pipeline, "op3_quality_rules": rules.SQL, "op5_warc": warc.SQL, "op7_exact_dedup": exact.SQL, "op12_merkle": merkle.SQL, "op13_prefix_trie": trie.SQL}

@@ -12,6 +12,13 @@ SPACE = r"[\x20\x09-\x0D]"
 ROWS = 1 << 18  # rows of a part of a range sort
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: in SQL, `tab` has the table of CRC-32 as one list; crc32_sql gives the value of a decimal
+CRC_TABLE = """tab AS (SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS crc FROM (SELECT unnest(range(256)) AS i))"""
+
+
+def crc32_sql(x: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(({x})::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir. Only a local session may leave that unset; it gets a temporary folder."""

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import shared
 from quillon.llm.grams import tidy
-from quillon.llm.shared import discard, numbered, parts_for, stage
+from quillon.llm.shared import CRC_TABLE, crc32_sql, discard, numbered, parts_for, stage
 
 PRIME, BASE = (1 << 127) - 1, 0x4A6F3D1C9E27B5806D93A1F4E85C72B1
 RUN = 4096
@@ -325,4 +325,21 @@ def trie(rows: DataFrame) -> DataFrame:
 
 
 def query(conversations: DataFrame) -> DataFrame:
-    return trie(rebuilt(conversations))
+    return trie(rebuilt(conversations)).drop("enter", "exit")
+
+
+SQL = f"""WITH {CRC_TABLE},
+tn AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, w) AS o FROM (SELECT conv_id AS c, turn, strlen(coalesce(text, '')) AS b, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS w FROM conversations WHERE conv_id IS NOT NULL)),
+cv AS (SELECT c, n, {crc32_sql('c')} % 9 AS h, c - c % 5 AS base FROM (SELECT c, count(*) AS n FROM tn GROUP BY c), tab),
+le AS (SELECT cv.*, least(cv.h, coalesce(o.n, 0)) AS lent FROM cv LEFT JOIN cv AS o ON o.c = cv.base),
+sq AS (SELECT le.c, o AS d, w, b FROM le JOIN tn ON tn.c = le.base AND o <= h UNION ALL SELECT le.c, lent + o - h, w, b FROM le JOIN tn ON tn.c = le.c AND o > h),
+px AS (SELECT c, 0 AS d, '' AS p, 0 AS b FROM cv UNION ALL SELECT c, d, string_agg(w, '') OVER (PARTITION BY c ORDER BY d), b FROM sq),
+nd AS (SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, any_value(b) AS b FROM px GROUP BY d, p),
+ow AS (SELECT c, d, conv_id AS own FROM px JOIN nd USING (d, p)),
+tr AS (SELECT nd.*, ow.own AS parent FROM nd LEFT JOIN ow ON ow.c = nd.conv_id AND ow.d = nd.d - 1),
+ch AS (SELECT parent, d - 1 AS d, count(*) AS kids FROM tr WHERE d > 0 GROUP BY ALL),
+fg AS (SELECT tr.*, coalesce(kids, 0) AS kids FROM tr LEFT JOIN ch ON ch.parent = tr.conv_id AND ch.d = tr.d),
+su AS (SELECT own, ow.d, sum((n_convs - 1) * b) AS saved, count(*) FILTER (kids = 0) AS leaves FROM fg JOIN ow ON ow.c = fg.conv_id AND ow.d <= fg.d GROUP BY ALL),
+en AS (SELECT own, d, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS e FROM ow JOIN (SELECT c, max(d) AS d FROM px GROUP BY c) USING (c, d) GROUP BY ALL)
+SELECT fg.conv_id, fg.d::BIGINT AS depth, parent AS parent_conv_id, n_convs, kids AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(e, sha256('')) AS ends_sha256
+FROM fg JOIN su ON su.own = fg.conv_id AND su.d = fg.d LEFT JOIN en ON en.own = fg.conv_id AND en.d = fg.d"""

@@ -78,7 +78,7 @@ def test_hot_nodes_long_chains_and_edges(spark, monkeypatch, rows):
     monkeypatch.setattr(trie, "RUN", 50)
     made = many()
     want = brute([dict(zip(("conv_id", "turn", "role", "text"), r, strict=True)) for r in made])
-    got = trie.query(convs(spark, made)).cache()
+    got = trie.trie(trie.rebuilt(convs(spark, made))).cache()
     assert answer(got) == want
     tour = sorted((r.enter, r.exit) for r in got.collect())
     assert sorted(x for pair in tour for x in pair) == list(range(2 * len(tour))) and all(a < b for a, b in tour)
