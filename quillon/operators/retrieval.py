@@ -6,12 +6,19 @@ postings of query terms only: a text's term counts and length come from its own
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import STOP_WORDS, ascii_edges, fts_query, words
+from quillon.functions.stem import stem_sql, stems
+from quillon.functions.text import STOP_WORDS, ascii_edges, fts_query
 from quillon.operators.relational import cards_of
 from quillon.plans.lineage import cut
 from quillon.session import table
@@ -31,27 +38,60 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(clean)).alias("term")).filter("term <> ''")
 
 
+def counted(docs: DataFrame, id_col: str, fields: dict[str, float], word: str = "[a-z0-9_]+", fold: bool = False) -> DataFrame:
+    """(id, term, tf, len): the words of each text, each once with its weighted count, and the empty term that stands for the
+    text itself; len is the number of words in all fields. With `fold` letters lose their marks first.
+
+    Texts are split in Arrow batches: a word costs a tenth of what it costs as a row of its own, and no row carries a list.
+    """
+    kind, weights = dict(docs.dtypes)[id_col], list(fields.values())
+
+    def plain(text: str) -> str:
+        text = text.lower()
+        if fold and not text.isascii():
+            text = unicodedata.normalize("NFC", re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", text)))
+        return text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(word).findall
+        for b in batches:
+            owner, terms, tf, lens = [], [], [], []
+            for k in range(b.num_rows):
+                texts = [b.column(j + 1)[k].as_py() for j in range(len(weights))]
+                lists = [find(plain(t)) if t else [] for t in texts]
+                sums = {"": 0.0}
+                for found, w in zip(lists, weights, strict=True):
+                    for term, n in Counter(found).items():
+                        sums[term] = sums.get(term, 0.0) + w * n
+                owner += [k] * len(sums)
+                terms += sums.keys()
+                tf += sums.values()
+                lens += [sum(map(len, lists))] * len(sums)
+                if len(terms) > 1 << 16 or k == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int32())), pa.array(terms, pa.string()), pa.array(tf, pa.float64()), pa.array(lens, pa.int64())], ["id", "term", "tf", "len"])
+                    owner, terms, tf, lens = [], [], [], []
+
+    return docs.select(F.col(id_col).alias("id"), *fields).mapInArrow(run, f"id {kind}, term string, tf double, len long")
+
+
 def bm25(docs: DataFrame, terms: DataFrame, id_col: str, fields: dict[str, float]) -> DataFrame:
     """(query_id, id, rank): Okapi BM25 over weighted fields, negative, lower is better.
 
     idf = ln((N - n + 0.5) / (n + 0.5)), 1e-6 at least; a text's length is the number of its words in all fields.
     """
-    lists = [(words(F.coalesce(F.col(f), F.lit(""))), float(w)) for f, w in fields.items()]
-    entry = lambda weight: lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w"))
-    # three steps: a text is split once, its length is taken below the explode, and no row behind that carries the whole list
-    split = docs.select(F.col(id_col).alias("id"), F.concat(*(F.transform(t, entry(w)) for t, w in lists)).alias("every"))
-    return weighed(split, terms)
-
-
-def weighed(split: DataFrame, terms: DataFrame) -> DataFrame:
-    """bm25 of texts that are split already: (id, every), every an array of (term, w)."""
-    size = split.withColumn("len", F.size("every"))
-    rows = size.select("id", "len", F.explode(F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(0.0).alias("w"))), "every")).alias("t")).select("id", "len", "t.term", "t.w")
-    # one scan: the empty term stands once for each text and carries its length, so N and the mean come from what is kept
-    asked = terms.select("term").union(terms.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
-    asked = cut(asked)  # its size is known when the join is planned: a small vocabulary is broadcast and no word is shuffled
-    kept = rows.join(asked, "term", "left_semi").groupBy("term", "id").agg(F.sum("w").alias("tf"), F.first("len").alias("len"), F.count("*").alias("c"), F.sum("len").alias("lens"))
-    kept = cut(kept)
+    asked = cut(_with_texts(terms.select("term")).distinct())  # its size is known when the join is planned: a small vocabulary is broadcast
+    return weighed(counted(docs, id_col, fields).join(asked, "term", "left_semi"), terms)
+
+
+def _with_texts(terms: DataFrame) -> DataFrame:
+    """The terms and the empty one, under which every text stands once."""
+    return terms.union(terms.sparkSession.range(1).select(F.lit("").alias("term")))
+
+
+def weighed(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """The ranks of what texts hold of the asked terms, in one scan: N and the mean length come from the empty term's rows."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small postings would be written, and scored, by one task
+    kept = cut(rows.repartition(parts, "id").groupBy("term", "id").agg(F.sum("tf").alias("tf"), F.first("len").alias("len"), F.count("*").alias("c"), F.sum("len").alias("lens")))
     total = kept.filter("term = ''").agg(F.sum("c").alias("n"), (F.sum("lens") / F.sum("c")).alias("mean"))
     n_docs, mean = total.select("n").scalar(), total.select("mean").scalar()
     postings = kept.filter("term <> ''").select("term", "id", "tf", "len")
@@ -62,6 +102,27 @@ def weighed(split: DataFrame, terms: DataFrame) -> DataFrame:
     return postings.join(weights, "term").groupBy("query_id", "id").agg((-F.sum(part)).alias("rank"))
 
 
+# The fields of a card and their weights
+CARD_FIELDS = {"title": 3.0, "content": 1.0, "flow": 2.0, "source_repos": 2.0, "tags": 1.5, "identifiers": 2.0}
+
+
+def bm25_stemmed(cards: DataFrame, terms: DataFrame, id_col: str = "id", fields: dict[str, float] | None = None) -> DataFrame:
+    """(query_id, id, rank) as bm25 over the stems of words and terms: letters without marks, runs of letters and digits.
+
+    The postings of all words are written once. Their distinct words get their stems (a word is stemmed once however often it
+    stands), and only words with an asked stem are joined back.
+    """
+    postings = cut(counted(cards, id_col, fields or CARD_FIELDS, r"[^\W_]+", fold=True))
+    split = terms.select("query_id", F.explode(F.split("term", "_")).alias("word")).filter("word <> ''")
+    asked = stems(split.select("word").distinct())
+    wanted = split.join(asked, "word").select("query_id", F.col("stem").alias("term")).distinct()
+    known = stems(postings.select(F.col("term").alias("word")).distinct())
+    held = known.join(wanted.select(F.col("term").alias("stem")).distinct(), "stem", "left_semi")
+    held = cut(held.select("word", "stem").union(terms.sparkSession.range(1).select(F.lit("").alias("word"), F.lit("").alias("stem"))))
+    rows = postings.join(held.withColumnRenamed("word", "term"), "term").select(F.col("stem").alias("term"), "id", "tf", "len")
+    return weighed(rows, wanted)
+
+
 def top(rows: DataFrame, k: int, order: list, group: str = "query_id") -> DataFrame:
     """The first k rows of each group, with `place` from 0. Tasks keep k rows of a group at most before the shuffle."""
     w = Window.partitionBy(group).orderBy(*order)
@@ -329,6 +390,15 @@ def hybrid(s: SparkSession, d: str, limit: int = 5) -> DataFrame:
     return type_caps(fused_score(fused, card_facts(table(s, d, "documents"))), limit).select("query_id", "id", "source", "card_type", "score", "place")
 
 
+def search_fields(docs: DataFrame) -> DataFrame:
+    """Documents as cards of six fields: the first line as title, the text, source and language, and the names that it holds."""
+    names = F.regexp_extract_all("text", F.lit("[A-Za-z][a-z0-9]*(?:_[a-z0-9]+)+"), F.lit(0))
+    return docs.select(
+        F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"), F.col("source").alias("flow"),
+        F.concat_ws(" ", "source", "lang").alias("source_repos"), F.col("lang").alias("tags"), F.array_join(names, " ").alias("identifiers"),
+    )
+
+
 def _fused(s, d):
     return fuse(_semantic(s, d, 20), _keyword(s, d, 20).drop("place"))
 
@@ -342,6 +412,7 @@ QUERIES = {
     "sanitize_query": lambda s, d: table(s, d, "documents").select("doc_id", fts_query(F.col("text")).alias("fts")),
     "bm25_topk": lambda s, d: _keyword(s, d, 5),
     "bm25_fields": lambda s, d: top(bm25(table(s, d, "documents"), _terms(s, d), "doc_id", {"text": 1.0, "lang": 2.0, "source": 3.0}).withColumn("rank", F.round("rank", 6)), 3, ["rank", "id"]),
+    "bm25_stemmed": lambda s, d: top(bm25_stemmed(search_fields(table(s, d, "documents")), _terms(s, d)).withColumn("rank", F.round("rank", 6)), 5, ["rank", "id"]),
     "like_fallback": lambda s, d: like_fallback(cards_of(table(s, d, "documents")), query_terms(table(s, d, "nation").withColumn("q", F.concat(F.lit("th re "), F.lower(F.left("n_name", F.lit(2))))), "n_nationkey", "q"), "id", ["title", "flow"]),
     "domain_terms": lambda s, d: domain_terms(table(s, d, "documents"), "source", "text"),
     "text_affinity": lambda s, d: text_affinity(table(s, d, "benchmark"), _signals(s, d), "item_id", "text"),
@@ -393,7 +464,17 @@ sc AS (SELECT grp, term, tf, df, round(tf * ln(((SELECT count(DISTINCT source) F
 dom AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY grp ORDER BY score DESC, term) <= @K)"""
 _AFF = "hits AS (SELECT item_id AS query_id, grp AS repo, count(*) AS hits FROM benchmark JOIN dom ON contains(lower(text), term) GROUP BY 1, 2 HAVING count(*) >= 2)"
 _CEN = "cen AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS pos FROM v) GROUP BY 1, 2), cn AS (SELECT label, list(x / n ORDER BY pos) AS c FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY label)) AS n FROM cen) GROUP BY 1)"
+_WORDS = r"list_transform(list_filter(regexp_split_to_array(lower(strip_accents(coalesce({c}, ''))), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''), lambda x: {{'t': x, 'w': {w}::DOUBLE}})"
+_SIX = [("split_part(text, chr(10), 1)", 3), ("text", 1), ("source", 2), ("concat_ws(' ', source, lang)", 2), ("lang", 1.5), ("array_to_string(regexp_extract_all(text, '[A-Za-z][a-z0-9]*(?:_[a-z0-9]+)+'), ' ')", 2)]
+_STEMMED = f"""{_ITEMS}, tk AS MATERIALIZED (SELECT id, len(ts) AS len, unnest(ts) AS p FROM (SELECT doc_id AS id, flatten([{", ".join(_WORDS.format(c=c, w=w) for c, w in _SIX)}]) AS ts FROM documents)),
+qw AS MATERIALIZED (SELECT query_id, word FROM (SELECT query_id, unnest(string_split(term, '_')) AS word FROM qt) WHERE word <> ''), aw AS (SELECT DISTINCT p.t AS word FROM tk UNION SELECT word FROM qw),
+{stem_sql('aw', 'st')}, qs AS (SELECT DISTINCT query_id, stem AS term FROM qw JOIN st USING (word)),
+tot AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM tk) / (SELECT count(*) FROM documents) AS mean),
+post AS (SELECT stem AS term, id, sum(p.w) AS tf, any_value(len) AS len FROM tk JOIN st ON p.t = word WHERE stem IN (SELECT term FROM qs) GROUP BY 1, 2),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+ranked AS (SELECT query_id, id, round(-sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 6) AS rank FROM post JOIN dfs USING (term) JOIN qs USING (term), tot GROUP BY 1, 2)"""
 SQL = {
+    "bm25_stemmed": f"WITH {_STEMMED}, {_KW.format(k=5)} SELECT * FROM kw",
     "hybrid_search": f"WITH {_ITEMS}, {_ONE}, {_KW.format(k=20)}, {_V}, {_SEM.format(k=20)}, {_FUSE}, {_FACTS}, scored AS (SELECT fw.*, card_type, round({_SCORE}, 6) AS score FROM fw JOIN facts USING (id)), {_CAPS} SELECT query_id, id, source, card_type, score, place FROM out",
     "sanitize_query": r"SELECT doc_id, array_to_string(list_slice(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(text, '([a-z])([A-Z])', '\1 \2', 'g'), 'https?://[^ \t\n\r\f\v]+', '', 'g'), '[^a-zA-Z0-9_ \t\n\r\f\v]', ' ', 'g'), '[ \t\n\r\f\v]+'), lambda w: length(w) > 1 AND upper(w) NOT IN ('AND', 'OR', 'NOT', 'NEAR')), 1, 30), ' OR ') AS fts FROM documents",
     "bm25_topk": f"WITH {_ITEMS}, {_ONE}, {_KW.format(k=5)} SELECT * FROM kw",
