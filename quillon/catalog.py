@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from quillon.operators import cards, conversations, evaluation, frameworks, freshness, graph, imports, metrics, relational, retrieval, services, topology
-from quillon.sources import files
+from quillon.sources import files, transcripts
 from quillon.streaming import changes
 
-MODULES = (metrics, relational, retrieval, graph, imports, freshness, conversations, evaluation, cards, services, topology, frameworks, files, changes)
+MODULES = (metrics, relational, retrieval, graph, imports, freshness, conversations, evaluation, cards, services, topology, frameworks, files, transcripts, changes)
 
 
 def queries() -> dict:

@@ -21,12 +21,6 @@ def turn_lines(turns: DataFrame, most: int = 800) -> DataFrame:
     return rows.select("conv_id", "turn", "role", F.concat(F.upper("role"), F.lit(": "), F.left("text", F.lit(most))).alias("line"))
 
 
-def markdown_turns(text: Column) -> Column:
-    """array<struct<role, text>> of a markdown transcript with headings such as '## User'."""
-    parts = F.filter(F.split(text, r"(?mi)^(?=#{1,3} *(?:user|human|assistant)\b)"), lambda p: p.rlike(r"(?i)^#{1,3} *(user|human|assistant)\b"))
-    return F.transform(parts, lambda p: F.struct(F.when(p.rlike(r"(?i)^#+ *(user|human)"), "user").otherwise("assistant").alias("role"), F.trim(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("text")))
-
-
 def valid_insights(rows: DataFrame, json_col: str) -> DataFrame:
     """Insights that parse, with non-empty strings and a confidence from 0 to 1."""
     shape = "category string, statement string, evidence_quote string, scope string, confidence double"
