@@ -119,3 +119,13 @@ def kmeans_clusters(con, got):
     centres /= np.linalg.norm(centres, axis=1)[:, None]
     nearest = kinds[(x @ centres.T).argmax(1)]
     assert 1 < len(kinds) <= 8 and (nearest == label).mean() > 0.9
+
+
+def knn_ivf(con, got):
+    v = con.sql("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall()
+    ids, x = np.array([i for i, _ in v]), np.array([e for _, e in v], float)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    want = set()
+    for k in np.flatnonzero(ids % 20 == 0):
+        want |= {(int(ids[k]), int(i)) for i in ids[np.lexsort((ids, np.round(1 - x @ x[k], 6)))[:10]]}
+    assert len(want & {(r.query_id, r.id) for r in got}) >= 0.9 * len(want)
