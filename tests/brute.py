@@ -129,3 +129,45 @@ def knn_ivf(con, got):
     for k in np.flatnonzero(ids % 20 == 0):
         want |= {(int(ids[k]), int(i)) for i in ids[np.lexsort((ids, np.round(1 - x @ x[k], 6)))[:10]]}
     assert len(want & {(r.query_id, r.id) for r in got}) >= 0.9 * len(want)
+
+
+def _first_words(text):
+    return [w for w in re.split("[^a-z]+", (text or "").lower()) if w]
+
+
+def _label_score(folder, label):
+    low, words = folder.lower(), [w for w in label.lower().split() if len(w) >= 3]
+    leaf = low.split("/")[-1]
+    return sum(3 if w in leaf else int(w in low) for w in words) + 10 * (leaf == "".join(words)) + 10 * (leaf == "".join(label.lower().split()))
+
+
+def label_matching(con, got):
+    labels, folders = {}, {}
+    for k, text in con.sql("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall():
+        if w := _first_words(text):
+            if k % 2 == 0:
+                labels.setdefault(" ".join(x.capitalize() for x in w[: 3 if k % 3 == 0 else 2]), k)
+            else:
+                folders.setdefault(f"src/{w[-1]}/" + ("" if k % 3 == 0 else "-").join(w[:2]), k)
+    pairs = sorted((-s, a, b, x, y) for x, a in labels.items() for y, b in folders.items() if (s := _label_score(y, x)) >= 3)
+    used, want = set(), set()
+    for s, _, _, x, y in pairs:  # the best first, each label and each folder once
+        if ("label", x) not in used and ("folder", y) not in used:
+            used |= {("label", x), ("folder", y)}
+            want.add((x, y, -s))
+    assert {(r.label, r.folder, r.score) for r in got} == want and len(got) == len(want) > 20
+
+
+def community_qualifiers(con, got):
+    used, want = set(), {}
+    for k, text in con.sql("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall():
+        w = _first_words(text)
+        base = (w[0] if w else "main")[:2] + ("_2" if k % 11 == 0 else f"_{w[1] if len(w) > 1 else 'x'}" if k % 13 == 0 else "")
+        path = "/".join(["app", *w[1:2], (w[2] if len(w) > 2 else "a") + ".rb"])
+        tries = [base] + [f"{base}_" + re.sub(r"\.[^.]+$", "", x).replace("-", "_").lower() for x in path.split("/") if len(x) > 2 and x != base and not x.isdigit()]
+        n = 2
+        while not (free := [t for t in tries if t not in used]):
+            tries, n = [f"{base}_{n}"], n + 1
+        want[k] = free[0]
+        used.add(free[0])
+    assert {r.id: r.name for r in got} == want and sum(n.rsplit("_", 1)[-1].isdigit() for n in want.values()) > 10
