@@ -6,21 +6,25 @@ and miss what lines don't show.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SKIP = ("node_modules", "vendor", "dist", ".git")
+# Rules that always hold
+DEFAULTS = ("node_modules", "vendor", ".git", "dist", "build", ".next", "tmp", "venv", ".venv")
 LANGUAGES = {"rb": "ruby", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "vue": "vue", "py": "python", "go": "go"}
 # Manifests in the order in which they decide a repository's language
 MANIFESTS = [("Gemfile", "ruby"), ("go.mod", "go"), ("requirements.txt", "python"), ("pyproject.toml", "python"), ("package.json", "javascript"), ("Cargo.toml", "rust"), ("composer.json", "php"), ("pom.xml", "java"), ("build.gradle", "java")]
 
 
-def scan(spark: SparkSession, root: str, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """(path, language, content) of the source files below root; skipped and ignored directories fall away in the scan."""
+def scan(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), ignore_file: str | None = None) -> DataFrame:
+    """(path, language, content) of the source files below root that no rule leaves out; the scan itself drops the others."""
+    rules = (*(ignore_rules(spark, root, ignore_file) if ignore_file else DEFAULTS), *ignore)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = F.regexp_replace(F.col("path"), "^.*?" + root.replace("file://", "").rstrip("/") + "/", "")
     rows = files.select(path.alias("path"), F.col("content").cast("string").alias("content"))
-    rows = rows.filter(~F.exists(F.split("path", "/"), lambda p: p.isin(*SKIP)) & ~ignored(F.col("path"), ignore))
+    rows = rows.filter(~ignored(F.col("path"), rules))
     return rows.withColumn("language", language(F.col("path"))).filter("language IS NOT NULL")
 
 
@@ -33,23 +37,68 @@ def language(path: Column) -> Column:
 
 
 def ignored(path: Column, patterns: tuple[str, ...]) -> Column:
-    """Gitignore-style patterns: * within a segment, ** across, a closing slash for directories, a leading one for the root."""
-    hit = F.lit(False)
-    for p in patterns:
-        if not p.strip() or p.startswith("#"):
-            continue
-        body = "".join({"**": ".*", "*": "[^/]*", "?": "[^/]"}.get(x, "\\" + x if x in ".+()|^${}[]" else x) for x in _pieces(p.strip("/")))
-        hit = hit | path.rlike(("^" if p.startswith("/") else "(^|/)") + body + ("/" if p.endswith("/") else "($|/)"))
-    return hit
-
+    """Whether rules in gitignore's syntax leave a relative path out: of the rules that match a path the last decides, `!` takes
+    back in, a path below a directory that is left out stays out, upper and lower case are alike.
 
-def _pieces(pattern: str) -> list[str]:
+    A rule with a slash before its end is meant from the root, one that ends in a slash for directories only; `*` and `?` stay
+    within a segment, `**` crosses them, brackets are sets, a backslash takes the next character as it is.
+    """
+    rules = [r for r in map(_rule, patterns) if r]
+    parts = F.split(path, "/")
+    heads = F.transform(parts, lambda p, k: F.struct(F.array_join(F.slice(parts, F.lit(1), k + 1), "/").alias("path"), (k + 1 < F.size(parts)).alias("folder")))
+
+    def out(h: Column) -> Column:
+        verdict = F.lit(False)
+        for pattern, folder, taken_back in rules:
+            hit = h["path"].rlike(pattern)
+            verdict = F.when(hit & h["folder"] if folder else hit, F.lit(not taken_back)).otherwise(verdict)
+        return verdict
+
+    return F.exists(heads, out)
+
+
+def _rule(line: str) -> tuple[str, bool, bool] | None:
+    """(pattern, for directories only, takes back in) of a line; None of blank lines and comments."""
+    line = re.sub(r"(?<!\\)\s+$", "", line)
+    if not line or line.startswith("#"):
+        return None
+    taken_back = line.startswith("!")
+    line = line[taken_back:]
+    folder, body = line.endswith("/"), line.strip("/")
+    rooted = "/" in line[:-1]
     out, k = [], 0
-    while k < len(pattern):
-        step = 2 if pattern[k : k + 2] == "**" else 1
-        out.append(pattern[k : k + step])
-        k += step
-    return out
+    while k < len(body):
+        rest = body[k:]
+        if rest.startswith("**/") and (k == 0 or body[k - 1] == "/"):
+            out.append("(?:.*/)?")
+            k += 3
+        elif rest == "**" and (k == 0 or body[k - 1] == "/"):
+            out.append(".+")
+            k += 2
+        elif rest[0] == "*":
+            out.append("[^/]*")
+            k += len(rest) - len(rest.lstrip("*"))
+        elif rest[0] == "[" and (end := body.find("]", k + 2)) > 0:
+            held = body[k + 1 : end]
+            out.append("[" + ("^/" + held[1:] if held[0] in "!^" else held).replace("[", "\\[").replace("&&", "&\\&") + "]")
+            k = end + 1
+        else:
+            k += rest[0] == "\\" and len(rest) > 1
+            out.append("[^/]" if rest[0] == "?" else re.escape(body[k]))
+            k += 1
+    return f"(?i)^{'' if rooted else '(?:.*/)?'}{''.join(out)}$", folder, taken_back
+
+
+def ignore_rules(spark: SparkSession, root: str, name: str) -> tuple[str, ...]:
+    """The rules that always hold, and behind them the lines of the file `name` at the root, if there is one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")  # Spark's readers pass over names that begin with a dot
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    own = []
+    if store.exists(where):
+        stream = store.open(where)
+        own = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+        stream.close()
+    return (*DEFAULTS, *own)
 
 
 def stack(manifests: DataFrame) -> DataFrame:
