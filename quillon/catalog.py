@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quillon.operators import ann, cards, conversations, evaluation, frameworks, freshness, graph, imports, metrics, naming, relational, retrieval, services, topology
+from quillon.operators import ann, cards, conversations, evaluation, frameworks, freshness, graph, imports, metrics, naming, relational, retrieval, services, signals, topology
 from quillon.sources import files, transcripts
 from quillon.streaming import changes
 
-MODULES = (metrics, relational, retrieval, ann, graph, imports, freshness, conversations, evaluation, cards, services, topology, naming, frameworks, files, transcripts, changes)
+MODULES = (metrics, relational, retrieval, ann, graph, imports, freshness, conversations, evaluation, cards, services, signals, topology, naming, frameworks, files, transcripts, changes)
 
 
 def queries() -> dict:

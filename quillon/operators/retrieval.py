@@ -222,6 +222,29 @@ def classify(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return got.select("id", F.col("sims")[0]["label"].alias("top_repo"), (-F.col("sims")[0]["s"]).alias("similarity"), lead.alias("confidence"))
 
 
+def repo_similarities(queries: DataFrame, vectors: DataFrame, least: float = 0.03) -> DataFrame:
+    """(query_id, repo, sim) of queries (id, embedding) to the centroid of every repository of vectors (embedding, repo), for
+    queries whose nearest centroid leads the next by more than `least` (or is the only one)."""
+    means = cut(centroids(vectors.filter("repo IS NOT NULL"), "repo").select(F.col("repo").alias("id"), F.col("centroid").alias("embedding")))
+    near = knn(queries.select(F.col("id").cast("string").alias("id"), "embedding"), means, max(1, means.count()))
+    w = Window.partitionBy("query_id")
+    sims = near.select("query_id", F.col("id").alias("repo"), F.round(1 - F.col("distance"), 6).alias("sim"))
+    lead = F.sort_array(F.collect_list("sim").over(w), asc=False)  # a value a repository
+    sure = (F.size(lead) < 2) | (F.round(lead[0] - F.try_element_at(lead, F.lit(2)), 6) > least)
+    back = dict(queries.dtypes)["id"]
+    return sims.withColumn("sure", sure).filter("sure").select(F.col("query_id").cast(back).alias("query_id"), "repo", "sim")
+
+
+def cached_answers(queries: DataFrame, log: DataFrame, cards: DataFrame, recent: int = 50, least: float = 0.92) -> DataFrame:
+    """(query_id, hit_id, card, place, score): the cards that the newest alike one of the recent logged queries was answered with.
+
+    log: id, embedding, cards (array of ids). Cards that are gone fall away; the rest keep the stored order, each at score 1.
+    """
+    hits = semantic_cache(queries, log.select("id", "embedding"), recent, least).filter("hit_id IS NOT NULL")
+    stored = log.select(F.col("id").alias("hit_id"), F.posexplode("cards").alias("place", "card"))
+    return hits.select(F.col("id").alias("query_id"), "hit_id").join(stored, "hit_id").join(cards.select(F.col("id").alias("card")), "card", "left_semi").select("query_id", "hit_id", "card", "place", F.lit(1.0).alias("score"))
+
+
 def specificity(vectors: DataFrame) -> DataFrame:
     """(id, specificity): 0.4 of the distance to the global centroid and 0.6 of that to the own repository's, each min-max scaled."""
     whole = centroids(vectors, None, unit=False).select("centroid").scalar()
@@ -407,8 +430,31 @@ def _signals(s, d):
     return domain_terms(table(s, d, "documents"), "source", "text", 40).select(F.col("source").alias("repo"), F.col("term").alias("signal"))
 
 
+def _repo_sims(s, d):
+    """Repositories are the sources of the documents that have a vector's number; a query asks with its own number's vector."""
+    vectors = _vectors(s, d).select("id", "embedding").join(table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("repo")), "id")
+    asked = table(s, d, "benchmark").select(F.col("item_id").alias("id")).join(_vectors(s, d).select("id", "embedding"), "id")
+    return repo_similarities(asked, vectors)
+
+
+def _affine(s, d, limit: int = 5):
+    """hybrid with the repositories that a query's words and its vector point to."""
+    scored = fused_score(_fused(s, d), card_facts(table(s, d, "documents")), text_affinity(table(s, d, "benchmark"), _signals(s, d), "item_id", "text"), _repo_sims(s, d))
+    return type_caps(scored, limit).select("query_id", "id", "source", "card_type", "score", "place")
+
+
+def _answers(s, d):
+    """Every vector asks the log of all; the log's rows were answered with documents about their own number, some of them gone."""
+    k = F.col("id")
+    log = _vectors(s, d).select("id", "embedding", F.array(k * 7 % 300, k + 3, k % 40, k + 1_000_000).alias("cards"))
+    return cached_answers(_vectors(s, d).select("id", "embedding"), log, table(s, d, "documents").select(F.col("doc_id").alias("id")).distinct())
+
+
 QUERIES = {
     "hybrid_search": hybrid,
+    "hybrid_affinity": _affine,
+    "repo_similarities": _repo_sims,
+    "cache_answer": lambda s, d: _answers(s, d).withColumn("place", F.col("place").cast("long")),
     "sanitize_query": lambda s, d: table(s, d, "documents").select("doc_id", fts_query(F.col("text")).alias("fts")),
     "bm25_topk": lambda s, d: _keyword(s, d, 5),
     "bm25_fields": lambda s, d: top(bm25(table(s, d, "documents"), _terms(s, d), "doc_id", {"text": 1.0, "lang": 2.0, "source": 3.0}).withColumn("rank", F.round("rank", 6)), 3, ["rank", "id"]),
@@ -473,7 +519,15 @@ tot AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM tk)
 post AS (SELECT stem AS term, id, sum(p.w) AS tf, any_value(len) AS len FROM tk JOIN st ON p.t = word WHERE stem IN (SELECT term FROM qs) GROUP BY 1, 2),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
 ranked AS (SELECT query_id, id, round(-sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 6) AS rank FROM post JOIN dfs USING (term) JOIN qs USING (term), tot GROUP BY 1, 2)"""
+_MEANS = """rv AS (SELECT v.id, e, source AS repo FROM v JOIN documents ON doc_id = v.id WHERE source IS NOT NULL), rm AS (SELECT repo, pos, avg(x) AS x FROM (SELECT repo, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM rv) GROUP BY 1, 2), rc AS (SELECT repo, list(x ORDER BY pos) AS c FROM rm GROUP BY 1),
+rs AS (SELECT v.id AS query_id, repo, round(1 - round(1 - list_cosine_similarity(e, c), 6), 6) AS sim FROM v JOIN rc ON true WHERE v.id IN (SELECT item_id FROM benchmark)),
+sure AS (SELECT query_id, repo, sim FROM (SELECT *, list_sort(list(sim) OVER (PARTITION BY query_id), 'DESC') AS l FROM rs) WHERE len(l) < 2 OR round(l[1] - l[2], 6) > 0.03)"""
+_BOTH = f"{_DOM.replace('@K', '40')}, {_AFF}, mo AS (SELECT query_id, max(hits) AS most FROM hits GROUP BY 1), {_MEANS}, em AS (SELECT query_id, repo, 0.85::DOUBLE + 0.3::DOUBLE * CASE WHEN max(sim) OVER w > min(sim) OVER w THEN (sim - min(sim) OVER w) / (max(sim) OVER w - min(sim) OVER w) ELSE 0.5::DOUBLE END AS emb FROM sure WINDOW w AS (PARTITION BY query_id))"
+_AFFINE = f"scored AS (SELECT fw.*, card_type, round({_SCORE} * CASE WHEN most IS NULL THEN coalesce(emb, 1) ELSE 0.6::DOUBLE * (0.6::DOUBLE + 0.4::DOUBLE * coalesce(hits, 0) / most) + 0.4::DOUBLE * coalesce(emb, 1) END, 6) AS score FROM fw JOIN facts USING (id) LEFT JOIN hits USING (query_id, repo) LEFT JOIN mo USING (query_id) LEFT JOIN em USING (query_id, repo))"
 SQL = {
+    "hybrid_affinity": f"WITH {_ITEMS}, {_ONE}, {_KW.format(k=20)}, {_V}, {_SEM.format(k=20)}, {_FUSE}, {_FACTS}, {_BOTH}, {_AFFINE}, {_CAPS} SELECT query_id, id, source, card_type, score, place FROM out",
+    "repo_similarities": f"WITH {_V}, {_MEANS} SELECT * FROM sure",
+    "cache_answer": f"WITH {_V}, n AS (SELECT * FROM v ORDER BY id DESC LIMIT 50), h AS (SELECT v.id AS query_id, n.id AS hit_id FROM v JOIN n ON round(list_cosine_similarity(v.e, n.e), 6) > 0.92 QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY n.id DESC) = 1), a AS (SELECT query_id, hit_id, unnest([hit_id * 7 % 300, hit_id + 3, hit_id % 40, hit_id + 1000000]) AS card, unnest([0, 1, 2, 3]) AS place FROM h) SELECT query_id, hit_id, card, place, 1.0::DOUBLE AS score FROM a WHERE card IN (SELECT doc_id FROM documents)",
     "bm25_stemmed": f"WITH {_STEMMED}, {_KW.format(k=5)} SELECT * FROM kw",
     "hybrid_search": f"WITH {_ITEMS}, {_ONE}, {_KW.format(k=20)}, {_V}, {_SEM.format(k=20)}, {_FUSE}, {_FACTS}, scored AS (SELECT fw.*, card_type, round({_SCORE}, 6) AS score FROM fw JOIN facts USING (id)), {_CAPS} SELECT query_id, id, source, card_type, score, place FROM out",
     "sanitize_query": r"SELECT doc_id, array_to_string(list_slice(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(text, '([a-z])([A-Z])', '\1 \2', 'g'), 'https?://[^ \t\n\r\f\v]+', '', 'g'), '[^a-zA-Z0-9_ \t\n\r\f\v]', ' ', 'g'), '[ \t\n\r\f\v]+'), lambda w: length(w) > 1 AND upper(w) NOT IN ('AND', 'OR', 'NOT', 'NEAR')), 1, 30), ' OR ') AS fts FROM documents",
