@@ -103,12 +103,12 @@ QUERIES = {"repo_signals": _signals}
 _values = lambda rows: ", ".join(f"('{k}', '{w}')" for k, words in rows.items() for w in words)
 SQL = {
     "repo_signals": f"""WITH d AS MATERIALIZED (SELECT *, concat_ws('-', source, lang) AS repo FROM documents), {_DOM.replace("source AS grp", "repo AS grp").replace("DISTINCT source", "DISTINCT concat_ws('-', source, lang)").replace("FROM documents)", "FROM d)", 1).replace("@K", "12")},
-p AS (SELECT repo, {_KINDS}[n % {len(_KINDS)} + 1] AS language, CASE WHEN c % 3 = 0 THEN [] ELSE [{_NAMES}[n % {len(_NAMES)} + 1], {_NAMES}[n // 7 % {len(_NAMES)} + 1]] END AS works, n % 4 = 0 AS lambda FROM (SELECT repo, sum(n_chars)::BIGINT AS n, count(*) AS c FROM d GROUP BY 1)),
+p AS (SELECT repo, {_KINDS}[n % {len(_KINDS)} + 1] AS language, CASE WHEN c % 3 = 0 THEN [] ELSE [{_NAMES}[n % {len(_NAMES)} + 1], {_NAMES}[n // 7 % {len(_NAMES)} + 1]] END AS works, n % 4 = 0 AS faas FROM (SELECT repo, sum(n_chars)::BIGINT AS n, count(*) AS c FROM d GROUP BY 1)),
 t AS (SELECT repo, count(*) FILTER (k IN {tuple(BACK_TYPES)}) AS b, count(*) FILTER (k IN {tuple(FRONT_TYPES)}) AS f FROM (SELECT repo, {_TYPES}[n_chars % {len(_TYPES)} + 1] AS k FROM d) GROUP BY 1),
 r AS (SELECT p.*, list_has_any(works, {BACK}) AS bw, list_has_any(works, {FRONT}) AS fw, b + f > 5 AND b * 10 > (b + f) * 4 AS bt, b + f > 5 AND f * 10 > (b + f) * 4 AS ft FROM p JOIN t USING (repo)),
 w AS (SELECT repo, 'language' AS bucket, v.w AS signal FROM r JOIN (VALUES {_values({k: v.split() for k, v in LANGUAGE.items()})}) v(k, w) ON k = language
  UNION ALL SELECT repo, 'framework', v.w FROM (SELECT repo, unnest(works) AS x FROM r) JOIN (VALUES {_values({k: v.split(",") for k, v in FRAMEWORK.items()})}) v(k, w) ON k = x
- UNION ALL SELECT repo, 'role', v.w FROM r JOIN (VALUES {_values({k: v.split(",") for k, v in ROLE.items()})}) v(k, w) ON CASE k WHEN 'lambda' THEN lambda WHEN 'backend' THEN bw OR NOT fw AND language IN {tuple(BACK_LANGUAGES)} OR bt ELSE fw OR ft END
+ UNION ALL SELECT repo, 'role', v.w FROM r JOIN (VALUES {_values({k: v.split(",") for k, v in ROLE.items()})}) v(k, w) ON CASE k WHEN 'lambda' THEN faas WHEN 'backend' THEN bw OR NOT fw AND language IN {tuple(BACK_LANGUAGES)} OR bt ELSE fw OR ft END
  UNION ALL SELECT grp, 'domain', term FROM dom
  UNION ALL SELECT repo, 'name', x FROM (SELECT repo, unnest(regexp_split_to_array(lower(repo), '[-_ \\t\\n\\r\\f\\v]+')) AS x FROM r) WHERE length(x) > 1 AND x NOT IN {tuple(NAMELESS)} AND x NOT IN {tuple(STOP_WORDS)})
 SELECT repo, signal, array_to_string(list_sort(list(DISTINCT bucket)), ',') AS buckets FROM w GROUP BY repo, signal""",
