@@ -95,10 +95,14 @@ def debounce(changes: DataFrame, quiet: str = "30 minutes") -> DataFrame:
 
 
 def _branches(s, d):
+    return named_branches(table(s, d, "events"))
+
+
+def named_branches(events: DataFrame) -> DataFrame:
     """Events as branch events: repositories by user, branches by kind of event."""
     name = F.when(F.col("event_type") == "click", "main").when(F.col("event_type") == "view", F.concat(F.lit("feature/AB-"), (F.col("user_id") % 7).cast("string"), F.lit("-new_card"))).when(F.col("event_type") == "error", "demo/box")
     name = name.when(F.col("event_type") == "signup", F.concat(F.lit("work-"), (F.col("event_id") % 3).cast("string"))).otherwise(F.concat(F.lit("epic/Big-"), (F.col("event_id") % 2).cast("string")))
-    return table(s, d, "events").select((F.col("user_id") % 20).alias("repo"), name.alias("branch"), F.when(F.col("value") > 20, "merge").otherwise("push").alias("event_type"), "ts", "event_id")
+    return events.select((F.col("user_id") % 20).alias("repo"), name.alias("branch"), F.when(F.col("value") > 20, "merge").otherwise("push").alias("event_type"), "ts", "event_id")
 
 
 def _commits(s, d):

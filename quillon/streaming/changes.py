@@ -11,7 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators.freshness import invalidate_cards, invalidate_docs
+from quillon.functions.text import branch_hint, epic_of, sync_level
+from quillon.operators.freshness import _B, invalidate_cards, invalidate_docs, named_branches
 from quillon.operators.graph import _CARDS, _card_edges, cross_staleness
 from quillon.operators.relational import cards_of, upsert_latest
 from quillon.session import table
@@ -88,6 +89,39 @@ def forced(changes: DataFrame, most: int = 500, quiet_ms: int | None = 1200) ->
     return changes.groupBy("repo").applyInPandasWithState(step, f"repo {kind}, batch long, n long, why string", "n long, number long", "append", GroupStateTimeout.NoTimeout if quiet_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def head_changes(events: DataFrame) -> DataFrame:
+    """(repo, branch, previous, ts) of events (repo, branch, ts, event_id) that move a repository's head to another branch.
+
+    The state of a repository is its branch and the time of its newest event; what comes later but is older, or names no branch,
+    changes nothing. A micro-batch's events of one repository are its changes since the last one.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key, frames, state):
+        branch, newest = state.get if state.exists else (None, -1)
+        out = []
+        for row in pd.concat(list(frames)).sort_values(["at", "event_id"]).itertuples():
+            if row.at >= newest and row.branch:
+                if row.branch != branch:
+                    out.append((key[0], row.branch, branch, row.at))
+                branch, newest = row.branch, row.at
+        state.update((branch, newest))
+        yield pd.DataFrame(out, columns=["repo", "branch", "previous", "at"]).astype({"previous": object})
+
+    kind = dict(events.dtypes)["repo"]
+    rows = events.select("repo", "branch", F.unix_micros("ts").alias("at"), "event_id")
+    got = rows.groupBy("repo").applyInPandasWithState(step, f"repo {kind}, branch string, previous string, at long", "branch string, newest long", "append", GroupStateTimeout.NoTimeout)
+    return got.select("repo", "branch", "previous", F.timestamp_micros("at").alias("ts"))
+
+
+def contexts(heads: DataFrame) -> DataFrame:
+    """What is stored of a head that moved: hint, ticket and epic of its branch; sandboxes store nothing."""
+    return heads.withColumn("level", sync_level(F.col("branch"))).filter("level <> 'skip'").select(
+        "repo", "ts", "branch", "previous", "level", branch_hint(F.col("branch")).alias("hint"), epic_of(F.col("branch")).alias("epic")
+    )
+
+
 def running_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"))
 
@@ -200,7 +234,13 @@ def _ntz(rows: DataFrame, *names: str) -> DataFrame:
     return rows.withColumns({n: F.to_timestamp_ntz(F.date_format(n, "yyyy-MM-dd HH:mm:ss.SSSSSS")) for n in names})
 
 
+def _heads(s, d) -> DataFrame:
+    return head_changes(named_branches(stream(s, d, "events", 8)))
+
+
 QUERIES = {
+    "stream_head_changes": lambda s, d: _ntz(finished(_heads(s, d)), "ts"),
+    "stream_head_context": lambda s, d: _ntz(upserted(contexts(_heads(s, d)), ["repo"], "ts"), "ts"),
     "stream_debounce": lambda s, d: _ntz(finished(debounced(stream(s, d, "events").withColumnRenamed("user_id", "repo"), ["repo"], "30 minutes")), "first", "last"),
     "stream_latest_status": lambda s, d: finished(last_status(stream(s, d, "events").select(F.col("user_id").alias("repo"), F.get_json_object("props", "$.k").alias("path"), F.col("event_type").alias("status"), "ts"), "1 hour")).groupBy("status").agg(F.count("*").alias("n")),
     "stream_usage_counts": lambda s, d: finished(running_counts(stream(s, d, "events", 8), ["user_id", "event_type"]), "complete"),
@@ -209,7 +249,10 @@ QUERIES = {
     "stream_upsert": lambda s, d: _ntz(upserted(stream(s, d, "events", 8).select("user_id", "ts", "event_id", "event_type"), ["user_id"], "ts"), "ts"),
 }
 # a stream in append mode holds back what the watermark has not closed: windows that end after the newest time less LATE
+_HEADS = f"{_B.replace(', ts FROM events', ', ts, event_id FROM events')}, m AS (SELECT repo, branch, lag(branch) OVER (PARTITION BY repo ORDER BY ts, event_id) AS previous, ts FROM b), h AS (SELECT * FROM m WHERE branch IS DISTINCT FROM previous)"
 SQL = {
+    "stream_head_changes": f"WITH {_HEADS} SELECT * FROM h",
+    "stream_head_context": f"WITH {_HEADS} SELECT repo, ts, branch, previous, CASE WHEN branch = 'main' OR branch LIKE 'epic/%' THEN 'full' ELSE 'lightweight' END AS level, CASE WHEN branch LIKE 'feature/%' THEN 'new card' ELSE replace(replace(branch, '-', ' '), '/', ' ') END AS hint, CASE WHEN branch LIKE 'epic/%' THEN replace(substr(branch, 6), '-', ' ') END AS epic FROM h WHERE branch NOT LIKE 'demo/%' QUALIFY row_number() OVER (PARTITION BY repo ORDER BY ts DESC) = 1",
     "stream_debounce": "WITH s AS (SELECT user_id AS repo, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS head FROM events), g AS (SELECT repo, ts, sum(head) OVER (PARTITION BY repo ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM s) SELECT repo, min(ts) AS first, max(ts) AS last, count(*) AS n FROM g GROUP BY repo, k HAVING max(ts) + INTERVAL 30 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES",
     "stream_latest_status": "WITH e AS (SELECT user_id, json_extract_string(props, '$.k') AS path, event_type, ts FROM events), s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id, path ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS head FROM e), g AS (SELECT *, sum(head) OVER (PARTITION BY user_id, path ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM s), b AS (SELECT arg_max(event_type, (ts, event_type)) AS status FROM g GROUP BY user_id, path, k HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES) SELECT status, count(*) AS n FROM b GROUP BY 1",
     "stream_sync": f"WITH {_CARDS}, ch AS (SELECT 'repo' || (user_id % 5) AS repo, 'src' || (json_extract_string(props, '$.k')::INT % 40) || CASE WHEN event_id % 2 = 0 THEN '/g' || (event_id % 5) ELSE '/en/f' || (event_id % 3) END AS path, CASE WHEN event_type = 'error' THEN 'deleted' ELSE 'modified' END AS status, ts, event_type = 'purchase' AS merge FROM events), i AS (SELECT repo, path, arg_max(status, (ts, status)) AS status FROM ch GROUP BY 1, 2), f AS (SELECT id, repos, unnest(files) AS path FROM c WHERE NOT stale), h AS (SELECT DISTINCT dst AS path, repo FROM ce JOIN ch ON src = ch.path WHERE relation = 'api_endpoint' AND merge) SELECT 'file' AS kind, repo || ':' || path AS key FROM i WHERE status <> 'deleted' UNION ALL (SELECT 'card', id::VARCHAR FROM f WHERE path IN (SELECT path FROM ch) UNION SELECT 'card', id::VARCHAR FROM f JOIN h USING (path) WHERE NOT list_contains(repos, repo))",

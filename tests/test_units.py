@@ -335,3 +335,23 @@ def test_batches_make_cards_and_documents_stale(spark, tmp_path):
     index, stale = add(("x", "app/models/a.rb", "modified", "2024-01-03 00:00:00", True), ("x", "c.rb", "added", "2024-01-01 00:00:00", False))
     assert {(r.path, r.status) for r in index.collect()} == {("app/models/a.rb", "modified"), ("c.rb", "deleted")}
     assert {r.key for r in stale.filter("kind = 'card'").collect()} == {"1", "2"} and stale.filter("key = 'x:changelog'").count() == 1
+
+
+def test_heads_go_on_after_a_restart(spark, tmp_path):
+    from quillon.streaming.changes import finished, head_changes
+
+    shape = "repo string, branch string, ts timestamp, event_id long"
+    when = lambda k: __import__("datetime").datetime(2024, 1, 1, 0, k)
+
+    def put(name, rows):
+        spark.createDataFrame([(r, b, when(t), k) for r, b, t, k in rows], shape).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+
+    def run():
+        rows = spark.readStream.schema(shape).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        return sorted((x.repo, x.branch, x.previous, x.ts.minute) for x in finished(head_changes(rows), base=f"file://{tmp_path}/work").collect())
+
+    put("1", [("a", "main", 1, 1), ("a", "main", 2, 2), ("b", "x", 1, 3), ("a", "f", 3, 4), ("a", "g", 3, 5), ("b", None, 2, 6), ("b", "", 3, 7)])
+    first = [("a", "f", "main", 3), ("a", "g", "f", 3), ("a", "main", None, 1), ("b", "x", None, 1)]
+    assert run() == first
+    put("2", [("a", "g", 9, 8), ("a", "late", 2, 9), ("b", "y", 4, 10)])
+    assert run() == sorted([*first, ("b", "y", "x", 4)])
