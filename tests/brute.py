@@ -171,3 +171,55 @@ def community_qualifiers(con, got):
         want[k] = free[0]
         used.add(free[0])
     assert {r.id: r.name for r in got} == want and sum(n.rsplit("_", 1)[-1].isdigit() for n in want.values()) > 10
+
+
+def _ruby(lines):
+    """Members of classes by a stack of scopes, a line at a time."""
+    from quillon.sources.ruby import CALLBACKS
+
+    stack = []  # [owner or None, visibility]
+    for no, line in enumerate(lines):
+        code = re.sub(r"(^|\s)#(\s.*)?$", "", line).strip()
+        if not code:
+            continue
+        if re.match(r"end\b", code):
+            if stack:
+                stack.pop()
+            continue
+        owner = stack[-1][0] if stack else None
+        word = re.match(r"\w*", code)[0]
+        if stack and code in ("private", "protected", "public"):
+            stack[-1][1] = code
+        if m := re.match(r"def (self\.)?(\w+[?!=]?|[^\s\w(]+)", code):
+            if owner:
+                yield no, owner, "method", (m[1] or "") + m[2], stack[-1][1], None
+            elif not stack and not m[1]:
+                yield no, None, "method", m[2], "public", None
+        elif owner and (m := re.match(r"(has_many|belongs_to|has_one)[ (]:(\w+?)\)?(?:, (.*))?$", code)):
+            target = re.search(r"class_name: '(\w+)'", code)
+            one = {"companies": "company"}.get(m[2], m[2])
+            name = target[1] if target else "".join(w[:1].upper() + w[1:] for w in one.split("_"))
+            yield no, owner, "association", m[2], None, " ".join(x for x in (m[1], name, m[3]) if x)
+        elif owner and word in ("validates", "validate"):
+            yield no, owner, "validation", word, None, ", ".join(x[1:] for x in re.sub(r"\[.*?\]", "", code[len(word) :]).replace(",", " ").split() if x[0] == ":" and x != ":on?")
+        elif owner and word in CALLBACKS:
+            yield no, owner, "callback", word, None, None
+        elif owner and (m := re.match(r"scope :(\w+)", code)):
+            yield no, owner, "method", f"scope:{m[1]}", "public", None
+        opens = re.match(r"(class|module|def|if|private def)\b", code) or code.endswith("|x|") or "= case" in code
+        if opens and not code.endswith("; end") and not re.match(r"def \w+ = ", code):
+            named = re.match(r"class ([A-Z]\w*)", code)
+            stack.append([named and named[1], "public"])
+
+
+def ruby_members(con, got):
+    from quillon.sources.ruby import TEMPLATES
+
+    want = []
+    for doc, text in con.sql("SELECT doc_id, text FROM documents WHERE text IS NOT NULL").fetchall():
+        lines = [TEMPLATES[len(x) % len(TEMPLATES)].replace("{{", "<").replace("}}", ">").replace("{}", str(len(x))) for x in text.split("\n")]
+        lines[0] = "class Top < Base"
+        want += [(doc, *m) for m in _ruby(lines)]
+    key = lambda rows: sorted(rows, key=str)
+    assert key((r.file, r.no, r.owner, r.kind, r["name"], r.visibility, r.detail) for r in got) == key(want)
+    assert {m[5] for m in want} >= {"private", "protected", "public"} and len({m[3] for m in want}) == 4

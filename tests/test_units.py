@@ -355,3 +355,61 @@ def test_heads_go_on_after_a_restart(spark, tmp_path):
     assert run() == first
     put("2", [("a", "g", 9, 8), ("a", "late", 2, 9), ("b", "y", 4, 10)])
     assert run() == sorted([*first, ("b", "y", "x", 4)])
+
+
+RUBY = """module Shop
+  class Order < ApplicationRecord
+    has_many :line_items, -> { order(:id) }, dependent: :destroy
+    has_and_belongs_to_many :boxes
+    validates :name, :size, presence: true, inclusion: [:a, :b]
+    validates_presence_of :owner
+    after_commit :sync # later
+    scope :open, -> { where(open: true) }
+    def total
+      items.each do |i|
+        next unless i
+      end
+      if many then 1 else 2 end
+    end
+    private
+    class Line
+      def shown; end
+      protected
+      def self.made(x) = new(x)
+      def kept?
+        begin
+          1
+        end
+      end
+    end
+    def hidden=(x)
+    end
+    private def aside
+    end
+    public
+    class << self
+      def inner
+      end
+    end
+    def [](k)
+    end
+  end
+  def of_module
+  end
+end
+def loose(x)
+end
+"""
+
+
+def test_ruby_visibility_in_nested_classes(spark):
+    from quillon.sources import ruby
+
+    lines = spark.createDataFrame([("f", k, x) for k, x in enumerate(RUBY.split("\n"))], "file string, no int, line string")
+    got = [(r.owner, r.kind, r["name"], r.visibility, r.detail) for r in ruby.members(lines).orderBy("no").collect()]
+    assert got == [
+        ("Order", "association", "line_items", None, "has_many LineItem -> { order(:id) }, dependent: :destroy"), ("Order", "association", "boxes", None, "has_and_belongs_to_many Box"),
+        ("Order", "validation", "validates", None, "name, size"), ("Order", "validation", "validates_presence_of", None, "owner"), ("Order", "callback", "after_commit", None, None),
+        ("Order", "method", "scope:open", "public", None), ("Order", "method", "total", "public", None), ("Line", "method", "shown", "public", None), ("Line", "method", "self.made", "protected", None),
+        ("Line", "method", "kept?", "protected", None), ("Order", "method", "hidden=", "private", None), ("Order", "method", "[]", "public", None), (None, "method", "loose", "public", None),
+    ]
