@@ -137,6 +137,46 @@ def test_repeated_passages(spark, sf):
     assert got == brute_cover(texts) and {900_001, 900_002, 900_003, 900_004} <= set(got)
 
 
+def passages(rows):
+    got = defaultdict(set)
+    for r in rows.collect():
+        got[r.doc_id].update(range(r.first_word, r.end_word))
+    return got
+
+
+def mosaic(seed=9):
+    """Texts put together from a few blocks: runs of many texts with unlike words on the left, pairs, and words over and over."""
+    rng = np.random.default_rng(seed)
+    blocks = [[f"b{k}_{j}" for j in range(int(n))] for k, n in enumerate(rng.integers(12, 70, 24))] + [["z"] * 60]
+    texts = {}
+    for k in range(400):
+        text = []
+        for _ in range(rng.integers(1, 6)):
+            part = blocks[rng.integers(len(blocks))]
+            lo = rng.integers(0, len(part) // 2)
+            text += [f"o{k}_{j}" for j in range(rng.integers(0, 4))] + part[lo : lo + rng.integers(10, 70)]
+        texts[k] = " ".join(text)
+    return texts
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_passages_of_mosaics(spark, parts):
+    texts = mosaic()
+    spark.conf.set("spark.sql.shuffle.partitions", parts)  # at 7, ranges part runs
+    got = passages(suffixes.query(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert got == brute_cover(texts) and len(got) > 50
+
+
+def test_passages_come_from_neighbours(spark, sf, monkeypatch):
+    docs = table(spark, sf, "documents")
+    whole = passages(suffixes.query(docs))
+    assert whole == brute_cover({r.doc_id: r.text for r in docs.collect()})
+    monkeypatch.setattr(suffixes, "_matches", lambda batches: (b.slice(0, 0).select(["class"]) for b in []))
+    less = passages(suffixes.query(docs))
+    assert sum(map(len, less.values())) < sum(map(len, whole.values()))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(["a", "b", " ", "\n", "\t", "é", "\u0301", "日", "'s", "1", "Σ", "ß", "\u2000", ".", "<|endoftext|>", "<|", "x\x0bz"]), max_size=30).map("".join), max_size=6))
 def test_bpe_is_the_library(texts):
