@@ -112,7 +112,10 @@ def flow_summary(cards: DataFrame, files: DataFrame, faithful: bool = False) ->
         )
     base = cards.groupBy("flow").agg(F.countDistinct("id").alias("cards"), F.count_if("stale").alias("stale"))
     paths = cards.select("flow", F.explode("source_files").alias("path")).distinct().join(files.select("path", "heat"), "path", "left")
-    heat = paths.groupBy("flow").agg(F.count("path").alias("files"), F.round(F.avg("heat"), 4).alias("avg_heat"))
+    # whole millionths, halves up: no order of addition and no binary fraction decides the last digit
+    n, total = F.count("heat"), F.sum(F.round(F.col("heat") * 1_000_000).cast("long"))
+    mean = F.when(n > 0, F.expr("1.0D") * F.floor((2 * total + 100 * n) / (200 * n)) / 10_000)
+    heat = paths.groupBy("flow").agg(F.count("path").alias("files"), mean.alias("avg_heat"))
     repos = cards.select("flow", F.explode("source_repos").alias("repo")).groupBy("flow").agg(F.countDistinct("repo").alias("repos"))
     return base.join(heat, "flow", "left").join(repos, "flow", "left").select("flow", "cards", "files", "repos", "stale", "avg_heat")
 
@@ -223,7 +226,7 @@ SQL = {
     "mask_keys": f"SELECT c_custkey, CASE WHEN length(c_name) <= 11 THEN '{MASK}' ELSE substr(c_name, 1, 7) || '{MASK}' || right(c_name, 4) END AS masked, CASE WHEN length(c_mktsegment) <= 11 THEN '{MASK}' ELSE substr(c_mktsegment, 1, 7) || '{MASK}' || right(c_mktsegment, 4) END AS masked_segment FROM customer",
     "card_freshness": f"WITH {_C} SELECT id, CASE WHEN stale THEN 'needs verification' WHEN n_chars % 3 = 0 THEN 'verified (' || (n_chars % 9) || 'x)' ELSE 'likely valid' END AS label FROM c",
     "severity_order": "SELECT event_id, CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS rank FROM events",
-    "flow_summary": f"WITH {_C}, {_F}, p AS (SELECT DISTINCT flow, unnest(source_files) AS path FROM c), h AS (SELECT flow, count(*) AS files, round(avg(heat), 4) AS avg_heat FROM p LEFT JOIN f USING (path) GROUP BY 1), r AS (SELECT flow, count(DISTINCT repo) AS repos FROM (SELECT flow, unnest(source_repos) AS repo FROM c) GROUP BY 1), b AS (SELECT flow, count(DISTINCT id) AS cards, count(*) FILTER (stale) AS stale FROM c GROUP BY 1) SELECT flow, cards, files, repos, stale, avg_heat FROM b LEFT JOIN h USING (flow) LEFT JOIN r USING (flow)",
+    "flow_summary": f"WITH {_C}, {_F}, p AS (SELECT DISTINCT flow, unnest(source_files) AS path FROM c), h AS (SELECT flow, count(*) AS files, CASE WHEN count(heat) > 0 THEN ((2 * sum(round(heat * 1000000)::BIGINT) + 100 * count(heat)) // (200 * count(heat)))::DOUBLE / 10000 END AS avg_heat FROM p LEFT JOIN f USING (path) GROUP BY 1), r AS (SELECT flow, count(DISTINCT repo) AS repos FROM (SELECT flow, unnest(source_repos) AS repo FROM c) GROUP BY 1), b AS (SELECT flow, count(DISTINCT id) AS cards, count(*) FILTER (stale) AS stale FROM c GROUP BY 1) SELECT flow, cards, files, repos, stale, avg_heat FROM b LEFT JOIN h USING (flow) LEFT JOIN r USING (flow)",
     "flow_summary_faithful": f"WITH {_C}, {_F}, x AS (SELECT flow, id, stale, path, unnest(source_repos) AS repo FROM (SELECT *, unnest(source_files) AS path FROM c)) SELECT flow, count(DISTINCT id) AS cards, count(DISTINCT path) AS files, count(DISTINCT repo) AS repos, sum(stale::BIGINT)::BIGINT AS stale, round(avg(heat), 4) AS avg_heat FROM x LEFT JOIN f USING (path) GROUP BY 1",
     "repo_rollup": f"WITH {_C} SELECT repo, count(DISTINCT id) AS cards, count(*) FILTER (stale) AS stale, count(*) FILTER (stale) >= 5 AS reindex FROM (SELECT id, stale, unnest(source_repos) AS repo FROM c) GROUP BY 1",
     "workspace_status": "WITH r AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey), t AS (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY count(*) DESC, c_custkey) AS place FROM r GROUP BY 1, 2), l AS (SELECT c_mktsegment, string_agg(c_custkey, ',' ORDER BY place) AS top FROM t WHERE place <= 3 GROUP BY 1), b AS (SELECT c_mktsegment, count(*) AS files, count(*) FILTER (o_orderstatus = 'O') AS stale, max(o_orderdate) AS last_commit FROM r GROUP BY 1) SELECT c_mktsegment AS repo, files, stale, last_commit, top FROM b LEFT JOIN l USING (c_mktsegment)",

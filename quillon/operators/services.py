@@ -217,7 +217,7 @@ _ORDER_FILES = lambda s, d: _lines(s, d).select(F.col("l_orderkey").alias("pr"),
 
 QUERIES = {
     "card_filters": lambda s, d: filtered(cards_of(table(s, d, "documents")), stale=False, without=["es"]).select("id", "flow", "card_type"),
-    "prefix_match": lambda s, d: table(s, d, "part").filter(F.startswith("p_type", F.lit("STANDARD "))).select("p_partkey", "p_type"),
+    "prefix_match": lambda s, d: table(s, d, "part").filter(F.startswith("p_type", F.lit("S"))).select("p_partkey", "p_type"),
     "branch_visible": lambda s, d: visible(retrieval.knn(retrieval._asked(s, d).drop("label"), retrieval._vectors(s, d).drop("label"), 15), retrieval._vectors(s, d).select("id", F.when(F.col("id") % 3 > 0, F.array(F.concat(F.lit("b"), (F.col("id") % 3).cast("string")))).alias("valid_branches")), "b1", 5),
     "rules_scope": lambda s, d: rules_for(_rules(s, d), _lines(s, d).select(F.col("l_orderkey").alias("diff"), "path")).groupBy("rule").agg(F.count("*").alias("diffs")),
     "rule_verdicts": lambda s, d: verdicts(table(s, d, "orders").select(F.col("o_custkey").alias("diff"), F.when(F.col("o_orderpriority") == "1-URGENT", "error").when(F.col("o_orderpriority") == "2-HIGH", "warning").alias("severity"))),
@@ -256,7 +256,7 @@ _EXT = "(VALUES " + ", ".join(f"('{k}', '{e}')" for k, v in SCOPES.items() for e
 _STEM = "c AS (SELECT p_partkey AS place, replace(split_part(p_name, ' ', 1), '-', '_') || 's' AS stem, p_partkey % 7 AS repo FROM part)"
 SQL = {
     "card_filters": "SELECT doc_id AS id, source AS flow, lang AS card_type FROM documents WHERE n_chars % 2 = 0 AND lang NOT IN ('es')",
-    "prefix_match": "SELECT p_partkey, p_type FROM part WHERE starts_with(p_type, 'STANDARD ')",
+    "prefix_match": "SELECT p_partkey, p_type FROM part WHERE starts_with(p_type, 'S')",
     "branch_visible": f"WITH {retrieval._V}, {retrieval._NEAR.format(d=retrieval._COS, where='q.id % 20 = 0', k=15)} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) - 1 AS place FROM near WHERE id % 3 IN (0, 1) QUALIFY place < 5",
     "rules_scope": f"WITH {_PATHS}, r AS (SELECT n_nationkey AS rule, {_SCOPE}[n_nationkey % 12 + 1] AS scope FROM nation), l AS (SELECT DISTINCT l_orderkey AS diff, {_END} AS ending FROM lineitem JOIN p ON l_partkey = p_partkey) SELECT rule, count(*) AS diffs FROM (SELECT DISTINCT rule, diff FROM r JOIN {_EXT} USING (scope) JOIN l USING (ending) UNION SELECT DISTINCT rule, diff FROM r, l WHERE scope IS NULL OR scope = 'cobol') GROUP BY 1",
     "rule_verdicts": "SELECT o_custkey AS diff, count(*) FILTER (o_orderpriority = '1-URGENT') = 0 AS passed, count(*) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')) = 0 AS strict_passed FROM orders GROUP BY 1",
