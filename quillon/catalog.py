@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from quillon.operators import ann, cards, conversations, evaluation, frameworks, freshness, graph, imports, metrics, naming, relational, retrieval, services, signals, topology
-from quillon.sources import files, ruby, transcripts
+from quillon.sources import files, ruby, scripts, transcripts
 from quillon.streaming import changes
 
-MODULES = (metrics, relational, retrieval, ann, graph, imports, freshness, conversations, evaluation, cards, services, signals, topology, naming, frameworks, files, ruby, transcripts, changes)
+MODULES = (metrics, relational, retrieval, ann, graph, imports, freshness, conversations, evaluation, cards, services, signals, topology, naming, frameworks, files, ruby, scripts, transcripts, changes)
 
 
 def queries() -> dict:

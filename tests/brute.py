@@ -223,3 +223,71 @@ def ruby_members(con, got):
     key = lambda rows: sorted(rows, key=str)
     assert key((r.file, r.no, r.owner, r.kind, r["name"], r.visibility, r.detail) for r in got) == key(want)
     assert {m[5] for m in want} >= {"private", "protected", "public"} and len({m[3] for m in want}) == 4
+
+
+def _script_statements(con):
+    """Statements of the documents' code by a walk over characters."""
+    from quillon.sources.scripts import TEMPLATES
+
+    for doc, text in con.sql("SELECT doc_id, text FROM documents WHERE text IS NOT NULL").fetchall():
+        depth, held, first = 0, [], 0
+        for no, x in enumerate(text.split("\n")):
+            line = TEMPLATES[len(x) % len(TEMPLATES)].replace("{}", str(len(x)))
+            if line.startswith("//"):
+                continue
+            if depth == 0 and held:
+                yield doc, first, "\n".join(held).strip()
+                held = []
+            if not held:
+                first = no
+            held.append(line)
+            quote, net = None, 0
+            for ch in line:
+                if quote:
+                    quote = None if ch == quote else quote
+                elif ch in "'\"`":
+                    quote = ch
+                else:
+                    net += (ch in "{([") - (ch in "})]")
+            depth = max(0, depth + net)
+        if held:
+            yield doc, first, "\n".join(held).strip()
+
+
+def script_statements(con, got):
+    want = sorted(_script_statements(con))
+    assert sorted((r.file, r.no, r.text) for r in got) == want and any(x.count("\n") > 3 for _, _, x in want)
+
+
+def script_parts(con, got):
+    want, seen = Counter(), set()
+    for doc, no, text in _script_statements(con):
+        add = lambda kind, name, detail=None: want.update([(doc, no, kind, name, detail)])  # noqa: B023, E731
+        if m := re.match(r"export (default )?(function|class) (\w+)", text):
+            add("export", m[3], "default" if m[1] else None)
+        if m := re.match(r"export const (\w+) = ", text):
+            add("export", m[1])
+        if m := re.match(r"export \{ a, b as c\d+ \}", text):
+            add("export", "a")
+            add("export", "b")
+        if m := re.match(r"(?:export )?function (\w+)", text):
+            add("function", m[1])
+        if m := re.match(r"const (\w+) = async \(x\) =>", text):
+            add("function", m[1], "async")
+        for m in re.finditer(r"(?:router|app|\))\s*\.(get|post|use)\(\s*(?:['\"]([^'\"]*)['\"])?", text):
+            path = m[2] or ("/*" if m[1] == "use" else None)
+            if path and (doc, m[1], path) not in seen:
+                seen.add((doc, m[1], path))
+                add("route", path, m[1].upper())
+            if m[1] != "use":
+                add("call", m[2], m[1].upper())
+        for m in re.finditer(r"fetch\(`([^`]*)`", text):
+            add("call", m[1], "FETCH")
+        for _ in re.finditer(r"api\.destroy\(path\)", text):
+            add("call", None, "DELETE")
+        for m in re.finditer(r"(use\w+Store)\(", text):
+            add("uses", m[1])
+        if m := re.search(r"defineStore\('(\w+)'", text):
+            add("store", m[1])
+    assert {(r.file, r.no, r.kind, r["name"], r.detail): r.n for r in got} == dict(want)
+    assert {k[2] for k in want} == {"export", "function", "route", "call", "uses", "store"}
