@@ -1,7 +1,7 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
-A text is cut into chunks where a word begins whose predecessor has a rolling hash below a bound (one word in 1 / SHARE), so
-that passages which documents share give equal chunks wherever they stand. A worker encodes a chunk once and keeps its
+A text is cut into chunks where a word begins for which a rolling hash over the WINDOW words before it lies below a bound (one
+word in 1 / SHARE), so that passages which documents share give equal chunks wherever they stand. A worker encodes a chunk once and keeps its
 ids in a cache of bounded size that outlives its tasks; texts are put together from chunks. Every join of two chunks is
 checked: the characters about it, with the whole run of blanks between, must be split there by the vocabulary's own
 pre-tokeniser, and be encoded alike together and apart. Where that does not hold, wider and wider windows are tried; where
@@ -26,9 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillon.llm.grams import Texts, slices, tidy
+from quillon.llm.grams import _STEPS, Texts, mix, slices, tidy
 
-SHARE, CACHED = 1 / 16, 50_000  # of words that end a chunk; chunks in a worker's cache
+SHARE, WINDOW, CACHED = 1 / 16, 4, 50_000  # of words that begin a chunk; words that decide it; chunks in a worker's cache
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -147,10 +147,19 @@ def _head(chunk: bytes, span: int) -> bytes:
     return chunk[:at]
 
 
+def rolled(t: Texts) -> np.ndarray:
+    """For each word a hash of the WINDOW words before it, or of as many as its text has there."""
+    words, place = t.words(), np.arange(len(t.starts)) - np.repeat(t.first[:-1], np.diff(t.first))
+    total = np.zeros(len(words), np.uint64)
+    for back in range(1, WINDOW + 1):
+        here = np.flatnonzero(place >= back)
+        total[here] += words[here - back] * _STEPS[back]
+    return mix(total)
+
+
 def cuts(t: Texts, share: float = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where chunks of a slice start and end, and each text's first chunk."""
-    low = np.zeros(len(t.starts), bool)
-    low[1:] = t.words()[:-1] < np.uint64(int(share * (1 << 62)) << 2)
+    low = rolled(t) < np.uint64(int(share * (1 << 62)) << 2)
     heads = t.first[:-1][np.diff(t.first) > 0]
     low[heads] = False  # a text's first word does not start a second chunk
     filled = np.flatnonzero(np.diff(t.seps) > 1)

@@ -186,6 +186,21 @@ def test_bpe_is_the_library(texts):
         assert np.frombuffer(ids, "<u4").tolist() == want and back.decode() == lib.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_chunks_are_cut_by_what_stands_before():
+    rng = np.random.default_rng(2)
+    common = [f"w{k}" for k in rng.integers(0, 30, 400)]
+    texts = [" ".join([*(f"{k}_{j}" for j in range(k)), *common]) for k in range(6)]
+    t = grams.Texts(*[x for x in grams.slices(pa.array(texts))][0][2:])
+    starts, ends, first = bpe.cuts(t)
+    raw = t.buf.tobytes()
+    chunks = [[raw[a:b] for a, b in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True)] for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    assert [b"".join(c).decode() for c in chunks] == texts and all(len(c) > 10 for c in chunks)
+    assert len({tuple(c[-5:]) for c in chunks}) == 1  # the common end is cut alike
+    heads = {c.split()[0] for x in chunks for c in x[1:]}
+    inner = {w for x in chunks for c in x for w in c.split()[1:]}
+    assert heads & inner  # the same word begins a chunk at some of its places and not at others
+
+
 def test_bpe_joins_that_disagree_are_repaired():
     class Odd(bpe.Codec):  # a vocabulary that reads "b \\nc" as one token, across a join
         def raw_ids(self, text):
