@@ -149,11 +149,18 @@ def _head(chunk: bytes, span: int) -> bytes:
 
 def rolled(t: Texts) -> np.ndarray:
     """For each word a hash of the WINDOW words before it, or of as many as its text has there."""
-    words, place = t.words(), np.arange(len(t.starts)) - np.repeat(t.first[:-1], np.diff(t.first))
-    total = np.zeros(len(words), np.uint64)
-    for back in range(1, WINDOW + 1):
-        here = np.flatnonzero(place >= back)
-        total[here] += words[here - back] * _STEPS[back]
+    words, n = t.words(), len(t.starts)
+    total = np.zeros(n, np.uint64)
+    for back in range(1, min(WINDOW, n - 1) + 1):
+        total[back:] += words[:-back] * _STEPS[back]
+    # the first words of a text have no words of the text before
+    heads = np.flatnonzero(np.diff(t.first) > 0)
+    for place in range(WINDOW):
+        at = t.first[heads] + place
+        at = at[at < t.first[heads + 1]]
+        total[at] = 0
+        for back in range(1, place + 1):
+            total[at] += words[at - back] * _STEPS[back]
     return mix(total)
 
 
