@@ -11,9 +11,10 @@ Texts of equal shingle sets are one class from the start (copies are never paire
 1. A class is compared with the least head of its buckets (a bucket's head is its least class).
 2. TURNS times: in buckets that still hold two components, classes of other components than its head's are compared with
    the head, which now is the class with the most links.
-3. A prefix join (_rest) finds every similar pair across components among the classes whose buckets still hold two.
+3. Among the classes whose buckets still hold two, a class is compared with the centre of each token of its prefix (_beside).
+4. A prefix join (_across) finds every similar pair across the components that are left, without meeting within them.
 
-Steps 1 and 2 only save work for step 3, which leaves no similar pair of a bucket unlinked, whatever the bucket's size. What
+Steps 1 to 3 only save work for step 4, which leaves no similar pair of a bucket unlinked, whatever the bucket's size. What
 remains is the banding itself: a pair at 0.8 shares no bucket once in 37,000 times. Components of the links are the groups.
 Counts and heads come from partial aggregation, hot keys of the joins are split by adaptive execution (no window or
 aggregate stands on them), and the prefix join salts its own.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.grams import _STEPS, Texts, mix, shingles, slices, tidy
@@ -157,29 +158,59 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(token), same(b.column(0)[k].as_py()), same(b.column(1)[k].as_py()), same(len(token))], ["token", "name", "label", "n"])
 
 
-def _rest(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): a superset of the pairs of unlike labels among rows (name, label) whose sets are similar enough.
+def _prefixes(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """name, n, at, token, salts, usual of the rows (name, label) that may be similar to one of another label; a table.
 
     Prefix filter: shingles have one order everywhere, those that a single label holds first and then by how many sets hold
     them. Of a similar pair the first common shingle stands in the first ninth of the smaller set and the first fifth of the
-    larger; what follows it in either must still hold 4/9 of both sizes, the overlap that Jaccard 0.8 needs.
+    larger; what follows it in either must still hold 4/9 of both sizes, the overlap that Jaccard 0.8 needs. All of this stays
+    true when labels become one later. `usual` is how many sets hold a shingle of the set on average.
     """
     asked = rows.select("name", F.xxhash64("label").alias("label")).join(sets, "name")
     tokens = asked.select("name", "label", "set").mapInArrow(tidy(_spread), "token long, name binary, label long, n long")
     shared = tokens.groupBy("token").agg(F.count("*").alias("holders"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token", "holders")
-    held = tokens.join(shared, "token").groupBy("name").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("holders", "token"))).alias("held"))
+    held = tokens.join(shared, "token").groupBy("name").agg(F.first("n").alias("n"), F.sum("holders").alias("usual"), F.sort_array(F.collect_list(F.struct("holders", "token"))).alias("held"))
     own = held.withColumn("alone", F.col("n") - F.size("held")).filter("5 * alone <= n")
-    prefix = own.select("name", "label", "n", "alone", F.posexplode(F.slice("held", F.lit(1), (F.floor(F.col("n") / 5) - F.col("alone") + 1).cast("int"))).alias("k", "h"))
-    prefix = prefix.select("name", "label", "n", (F.col("alone") + F.col("k")).alias("at"), "h.token", (1 + F.floor(F.col("h.holders") / SALT)).alias("salts"))
-    prefix = stage(prefix, "prefixes")
-    small = prefix.filter("9 * at <= n").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
-    large = prefix.withColumn("salt", F.pmod(F.xxhash64("name"), "salts")).drop("salts")
-    x, y = small.alias("x"), large.alias("y")
-    need = 4 * (F.col("x.n") + F.col("y.n"))
-    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.label") != F.col("y.label"))
-    meet &= (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.name") < F.col("y.name"))
-    meet &= (5 * F.col("x.n") >= 4 * F.col("y.n")) & (9 * (F.col("x.n") - F.col("x.at")) >= need) & (9 * (F.col("y.n") - F.col("y.at")) >= need)
-    return x.join(y, meet).select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct()
+    prefix = own.select("name", "n", "alone", (F.col("usual") / F.col("n")).alias("usual"), F.posexplode(F.slice("held", F.lit(1), (F.floor(F.col("n") / 5) - F.col("alone") + 1).cast("int"))).alias("k", "h"))
+    return stage(prefix.select("name", "n", (F.col("alone") + F.col("k")).alias("at"), "h.token", (1 + F.floor(F.col("h.holders") / SALT)).alias("salts"), "usual"), "prefixes")
+
+
+def _beside(prefix: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Prefixes with the labels of rows (name, label); those of them of another label than their token's centre, with it; tables.
+
+    The centre of a token is the holder whose shingles are the most usual: among copies changed at random it is the one nearest
+    to what they were copied from, so that most are similar to it.
+    """
+    marked = stage(prefix.join(rows.select("name", F.xxhash64("label").alias("label")), "name"), "marked")
+    centre = F.max(F.struct("usual", "name", "label", "n", "at")).alias("centre")
+    # written, so that the join can split a hot token
+    centres = stage(marked.groupBy("token").agg(centre, F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token", "centre"), "centres")
+    return marked, stage(marked.join(centres, "token").filter("label <> centre.label"), "beside")
+
+
+def _may_be_similar(x: str, y: str) -> Column:
+    """Whether sizes and places of the common token allow Jaccard 0.8."""
+    need = 4 * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+    fit = (5 * F.col(f"{x}.n") >= 4 * F.col(f"{y}.n")) & (5 * F.col(f"{y}.n") >= 4 * F.col(f"{x}.n"))
+    return fit & (9 * (F.col(f"{x}.n") - F.col(f"{x}.at")) >= need) & (9 * (F.col(f"{y}.n") - F.col(f"{y}.at")) >= need)
+
+
+def _with_centres(beside: DataFrame) -> DataFrame:
+    """(a, b): classes with the centres of their tokens, where these are of another label."""
+    return beside.alias("x").filter(_may_be_similar("x", "centre")).select(F.col("x.name").alias("a"), F.col("centre.name").alias("b")).distinct()
+
+
+def _across(marked: DataFrame, beside: DataFrame) -> DataFrame:
+    """(a, b): a superset of the similar pairs of unlike labels. One of such a pair is of another label than its token's centre."""
+    x = beside.drop("centre").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).alias("x")
+    y = marked.withColumn("salt", F.pmod(F.xxhash64("name"), "salts")).alias("y")
+    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.label") != F.col("y.label")) & _may_be_similar("x", "y")
+    return x.join(y, meet).select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b")).distinct()
+
+
+def _rest(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): a superset of the pairs of unlike labels among rows (name, label) whose sets are similar enough."""
+    return _across(*_beside(_prefixes(rows, sets), rows))
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -194,9 +225,18 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stage(moved.select("node", F.coalesce("up", "label").alias("label")), "labels")
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    return labels if links.isEmpty() else _joined(labels, links)
+
+
+def _labelled(named: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of named with the label of their name; a class without links is its own."""
+    return named.join(labels.withColumnRenamed("node", "name"), "name", "left").select(*named.columns, F.coalesce("label", "name").alias("label"))
+
+
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets that hold two components and more, with their labels; a table."""
-    named = members.join(labels.withColumnRenamed("node", "name"), "name", "left").select("bucket", "name", F.coalesce("label", "name").alias("label"))
+    named = _labelled(members.select("bucket", "name"), labels)
     mark = F.xxhash64("label")
     parts = named.groupBy("bucket").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low <> high")
     parts = stage(parts.select("bucket"), "parts")
@@ -231,16 +271,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = _links(pairs, sets)
     labels, every = components(links), links
     made = [members, heads, sets, links]
-    for turn in range(TURNS + 1):
-        open_ = _open(members, labels)
-        made.append(open_)
-        if open_.isEmpty():
-            break
-        pairs = _rest(open_.select("name", "label").distinct(), sets) if turn == TURNS else _with_heads(open_, every)
-        links = _links(pairs, sets)
+    for _ in range(TURNS):
+        made.append(_open(members, labels))
+        links = _links(_with_heads(made[-1], every), sets)
+        labels, every = _merged(labels, links), every.union(links)
         made.append(links)
+    open_ = _open(members, labels)
+    made.append(open_)
+    if not open_.isEmpty():
+        left = open_.select("name", "label").distinct()
+        prefix = _prefixes(left, sets)
+        marked, beside = _beside(prefix, left)
+        links = _links(_with_centres(beside), sets)
+        made += [prefix, marked, beside, links]
         if not links.isEmpty():
-            labels, every = _joined(labels, links), every.union(links)
+            labels = _merged(labels, links)
+            marked, beside = _beside(prefix, _labelled(left.select("name"), labels))
+            made += [marked, beside]
+        links = _links(_across(marked, beside), sets)
+        labels = _merged(labels, links)
+        made.append(links)
     for old in made:
         discard(old)
     grouped = rows.join(labels.withColumnRenamed("node", "name"), "name", "left").select("id", "n", "text_hash", "row", F.coalesce("label", "name").alias("label"))

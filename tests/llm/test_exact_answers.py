@@ -65,6 +65,22 @@ def test_minhash_large_group(spark):
     assert sum(got[k] == want[k] for k in got) >= 0.98 * len(got) and all(got[k] == k for k in got if k >= 1000)
 
 
+def test_minhash_candidates_of_changed_copies(spark, monkeypatch):
+    # copies with three changed words are similar to the text behind them (0.81), but to few of the other copies
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 500):
+        w = list(base)
+        for at in rng.choice(140, k % 3 + 1, replace=False):
+            w[at + 5] = f"x{k}_{at}"
+        rows.append((k, " ".join(w)))
+    asked, links = [], minhash._links
+    monkeypatch.setattr(minhash, "_links", lambda pairs, sets: (asked.append(pairs.count()), links(pairs, sets))[1])
+    got = {r.doc_id: r.group_id for r in minhash.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(dict(rows)) and sum(asked) < 5 * len(rows), asked
+
+
 def test_minhash_pairs_among_texts_of_common_words(spark):
     # two texts of a family are at 0.81, of two families at 0.77: most buckets of a pair hold a hundred other texts
     common = [f"c{j}" for j in range(525)]
