@@ -6,7 +6,8 @@ ids in a cache of bounded size that outlives its tasks; texts are put together f
 checked: the characters about it, with the whole run of blanks between, must be split there by the vocabulary's own
 pre-tokeniser, and be encoded alike together and apart. Where that does not hold, wider and wider windows are tried; where
 none agrees up to the ends of the two chunks, these become one chunk that is encoded anew and whose joins are checked in
-turn. Chunks are told apart by their bytes. Ids are decoded as the library does it for a vocabulary without decoder, by
+turn. Chunks are told apart by their bytes. A chunk that is new is put together from its words in the same way: a word, with the
+blanks behind it, is encoded once a worker, and where two words do not agree at their join the chunk is encoded whole. Ids are decoded as the library does it for a vocabulary without decoder, by
 tokens with blanks between them; for a vocabulary that has a decoder the library decodes each text.
 
 The vocabulary file is a parameter. Workers read it where it lies (an installed package); it is not copied.
@@ -28,7 +29,8 @@ from pyspark.sql import DataFrame
 
 from quillon.llm.grams import _STEPS, Texts, mix, slices, tidy
 
-SHARE, WINDOW, CACHED = 1 / 16, 4, 50_000  # of words that begin a chunk; words that decide it; chunks in a worker's cache
+SHARE, WINDOW = 1 / 16, 4  # of words that begin a chunk; words that decide it
+CACHED, WORDS = 50_000, 250_000  # chunks and words in a worker's caches
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -60,6 +62,7 @@ class Codec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}  # ids of chunks, as little-endian unsigned 32-bit integers
+        self.words: dict[bytes, bytes] = {}  # of words with the blanks behind them
         self.agreed: dict[tuple[bytes, bytes], bool] = {}
         self._pieces = None
 
@@ -79,12 +82,48 @@ class Codec:
         new = [c for c in dict.fromkeys(chunks) if c not in self.known]
         if len(self.known) + len(new) > CACHED:
             self.known = {c: self.known[c] for c in dict.fromkeys(chunks) if c in self.known}
-        got = self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
-        for c, e in zip(new, got, strict=True):
-            ids = e.ids
-            self.known[c] = struct.pack(f"<{len(ids)}I", *ids)
+        self.known.update(zip(new, self.from_words(new), strict=True))
         return [self.known[c] for c in chunks]
 
+    def fresh(self, pieces: list[bytes]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in got)]
+
+    def from_words(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of the chunks, from those of their words; a chunk whose words do not agree at their joins is encoded whole."""
+        size = np.cumsum([0, *map(len, chunks)])
+        t = Texts(np.frombuffer(b"".join(chunks), np.uint8), size)
+        raw = t.buf.tobytes()
+        starts, ends, first = _cut(t, np.ones(len(t.starts), bool))
+        which, one = _distinct(t, starts, ends)
+        pieces = [raw[lo:hi] for lo, hi in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+        new = [p for p in pieces if p not in self.words]
+        if len(self.words) + len(new) > WORDS:
+            self.words = {p: self.words[p] for p in pieces if p in self.words}
+        self.words.update(zip(new, self.fresh(new), strict=True))
+        ids = [self.words[p] for p in pieces]
+        size = np.array([len(i) // 4 for i in ids], np.int64)
+        flat = _gather(np.frombuffer(b"".join(ids), "<u4"), (np.cumsum(size) - size)[which], size[which]).tobytes()
+        cut = (4 * np.concatenate([[0], np.cumsum(size[which])])[first]).tolist()
+        out = [flat[lo:hi] for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
+        whole = self.unsplit(t, raw)
+        for k, i in zip(whole, self.fresh([chunks[k] for k in whole]), strict=True):
+            out[k] = i
+        return out
+
+    def unsplit(self, t: Texts, raw: bytes) -> list[int]:
+        """The texts of a slice in which something crosses the join of two words; equal joins are checked once."""
+        later = np.ones(len(t.starts), bool)
+        later[t.first[:-1][np.diff(t.first) > 0]] = False
+        at = np.flatnonzero(later)
+        lo, hi = t.ends[at - 1] - 1, t.starts[at] + 1
+        for _ in range(3):  # the characters on both sides are whole
+            lo = lo - ((t.buf[lo] & 0xC0) == 0x80)
+            hi = hi + ((t.buf[hi] & 0xC0) == 0x80)
+        which, one = _distinct(t, lo, hi)
+        good = [self.splits(raw[a:m], raw[m:b]) for a, m, b in zip(lo[one].tolist(), t.starts[at[one]].tolist(), hi[one].tolist(), strict=True)]
+        return np.unique(t.text_of_word()[at[~np.array(good, bool)[which]]]).tolist()
+
     def splits(self, a: bytes, b: bytes) -> bool:
         """Whether nothing crosses the join of a and b: neither normaliser nor pre-tokeniser, and the ids are the same."""
         if (a, b) not in self.agreed:
@@ -164,9 +203,8 @@ def rolled(t: Texts) -> np.ndarray:
     return mix(total)
 
 
-def cuts(t: Texts, share: float = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where chunks of a slice start and end, and each text's first chunk."""
-    low = rolled(t) < np.uint64(int(share * (1 << 62)) << 2)
+def _cut(t: Texts, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the pieces of a slice that begin at the words marked by `low`, and with each text, start and end; each text's first."""
     heads = t.first[:-1][np.diff(t.first) > 0]
     low[heads] = False  # a text's first word does not start a second chunk
     filled = np.flatnonzero(np.diff(t.seps) > 1)
@@ -178,6 +216,21 @@ def cuts(t: Texts, share: float = SHARE) -> tuple[np.ndarray, np.ndarray, np.nda
     return starts, ends, first
 
 
+def cuts(t: Texts, share: float = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where chunks of a slice start and end, and each text's first chunk."""
+    return _cut(t, rolled(t) < np.uint64(int(share * (1 << 62)) << 2))
+
+
+def _distinct(t: Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of ranges, equal where their bytes are, and a range of each number."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    which = t.ids(starts, ends)
+    one = np.zeros(int(which.max()) + 1, np.int64)
+    one[which] = np.arange(len(which))
+    return which, one
+
+
 _codecs: dict[str, Codec] = {}
 
 

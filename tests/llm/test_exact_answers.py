@@ -228,6 +228,38 @@ def test_bpe_joins_that_disagree_are_repaired():
     assert b"".join(whole) == b"".join(chunks) and [i for x in whole for i in odd.raw_ids(x)] == odd.raw_ids(b"a b c d")
 
 
+def test_bpe_words_of_new_chunks_are_encoded_once():
+    c = bpe.Codec(bpe.vocabulary())
+    lib, sizes = c.tokenizer, []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(lib, name)
+
+        def encode_batch_fast(self, texts, **how):
+            sizes.extend(map(len, texts))
+            return lib.encode_batch_fast(texts, **how)
+
+    c.tokenizer = Counting()
+    words = [f"word{k}" for k in np.random.default_rng(6).integers(0, 50, 8000)]
+    chunks = [" ".join([*words[k : k + 16], ""]) for k in range(0, 8000, 16)]
+    want = [np.array(lib.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in chunks]
+    assert c.look_up([x.encode() for x in chunks]) == want and sum(sizes) < 0.1 * sum(map(len, chunks))
+
+
+def test_bpe_words_that_disagree_leave_the_chunk_whole():
+    class Odd(bpe.Codec):
+        def raw_ids(self, text):
+            return [7 if x == b"b c" else len(x) for x in re.findall(rb"b c|[^ ]+", text)]
+
+        def fresh(self, pieces):
+            return [np.array(self.raw_ids(p), "<u4").tobytes() for p in pieces]
+
+    odd = Odd(bpe.vocabulary())
+    chunks = [b"a b c d ", b"  ", b"", b" a d\n", b"b ", b"\xc3\xa9 b c"]
+    assert odd.look_up(chunks) == odd.fresh(chunks) and odd.unsplit(grams.Texts(np.frombuffer(b"".join(chunks), np.uint8), np.cumsum([0, *map(len, chunks)])), b"".join(b" " + c for c in chunks) + b" ") == [0, 5]
+
+
 def test_bpe_round_trip_of_operator(spark, sf):
     docs = table(spark, sf, "documents").limit(40)
     rows = bpe.encode(docs)
