@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillon.functions.text import basename, pascal, singular, snake, stem
 from quillon.operators.graph import RELATION_WEIGHT, resolve_imports, trade
 from quillon.operators.relational import first_wins
+from quillon.plans.ranks import numbered
 from quillon.session import table
 
 # Directories under which components lie, directories that name no component, names that say nothing, usual actions
@@ -139,13 +140,20 @@ def component_seeds(front: DataFrame, back: DataFrame) -> DataFrame:
 
 
 def absorbed_hubs(hubs: DataFrame, seeds: DataFrame, members: DataFrame) -> DataFrame:
-    """(path, flow): the first seed (flow, place) whose name holds a hub's (path, name) or lies in it and which has not its file yet."""
-    seed = seeds.select("flow", "place", F.regexp_replace(F.lower("flow"), r"\s+", "_").alias("seed"))
-    hub = hubs.select("path", snake(F.col("name")).alias("hub"))
-    inside = seed.withColumn("hub", F.explode(_pieces(F.col("seed")))).join(hub, "hub").select("path", "flow", "place")
-    around = hub.withColumn("seed", F.explode(_pieces(F.col("hub")))).join(seed, "seed").select("path", "flow", "place")
-    hit = inside.union(around).join(members.select("path", "flow"), ["path", "flow"], "left_anti")
-    return first_wins(hit, ["path"], ["place", "flow"]).select("path", "flow")
+    """(path, flow): the first seed (flow, place) whose name holds a hub's (path, name) or lies in it and which has not its file yet.
+
+    Names meet once, however many hubs bear them: the seeds of a name are numbered, and a file takes the first number that none of
+    its flows has. That is 0 or follows one of theirs, so a file asks for one seed more than it has flows.
+    """
+    seed = first_wins(seeds.select("flow", "place", F.regexp_replace(F.lower("flow"), r"\s+", "_").alias("seed")), ["flow"], ["place"])
+    hub = hubs.select("path", snake(F.col("name")).alias("hub")).distinct()
+    names, words = hub.select("hub").distinct(), seed.select("seed").distinct()
+    inside = words.withColumn("hub", F.explode(_pieces(F.col("seed")))).join(names, "hub").select("hub", "seed")
+    around = names.withColumn("seed", F.explode(_pieces(F.col("hub")))).join(words, "seed").select("hub", "seed")
+    hits = numbered(inside.union(around).distinct().join(seed, "seed").select("hub", "flow", "place"), "hub", ["place", "flow"], "turn")
+    held = hub.join(members.select("path", "flow").distinct(), "path").join(hits.select("hub", "flow", "turn"), ["hub", "flow"]).select("path", "hub", "turn")
+    open_ = hub.withColumn("turn", F.lit(0).cast("long")).union(held.withColumn("turn", F.col("turn") + 1)).join(held, ["path", "hub", "turn"], "left_anti")
+    return first_wins(open_.join(hits, ["hub", "turn"]).select("path", "flow", "place"), ["path"], ["place", "flow"]).select("path", "flow")
 
 
 def hub_flows(hubs: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import duckdb
 import oracle
+from pyspark.sql import functions as F
 
 from quillon import catalog
+from quillon.operators import topology
 
 
 def agrees(spark, folder, name, **tables):
@@ -27,3 +29,29 @@ def lines(pairs):
 
 def test_a_part_with_the_number_of_a_suppliers_file(spark, tmp_path):
     agrees(spark, tmp_path, "edges_weighted", lineitem=lines([(1_000_005, 5), (1_000_005, 6), (5, 5), (1_000_000, 0), (7, 5)]))
+
+
+def most_rows(frame):
+    """The most rows that an operator of the executed plan gave out, and the frame's rows."""
+    rows, most, todo = frame.collect(), 0, [frame._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+        if node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+    return most, rows
+
+
+def test_hubs_of_one_name(spark):
+    hubs = spark.range(400).select(F.concat(F.lit("a/"), "id").alias("path"), F.lit("old_large_ring").alias("name"))
+    seeds = spark.createDataFrame([("Large Ring", 5), ("Ring", 3), ("Old", 4), ("Bolt", 1), ("Ring", 9)], "flow string, place long")
+    members = spark.createDataFrame([("a/1", "Ring"), ("a/2", "Ring"), ("a/2", "Old"), ("a/3", "Old"), ("a/4", "Ring"), ("a/4", "Old"), ("a/4", "Large Ring"), ("a/5", "Bolt")], "path string, flow string")
+    most, rows = most_rows(topology.absorbed_hubs(hubs, seeds, members))
+    got = {r.path: r.flow for r in rows}
+    assert len(rows) == len(got) == 399 and [got.get(f"a/{k}") for k in range(6)] == ["Ring", "Old", "Large Ring", "Ring", None, "Ring"]
+    assert most < 2000
