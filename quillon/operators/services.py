@@ -170,11 +170,18 @@ def prefixed(queries: DataFrame, profiles: DataFrame, least: float = 0.05) -> Da
 
 
 def route_controllers(routes: DataFrame, files: DataFrame) -> DataFrame:
-    """(src, dst, route): a route's controller file, the first of its repository whose path ends in <controller>_controller.rb."""
-    key = lambda c: F.regexp_extract(c, r"([^/]*)$", 1)
-    named = files.withColumn("key", F.regexp_extract("path", r"([^/]*)_controller\.rb$", 1)).filter("key <> ''")
-    both = routes.withColumn("key", key("controller")).withColumnRenamed("path", "src").join(named.select("repo", "key", "path", "place"), ["repo", "key"])
-    hit = both.filter(F.endswith("path", F.concat("controller", F.lit("_controller.rb"))))
+    """(src, dst, route): a route's controller file, the first of its repository whose path ends in <controller>_controller.rb.
+
+    A file stands under every controller that its path can end in, its whole name at least, and each controller keeps its first
+    file before routes ask, so that neither many routes nor many files of one name meet one by one.
+    """
+    whole = first_wins(files.filter(F.endswith("path", F.lit("_controller.rb"))).select("repo", "path", "place"), ["repo", "path"], ["place"])
+    text = F.left("path", F.length("path") - F.lit(len("_controller.rb")))
+    name = F.element_at(F.split("text", "/"), -1)
+    ends = F.transform(F.sequence(F.lit(1), F.length("text") - F.length(name) + 1), lambda k: F.substr("text", k))
+    held = whole.withColumn("text", text).filter(name != "").select("repo", F.explode(ends).alias("controller"), "path", "place")
+    first = first_wins(held, ["repo", "controller"], ["place", "path"])
+    hit = routes.withColumnRenamed("path", "src").join(first, ["repo", "controller"])
     return first_wins(hit.select("src", "route", "path", "place"), ["src", "route"], ["place", "path"]).select("src", F.col("path").alias("dst"), "route")
 
 

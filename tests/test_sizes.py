@@ -5,7 +5,7 @@ import oracle
 from pyspark.sql import functions as F
 
 from quillon import catalog
-from quillon.operators import topology
+from quillon.operators import services, topology
 
 
 def agrees(spark, folder, name, **tables):
@@ -55,3 +55,14 @@ def test_hubs_of_one_name(spark):
     got = {r.path: r.flow for r in rows}
     assert len(rows) == len(got) == 399 and [got.get(f"a/{k}") for k in range(6)] == ["Ring", "Old", "Large Ring", "Ring", None, "Ring"]
     assert most < 2000
+
+
+def test_routes_and_files_of_one_name(spark):
+    k = F.col("id")
+    routes = spark.range(300).select(F.lit(1).alias("repo"), F.concat(F.lit("r"), k).alias("path"), F.when(k == 0, "b/users").when(k == 1, "users").when(k == 2, "sers").otherwise("admin/users").alias("controller"), k.alias("route"))
+    files = spark.range(300).select(F.lit(1).alias("repo"), k.alias("place"), F.concat(F.when(k == 7, "b/users").otherwise(F.concat(k, F.lit("/admin/users"))), F.lit("_controller.rb")).alias("path"))
+    most, rows = most_rows(services.route_controllers(routes, files))
+    got = {r.src: r.dst for r in rows}
+    first = "0/admin/users_controller.rb"
+    assert len(rows) == len(got) == 299 and got == {"r0": "b/users_controller.rb"} | {f"r{j}": first for j in range(1, 300) if j != 2}
+    assert most < 6000
