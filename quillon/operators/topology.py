@@ -119,7 +119,8 @@ def component_dir(path: Column) -> Column:
 def component_seeds(front: DataFrame, back: DataFrame) -> DataFrame:
     """(flow, path, repo): front-end files by their component directory, with the back-end files of that resource.
 
-    The flow's name is the last directory with blanks before capitals; directories of one name are one flow.
+    The flow's name is the last directory with blanks before capitals; directories of one name are one flow. Keys are joined by
+    sorting: a plan takes a table of keys for as small as the paths that they are made of, and would broadcast it through the driver.
     """
     seeds = front.withColumn("dir", component_dir(F.col("path"))).filter("dir IS NOT NULL").withColumn("leaf", basename(F.col("dir")))
     seeds = seeds.withColumn("flow", F.trim(F.regexp_replace("leaf", "([A-Z])", " $1")))
@@ -135,7 +136,7 @@ def component_seeds(front: DataFrame, back: DataFrame) -> DataFrame:
     below = lambda d: F.transform(F.flatten(F.transform(_found(path, f"(?<={d}/)[^/]+"), _heads)), lambda h: F.concat(F.lit(d + "/"), h))
     begun = [below("services"), below("presenters")]
     held = back.select("path", "repo", F.explode(F.array_distinct(F.concat(*whole, *begun))).alias("key"))
-    hit = names.select("flow", F.explode(asked).alias("key")).distinct().join(held, "key").select("flow", "path", "repo")
+    hit = names.select("flow", F.explode(asked).alias("key")).distinct().join(held.hint("merge"), "key").select("flow", "path", "repo")
     return seeds.select("flow", "path", "repo").union(hit).distinct()
 
 

@@ -66,3 +66,8 @@ def test_routes_and_files_of_one_name(spark):
     first = "0/admin/users_controller.rb"
     assert len(rows) == len(got) == 299 and got == {"r0": "b/users_controller.rb"} | {f"r{j}": first for j in range(1, 300) if j != 2}
     assert most < 6000
+
+
+def test_keys_of_paths_do_not_pass_through_the_driver(spark, sf):
+    plan = catalog.queries()["component_seeds"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
