@@ -83,52 +83,91 @@ def near_insights(vectors: DataFrame, asked: DataFrame, least: float = 0.82, k:
     return near.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("id")).alias("n"))).alias("m")).select(F.col("query_id").alias("id"), (-F.col("m.n")).alias("twin"), "m.similarity")
 
 
-def similar_pairs(rows: DataFrame, group: str, least: float, block: int = 2048) -> DataFrame:
-    """(later, earlier, similarity) of all pairs of one group more similar than `least`, by products of blocks of rows."""
+def _cosines(x, y):
+    """Cosine similarities of two lists of vectors, to nine digits; 0 where one has no length."""
     import numpy as np
-    import pandas as pd
 
-    most = rows.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    blocks = max(1, -(-most // block))
-    cut_ = rows.select("id", "embedding", F.col(group).alias("grp"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left, right = cut_.withColumn("a", F.col("own")).withColumn("b", each), cut_.withColumn("b", F.col("own")).withColumn("a", each)
+    p, q = (np.stack(t.to_numpy()).astype(np.float64) for t in (x, y))
+    norms = np.linalg.norm(p, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
+    return np.round(np.divide(p @ q.T, norms, out=np.zeros_like(norms), where=norms > 0), 9)
 
-    def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"later": [], "earlier": [], "similarity": []})
-        p, q = (np.stack(t["embedding"].to_numpy()).astype(np.float64) for t in (x, y))
-        norms = np.linalg.norm(p, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
-        sims = np.divide(p @ q.T, norms, out=np.zeros_like(norms), where=norms > 0)
-        i, j = np.nonzero((sims > least) & (x["id"].to_numpy()[:, None] > y["id"].to_numpy()[None, :]))
-        return pd.DataFrame({"later": x["id"].to_numpy()[i], "earlier": y["id"].to_numpy()[j], "similarity": np.round(sims[i, j], 9)})
 
-    return left.groupBy("grp", "a", "b").cogroup(right.groupBy("grp", "a", "b")).applyInPandas(near, "later long, earlier long, similarity double")
+def kept_insights(rows: DataFrame, least: float, first: int = 2048, block: int = 4096) -> DataFrame:
+    """(id, grp, embedding) of the rows that one pass in the order of id keeps: those not more similar than `least` to a kept one of their grp.
+
+    Each round decides the `first` open rows of each group in one task, then drops the open rows near to those it kept: all open
+    rows come later, so nothing else can bar them. A row is compared with kept rows only.
+    """
+    import numpy as np
+    import pandas as pd
 
+    kind = dict(rows.dtypes)
+    shape = f"id {kind['id']}, grp {kind['grp']}, embedding {kind['embedding']}"
+    most = rows.groupBy("grp").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks = max(1, -(-most // block))
+    open_, kept = rows.select("id", "grp", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own")), None
+
+    def chosen(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("id", ignore_index=True)
+        near = _cosines(x["embedding"], x["embedding"]) > least
+        barred, at = np.zeros(len(x), bool), []
+        for k in range(len(x)):
+            if not barred[k]:
+                at.append(k)
+                barred |= near[k]
+        return x.iloc[at][["id", "grp", "embedding"]].assign(last=x["id"].iloc[-1])
+
+    def left(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if len(y):
+            x = x[x["id"] > y["last"].iloc[0]]
+        if len(x) and len(y):
+            x = x[~(_cosines(x["embedding"], y["embedding"]) > least).any(axis=1)]
+        return x[["id", "grp", "embedding", "own"]]
 
-def first_insights(rows: DataFrame, group: str, least: float = 0.82) -> DataFrame:
+    while True:
+        place = F.row_number().over(Window.partitionBy("grp").orderBy("id"))
+        head = open_.withColumn("place", place).filter(F.col("place") <= first)
+        now = cut(head.select("id", "grp", "embedding").groupBy("grp").applyInPandas(chosen, f"{shape}, last {kind['id']}"))
+        if now.isEmpty():
+            return kept if kept is not None else rows.select("id", "grp", "embedding")
+        here = now.select("id", "grp", "embedding")
+        kept = here if kept is None else kept.union(here)
+        every = now.withColumn("own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        open_ = cut(open_.groupBy("grp", "own").cogroup(every.groupBy("grp", "own")).applyInPandas(left, f"{shape}, own int"))
+
+
+def first_insights(rows: DataFrame, group: str, least: float = 0.82, block: int = 4096) -> DataFrame:
     """(id, same_as): one after another in the order of id, an insight is new or corroborates the most similar kept one.
 
-    A row is decided once all its earlier neighbours are: kept without a kept one, else the same as the most similar of
-    those (the earliest of equals). Each round decides all rows whose neighbours allow it; state is a table a round.
-    rows: id, embedding and group.
+    Those that are kept are found first; each other row is then compared with the kept ones before it, block by block: the most
+    similar counts, the earliest of equals. rows: id, embedding and group.
     """
-    pairs = cut(similar_pairs(rows, group, least))
-    open_, kept, same = rows.select("id"), None, None
-    while True:
-        waiting = pairs.join(open_.select(F.col("id").alias("later")), "later").join(open_.select(F.col("id").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("id")).distinct()
-        ready = open_.join(waiting, "id", "left_anti")
-        ties = pairs.join(ready.withColumnRenamed("id", "later"), "later")
-        ties = ties.join(kept.withColumnRenamed("id", "earlier"), "earlier", "left_semi") if kept is not None else ties.filter(F.lit(False))
-        twin = ties.groupBy("later").agg(F.min_by("earlier", F.struct((-F.col("similarity")).alias("s"), "earlier")).alias("same_as"))
-        found = cut(ready.join(twin.withColumnRenamed("later", "id"), "id", "left").select("id", F.coalesce("same_as", "id").alias("same_as")))
-        if found.isEmpty():
-            break
-        same = found if same is None else same.union(found)
-        own = found.filter("id = same_as").select("id")
-        kept = own if kept is None else kept.union(own)
-        open_ = cut(open_.join(found.select("id"), "id", "left_anti"))
-    return same if same is not None else rows.select("id", F.col("id").alias("same_as"))
+    import numpy as np
+    import pandas as pd
+
+    rows = rows.select("id", F.col(group).alias("grp"), "embedding")
+    kept = cut(kept_insights(rows, least))
+    other = rows.join(kept.select("id"), "id", "left_anti")
+    sizes = [r.groupBy("grp").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0 for r in (other, kept)]
+    many = [max(1, -(-n // block)) for n in sizes]
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = other.withColumn("a", own(many[0])).withColumn("b", each(many[1]))
+    right = kept.withColumn("b", own(many[1])).withColumn("a", each(many[0]))
+    kind = dict(rows.dtypes)["id"]
+
+    def nearest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"id": [], "twin": [], "similarity": []})
+        y = y.sort_values("id", ignore_index=True)
+        sims = np.where(x["id"].to_numpy()[:, None] > y["id"].to_numpy()[None, :], _cosines(x["embedding"], y["embedding"]), -np.inf)
+        best = sims.argmax(axis=1)
+        out = pd.DataFrame({"id": x["id"].to_numpy(), "twin": y["id"].to_numpy()[best], "similarity": sims[np.arange(len(x)), best]})
+        return out[out["similarity"] > least]
+
+    found = left.groupBy("grp", "a", "b").cogroup(right.groupBy("grp", "a", "b")).applyInPandas(nearest, f"id {kind}, twin {kind}, similarity double")
+    twin = found.groupBy("id").agg(F.min_by("twin", F.struct((-F.col("similarity")).alias("s"), "twin")).alias("same_as"))
+    return kept.select("id", F.col("id").alias("same_as")).union(twin)
 
 
 BASIC = [SCRUB[0], SCRUB[5]]  # e-mail and IPv4: the patterns that a regular expression without look-around can hold

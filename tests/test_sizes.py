@@ -5,7 +5,7 @@ import oracle
 from pyspark.sql import functions as F
 
 from quillon import catalog
-from quillon.operators import services, topology
+from quillon.operators import conversations, services, topology
 
 
 def agrees(spark, folder, name, **tables):
@@ -71,3 +71,23 @@ def test_routes_and_files_of_one_name(spark):
 def test_keys_of_paths_do_not_pass_through_the_driver(spark, sf):
     plan = catalog.queries()["component_seeds"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_insights_meet_kept_ones_only(spark, monkeypatch):
+    import numpy as np
+
+    written, cut = [], conversations.cut
+    monkeypatch.setattr(conversations, "cut", lambda df: (out := cut(df), written.append(out.count()))[0])
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12, 8))[rng.integers(0, 12, 700)] + rng.normal(size=(700, 8)) * 0.2
+    rows = spark.createDataFrame([(k, x[k].tolist(), k % 2) for k in range(700)], "id long, embedding array<double>, grp int")
+    sims = np.round(x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)), 9)
+    kept, want = [], {}
+    for k in range(700):
+        s, j = max(((sims[k, j], -j) for j in kept if j % 2 == k % 2), default=(0, 0))
+        want[k] = -j if s > 0.6 else k
+        kept += [k] if s <= 0.6 else []
+    assert {r.id: r.same_as for r in conversations.first_insights(rows, "grp", 0.6).collect()} == want
+    assert max(written) < 700
+    few = conversations.kept_insights(rows, 0.6, first=5, block=100).collect()  # many rounds of many blocks
+    assert sorted(r.id for r in few) == kept
