@@ -5,7 +5,7 @@ import oracle
 from pyspark.sql import functions as F
 
 from quillon import catalog
-from quillon.operators import conversations, services, topology
+from quillon.operators import conversations, naming, services, topology
 
 
 def agrees(spark, folder, name, **tables):
@@ -91,3 +91,20 @@ def test_insights_meet_kept_ones_only(spark, monkeypatch):
     assert max(written) < 700
     few = conversations.kept_insights(rows, 0.6, first=5, block=100).collect()  # many rounds of many blocks
     assert sorted(r.id for r in few) == kept
+
+
+def test_numbers_behind_a_barred_one_move_together(spark, monkeypatch):
+    """One name with a number before all, some among and some behind the rows that come to numbers."""
+    written, cut = [], naming.cut
+    monkeypatch.setattr(naming, "cut", lambda df: (written.append(1), cut(df))[1])
+    base = {0: "a_2", 30: "a_9", 31: "a_31", 32: "a_32", 45: "a_50", 59: "a_58", 60: "a_60", 33: "a_02", 34: "a_1"}
+    rows = [(k, k, base.get(k, "a"), ["a/b/" + ("12.rb" if k == 20 else "9.rb" if k == 50 else "x")]) for k in range(64)]
+    used, want = set(), {}
+    for k, _, b, paths in rows:
+        more = [x.removesuffix(".rb") for x in paths[0].split("/") if len(x) > 2]
+        tries = [b, *(f"{b}_{m}" for m in more), *(f"{b}_{n}" for n in range(2, 99))]
+        want[k] = next(t for t in tries if t not in used)
+        used.add(want[k])
+    got = naming.unlike_names(spark.createDataFrame(rows, "id long, no long, base string, paths array<string>")).collect()
+    assert {r.id: r.name for r in got} == want and len(got) == 64
+    assert len(written) < 40
