@@ -1,5 +1,6 @@
 """Queries on small tables that are built like large ones: many keys, hot keys, long chains."""
 
+import brute
 import duckdb
 import oracle
 from pyspark.sql import functions as F
@@ -108,3 +109,25 @@ def test_numbers_behind_a_barred_one_move_together(spark, monkeypatch):
     got = naming.unlike_names(spark.createDataFrame(rows, "id long, no long, base string, paths array<string>")).collect()
     assert {r.id: r.name for r in got} == want and len(got) == 64
     assert len(written) < 40
+
+
+def test_labels_that_want_the_same_folders(spark, monkeypatch):
+    written, cut = [], naming.cut
+    monkeypatch.setattr(naming, "cut", lambda df: (written.append(1), cut(df))[1])
+    rows = [(f"L{a}", a, f"F{b}", b, 3 + (a * b % 7 == 6)) for a in range(30) for b in range(40)]
+    used, want = set(), set()
+    for label, a, folder, b, score in sorted(rows, key=lambda r: (-r[4], r[1], r[3])):
+        if not {label, folder} & used:
+            used |= {label, folder}
+            want.add((label, folder, score))
+    pairs = spark.createDataFrame(rows, "label string, label_no long, folder string, folder_no long, score int")
+    assert {tuple(r) for r in naming.greedy(pairs).collect()} == want and len(written) < 8
+    assert {tuple(r) for r in naming.greedy(pairs, first=100).collect()} == want
+
+
+def test_pairs_of_words_in_the_path(spark):
+    labels = spark.createDataFrame([("one two six", 1), ("one two abc", 2), ("longestword x", 3), ("longestwork x", 4), ("a b", 5), ("six six six", 6), ("one two", 7)], "label string, label_no long")
+    folders = spark.createDataFrame([("src/one/two-six/x", 1), ("one/twosix/AB", 2), ("c/MyLongestWords", 3), ("six/one/y", 4)], "folder string, folder_no long")
+    got = [(r.label_no, r.folder_no, r.score) for r in naming.label_pairs(labels, folders).collect()]
+    every = [(a, b, brute._label_score(y, x)) for x, a in labels.collect() for y, b in folders.collect()]
+    assert sorted(got) == sorted(p for p in every if p[2] >= 3) and {(1, 2, 3), (5, 2, 10), (6, 4, 3)} <= set(got)
