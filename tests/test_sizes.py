@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon import catalog
 from quillon.operators import conversations, naming, services, topology
+from quillon.plans import lineage
 
 
 def agrees(spark, folder, name, **tables):
@@ -131,3 +132,13 @@ def test_pairs_of_words_in_the_path(spark):
     got = [(r.label_no, r.folder_no, r.score) for r in naming.label_pairs(labels, folders).collect()]
     every = [(a, b, brute._label_score(y, x)) for x, a in labels.collect() for y, b in folders.collect()]
     assert sorted(got) == sorted(p for p in every if p[2] >= 3) and {(1, 2, 3), (5, 2, 10), (6, 4, 3)} <= set(got)
+
+
+def test_rounds_of_communities_leave_few_tables(spark, sf):
+    from pathlib import Path
+
+    folder = Path(lineage.shared_folder(spark).removeprefix("file://"))
+    before = set(folder.glob("cut-*"))
+    assert catalog.queries()["louvain"](spark, sf).count() > 1
+    assert len(set(folder.glob("cut-*")) - before) <= 8
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
